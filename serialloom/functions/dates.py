@@ -1,6 +1,8 @@
 """Column functions that read dates with a zone; anything else is NULL."""
 
-from pyspark.sql import Column, functions as F
+from datetime import datetime, timezone
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Zone names that a feed date may carry, and their offsets.
 ZONE_OFFSETS = {
@@ -60,3 +62,20 @@ def rfc2822(text: Column) -> Column:
         text.rlike(shape) & ((weekday == "") | (weekday == named)),
         parsed,
     )
+
+
+def time_literal(moment: datetime, kind: T.DataType) -> Column:
+    """A moment (UTC unless it has a zone) as a timestamp with or without zone."""
+    aware = moment if moment.tzinfo else moment.replace(tzinfo=timezone.utc)
+    text = aware.astimezone(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")
+    if isinstance(kind, T.TimestampNTZType):
+        return F.lit(text).cast(kind)
+    return F.lit(text + "Z").cast("timestamp")
+
+
+def epoch_micros(df: DataFrame, name: str) -> Column:
+    """Microseconds since 1970; a timestamp without zone is taken as UTC."""
+    if isinstance(df.schema[name].dataType, T.TimestampNTZType):
+        start = F.lit("1970-01-01").cast("timestamp_ntz")
+        return F.timestamp_diff("MICROSECOND", start, F.col(name))
+    return F.unix_micros(F.col(name).cast("timestamp"))

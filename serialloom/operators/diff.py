@@ -10,6 +10,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed_values import MAX_CHANGES
+from ..functions.dates import time_literal
 from .running import numbered
 
 KEY = ["book_id", "identifier"]
@@ -180,7 +181,7 @@ def feed_high_water(feed_items: DataFrame) -> DataFrame:
 def first_published(books: DataFrame, chapters: DataFrame, run_ts: datetime) -> DataFrame:
     """Oldest chapter date per book, the time of the run for a book without any."""
     oldest = chapters.groupBy("book_id").agg(F.min("date_published").alias("_oldest"))
-    fallback = F.lit(run_ts).cast(chapters.schema["date_published"].dataType)
+    fallback = time_literal(run_ts, chapters.schema["date_published"].dataType)
     return (
         books.select("book_id")
         .join(oldest, "book_id", "left")

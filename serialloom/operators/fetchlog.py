@@ -3,16 +3,13 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed_values import BACKOFF_BASE_SECONDS, BACKOFF_CAP, REQUESTS_PER_SECOND
+from ..functions.dates import epoch_micros
 from .running import running, time_levels
 
 _BUCKET_SECONDS = 60
 _TIE_BLOCK = 1_000_000
 
 
-def _micros(ts: str) -> Column:
-    return F.unix_micros(F.col(ts).cast("timestamp"))
-
-
 def fetch_schedule(
     requests: DataFrame,
     gap_micros: int = 1_000_000 // REQUESTS_PER_SECOND,
@@ -26,7 +23,7 @@ def fetch_schedule(
     plus the gap, which in closed form is max over j <= i of (t_j - j*gap) + i*gap.
     Adds ``start_us`` (microseconds since the epoch) and ``delay_us``.
     """
-    timed = requests.withColumn("_us", _micros("ts"))
+    timed = requests.withColumn("_us", epoch_micros(requests, "ts"))
     blocked, levels = time_levels(timed, "_us", "request_id", bucket_seconds, tie_block)
     paced = running(
         blocked,
@@ -61,7 +58,7 @@ def backoff_runs(
     """
     limited = F.col("status") == 429
     success = ~F.col("status").between(400, 599)
-    timed = fetch_log.withColumn("_us", _micros("ts"))
+    timed = fetch_log.withColumn("_us", epoch_micros(fetch_log, "ts"))
     blocked, levels = time_levels(timed, "_us", "request_id", bucket_seconds, tie_block)
     counted = running(
         blocked,

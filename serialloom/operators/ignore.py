@@ -122,9 +122,9 @@ def apply_ignore_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
     plain = by_name.join(
         tests.where("plain").drop("plain"), ["dir", "anchored", "text"], "inner"
     )
-    globs = below.join(
-        tests.where("NOT plain").withColumn("_regex", _glob_regex(F.col("text"))), "dir", "inner"
-    ).where(F.when(F.col("anchored"), F.col("rel")).otherwise(F.col("_name")).rlike(F.col("_regex")))
+    wild = tests.where("NOT plain").withColumn("_regex", _glob_regex(F.col("text")))
+    tested = F.when(F.col("anchored"), F.col("rel")).otherwise(F.col("_name"))
+    globs = below.join(wild, "dir", "inner").where(F.rlike(tested, F.col("_regex")))
     hidden = (
         plain.where(fits)
         .select(*hit)

@@ -2,8 +2,9 @@
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..functions.dates import time_literal
 from ..functions.labels import stable_id, summary_line, untitled
 
 
@@ -15,7 +16,7 @@ def fill_defaults(books: DataFrame, run_ts: datetime) -> DataFrame:
     """
     empty = F.lit("")
     date = F.col("date_published")
-    run = F.lit(run_ts).cast(books.schema["date_published"].dataType)
+    run = time_literal(run_ts, books.schema["date_published"].dataType)
     return books.select(
         "path",
         F.coalesce("book_id", stable_id(F.col("path"))).alias("book_id"),
@@ -66,7 +67,7 @@ def stash_books(books: DataFrame, stash_ts: datetime) -> DataFrame:
         "book_id",
         "path",
         "url",
-        F.when(has_url, stash_name(F.col("path"), F.lit(stash_ts))).alias("stash_name"),
+        F.when(has_url, stash_name(F.col("path"), time_literal(stash_ts, T.TimestampNTZType()))).alias("stash_name"),
         has_url.alias("recreate"),
         F.when(~has_url, F.concat(F.lit("No url could be found for "), "path")).alias("error"),
     )

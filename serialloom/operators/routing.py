@@ -39,6 +39,10 @@ def read_source_rules(table: DataFrame, limit: int = 5_000) -> list[SourceRule]:
     return [SourceRule(*row) for row in rows]
 
 
+def _any_hit(url: Column, patterns: Column, test) -> Column:
+    return F.exists(patterns, lambda pattern: test(url, pattern))
+
+
 def source_of(url: Column, rules: Sequence[SourceRule] = ALL_RULES) -> Column:
     """Source of the first rule, by priority, that the url matches."""
     tests = {"prefix": F.startswith, "contains": F.contains}
@@ -46,8 +50,7 @@ def source_of(url: Column, rules: Sequence[SourceRule] = ALL_RULES) -> Column:
     picks = []
     for (kind, source), run in groupby(ordered, key=lambda rule: (rule.match_kind, rule.source)):
         patterns = F.array(*[F.lit(rule.pattern) for rule in run])
-        hit = F.exists(patterns, lambda p, test=tests[kind]: test(url, p))
-        picks.append(F.when(hit, F.lit(source)))
+        picks.append(F.when(_any_hit(url, patterns, tests[kind]), F.lit(source)))
     return F.coalesce(*picks, F.lit(UNSUPPORTED))
 
 

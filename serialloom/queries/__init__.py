@@ -1,0 +1,11 @@
+"""Every registered query with the SQL that checks it."""
+
+from . import chapters, ingest, library, pages, requests
+
+REGISTRY = {
+    **chapters.QUERIES,
+    **pages.QUERIES,
+    **requests.QUERIES,
+    **ingest.QUERIES,
+    **library.QUERIES,
+}

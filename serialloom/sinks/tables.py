@@ -16,7 +16,7 @@ def with_bucket(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A table of the library; empty when it has not been written yet."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).parquet(path).select(*schema.names)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise

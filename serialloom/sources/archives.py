@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..fixed_values import MAX_ASSET_BYTES
-from ..functions.dates import rfc3339
+from ..functions.dates import rfc3339, time_literal
 from ..functions.html import first_text, meta_content
 from ..functions.labels import stable_id, strip_ext
 from ..functions.urls import url_segment
@@ -139,7 +139,7 @@ def ingest_archives(
     Missing header fields are '' (the date: the time of the run).  The first page
     and the navigation page are no chapters.
     """
-    run = F.lit(run_ts).cast("timestamp")
+    run = time_literal(run_ts, T.TimestampType())
     empty = F.lit("")
     book_id = F.coalesce("identifier", stable_id(F.col("path"))).alias("book_id")
     headers = entries.where(F.col("kind") == "book")

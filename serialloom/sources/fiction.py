@@ -3,10 +3,10 @@
 from datetime import datetime
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..fixed_values import NATIVE_SITE
-from ..functions.dates import rfc3339
+from ..functions.dates import rfc3339, time_literal
 from ..functions.html import chapters_from_script, cover_from_script
 from ..functions.labels import stable_id
 from ..functions.urls import absolute_url, url_segment
@@ -92,7 +92,7 @@ def split_parsed(parsed: DataFrame, run_ts: datetime, site: str = NATIVE_SITE) -
         "title",
         "author",
         "description",
-        F.coalesce(F.array_min(dates), F.lit(run_ts).cast("timestamp")).alias("date_published"),
+        F.coalesce(F.array_min(dates), time_literal(run_ts, T.TimestampType())).alias("date_published"),
         "cover_url",
     )
     chapters = good.select("book_id", F.posexplode("listed").alias("_at", "_c")).select(

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.dates import epoch_micros
+
 OUTPUT = "book_id string, newest_us bigint"
 STATE = "newest_us bigint"
 
@@ -34,7 +36,7 @@ def watch_feeds(items: DataFrame) -> DataFrame:
     before the shuffle, so a busy feed does not load one task with all its items.
     """
     dated = items.where(F.col("published").isNotNull() & F.col("book_id").isNotNull()).select(
-        "book_id", F.unix_micros(F.col("published").cast("timestamp")).alias("newest_us")
+        "book_id", epoch_micros(items, "published").alias("newest_us")
     )
     return (
         dated.mapInPandas(_newest_per_batch, OUTPUT)
