@@ -41,26 +41,25 @@ def rfc2822(text: Column) -> Column:
         r"(\d{2}:\d{2})(:\d{2})?\s*([+-]\d{4}|[a-z]{1,3})\s*$"
     )
 
-    def group(i):
-        return F.regexp_extract(text, shape, i)
-
-    zone = F.upper(group(5))
-    offset = F.when(zone.rlike("^[+-]"), zone)
-    for name, value in ZONE_OFFSETS.items():
-        offset = offset.when(zone == name, F.lit(value))
-    day = F.initcap(F.regexp_replace(group(2), r"\s+", " "))
-    seconds = F.when(group(4) == "", F.lit(":00")).otherwise(group(4))
-    parsed = F.try_to_timestamp(
-        F.concat(day, F.lit(" "), group(3), seconds, F.lit(" "), offset),
-        F.lit("d MMM yyyy HH:mm:ss Z"),
-    )
-    weekday = F.lower(group(1))
-    named = F.lower(
-        F.date_format(F.to_date(F.try_to_timestamp(day, F.lit("d MMM yyyy"))), "EEE")
-    )
-    return F.when(
-        text.rlike(shape) & ((weekday == "") | (weekday == named)),
-        parsed,
+    # One match gives all parts; the lambda binds them, so it runs once per text.
+    parts = F.split(F.regexp_replace(text, shape, "$1|$2|$3|$4|$5"), r"\|")
+    offsets = F.create_map(*[F.lit(x) for pair in ZONE_OFFSETS.items() for x in pair])
+
+    def parse(p):
+        zone = F.upper(p[4])
+        offset = F.when(zone.rlike("^[+-]"), zone).otherwise(F.try_element_at(offsets, zone))
+        day = F.initcap(F.regexp_replace(p[1], r"\s+", " "))
+        seconds = F.when(p[3] == "", F.lit(":00")).otherwise(p[3])
+        moment = F.try_to_timestamp(
+            F.concat(day, F.lit(" "), p[2], seconds, F.lit(" "), offset),
+            F.lit("d MMM yyyy HH:mm:ss Z"),
+        )
+        named = F.date_format(F.try_to_timestamp(day, F.lit("d MMM yyyy")), "EEE")
+        return F.when((p[0] == "") | (F.lower(p[0]) == F.lower(named)), moment)
+
+    matched = F.filter(F.array(text), lambda t: t.rlike(shape))
+    return F.try_element_at(
+        F.transform(F.transform(matched, lambda _: parts), parse), F.lit(1)
     )
 
 

@@ -171,10 +171,14 @@ def library_high_water(chapters: DataFrame) -> DataFrame:
 
 def feed_high_water(feed_items: DataFrame) -> DataFrame:
     """Newest feed date and feed title per book; no row without a valid date."""
+    # Titles are grouped first: a minimum of strings would sort every item, while
+    # what is left here is one row per book and title.
     return (
         feed_items.where(F.col("published").isNotNull())
+        .groupBy("book_id", "feed_title")
+        .agg(F.max("published").alias("_newest"))
         .groupBy("book_id")
-        .agg(F.max("published").alias("feed_max"), F.min("feed_title").alias("feed_title"))
+        .agg(F.max("_newest").alias("feed_max"), F.min("feed_title").alias("feed_title"))
     )
 
 

@@ -5,19 +5,21 @@ Each takes tables and gives tables; :mod:`serialloom.sinks` writes them.
 
 from collections.abc import Sequence
 from datetime import datetime
+from functools import cached_property
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
+from .. import schemas
 from ..functions.html import clean_html, rewrite_image_refs
 from ..functions.urls import url_segment
-from ..operators import assets as assets_ops
-from ..operators import diff, products
+from ..operators import assets, diff, products
 from ..operators.library import stash_books
 from ..operators.routing import ALL_RULES, UNSUPPORTED, SourceRule, route_sources
-from ..sources.chapter_pages import ingest_chapter_pages
-from ..sources.fiction import FictionPages, ingest_fiction_pages, parse_fiction_pages, split_parsed
+from ..sources.chapter_pages import extract_chapter_pages
+from ..sources.fiction import parse_fiction_pages, split_parsed
 from .pin import pin
+from .sized import broadcast_if_small
 
 
 class Stored(NamedTuple):
@@ -35,18 +37,88 @@ class Crawled(NamedTuple):
     chapter_pages: DataFrame  # url, html
 
 
-class Run(NamedTuple):
-    """Everything one job has to write or report."""
+class Run:
+    """What one job has to report and to write.
 
-    outcomes: DataFrame  # schemas.OUTCOMES
-    books: DataFrame
-    chapters: DataFrame
-    new_content: DataFrame
-    notices: DataFrame
-    asset_names: DataFrame
-    toc: DataFrame
-    manifest: DataFrame
-    spine: DataFrame
+    Tables that several outputs share are worked out once, when first asked for.
+    """
+
+    def __init__(
+        self,
+        outcomes: DataFrame,
+        books: DataFrame,
+        stored_chapters: DataFrame,
+        new_chapters: DataFrame,
+        to_fetch: DataFrame,
+        chapter_pages: DataFrame,
+        stored_content: DataFrame,
+        refresh: str = diff.COUNT_ONLY,
+    ):
+        self.outcomes = outcomes  # schemas.OUTCOMES
+        self.books = books
+        self._stored_chapters = stored_chapters
+        self._new_chapters = new_chapters
+        self._to_fetch = to_fetch
+        self._chapter_pages = chapter_pages
+        self._stored_content = stored_content
+        self._refresh = refresh
+
+    @cached_property
+    def _parsed(self) -> DataFrame:
+        """The crawled pages of the wanted chapters; others are never parsed."""
+        keys = broadcast_if_small(self._to_fetch.select(*diff.KEY, "url").distinct())
+        wanted = self._chapter_pages.join(keys, "url").select(*diff.KEY, "html")
+        return pin(extract_chapter_pages(wanted, diff.KEY))
+
+    @property
+    def new_content(self) -> DataFrame:
+        return diff.drop_contentless(self._parsed.select(*diff.KEY, *diff.TEXTS))
+
+    @property
+    def notices(self) -> DataFrame:
+        return self._parsed.select(*diff.KEY, F.inline("notices"))
+
+    @property
+    def _kept_content(self) -> DataFrame:
+        if self._refresh == diff.COUNT_ONLY:
+            return self._stored_content
+        return self._stored_content.join(
+            self.new_content.select(*diff.KEY), diff.KEY, "left_anti"
+        )
+
+    @cached_property
+    def chapters(self) -> DataFrame:
+        """Chapters with a text, in reading order."""
+        has_text = (
+            diff.drop_contentless(self._stored_content)
+            .select(*diff.KEY)
+            .unionByName(self.new_content.select(*diff.KEY))
+            .distinct()
+        )
+        return pin(
+            diff.reading_order(
+                self._stored_chapters.join(has_text, diff.KEY, "left_semi"),
+                self._new_chapters.join(has_text, diff.KEY, "left_semi"),
+            )
+        )
+
+    @cached_property
+    def asset_names(self) -> DataFrame:
+        texts = self._kept_content.unionByName(self.new_content)
+        images = assets.drop_failed_assets(assets.book_assets(self.books, texts))
+        return assets.asset_names(images)
+
+    @property
+    def toc(self) -> DataFrame:
+        return products.table_of_contents(self.books, self.chapters)
+
+    @property
+    def manifest(self) -> DataFrame:
+        return products.manifest(self.books, self.chapters, self.asset_names)
+
+    @property
+    def spine(self) -> DataFrame:
+        return products.spine(self.books, self.chapters)
 
 
 def render_texts(content: DataFrame) -> DataFrame:
@@ -60,50 +132,8 @@ def render_texts(content: DataFrame) -> DataFrame:
 
 def _index_pages(crawled: DataFrame, books: DataFrame) -> DataFrame:
     """Index pages of the given books only, found before any page is parsed."""
-    return crawled.join(books.select("url").distinct(), "url", "left_semi")
-
-
-def _fetch(chapters: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Content and notices of the given chapters from their crawled pages."""
-    keys = chapters.select(*diff.KEY, "url").distinct()
-    wanted = pages.join(keys, "url").select(*diff.KEY, "html")
-    content, notices = ingest_chapter_pages(wanted)
-    return content, notices
-
-
-def _finish(
-    outcomes: DataFrame,
-    headers: DataFrame,
-    stored: DataFrame,
-    new: DataFrame,
-    stored_content: DataFrame,
-    new_content: DataFrame,
-    notices: DataFrame,
-) -> Run:
-    """Drop chapters without text, put the rest in order, and list the products."""
-    has_text = (
-        diff.drop_contentless(stored_content)
-        .select(*diff.KEY)
-        .unionByName(diff.drop_contentless(new_content).select(*diff.KEY))
-        .distinct()
-    )
-    chapters = diff.reading_order(
-        stored.join(has_text, diff.KEY, "left_semi"), new.join(has_text, diff.KEY, "left_semi")
-    )
-    texts = stored_content.unionByName(new_content)
-    images = assets_ops.drop_failed_assets(assets_ops.book_assets(headers, texts))
-    names = assets_ops.asset_names(images)
-    return Run(
-        outcomes=outcomes,
-        books=headers,
-        chapters=chapters,
-        new_content=diff.drop_contentless(new_content),
-        notices=notices,
-        asset_names=names,
-        toc=products.table_of_contents(headers, chapters),
-        manifest=products.manifest(headers, chapters, names),
-        spine=products.spine(headers, chapters),
-    )
+    urls = broadcast_if_small(books.select("url").distinct())
+    return crawled.join(urls, "url", "left_semi")
 
 
 def update_books(
@@ -131,36 +161,29 @@ def update_books(
     fiction = split_parsed(parsed, run_ts)
     classified = pin(diff.classify_chapters(fiction.chapters, stored.chapters))
     counts = diff.change_count(classified)
-    outcomes = diff.update_outcome(routed, gates, counts, fiction.rejects)
-
-    updated = outcomes.where(F.col("outcome") == "Updated").select("book_id")
+    outcomes = pin(diff.update_outcome(routed, gates, counts, fiction.rejects))
+    updated = broadcast_if_small(outcomes.where(F.col("outcome") == "Updated").select("book_id"))
 
     def of_updated(df):
         return df.join(updated, "book_id", "left_semi")
 
     moved = of_updated(classified.where(F.col("change") != "kept"))
-    kept_content = of_updated(stored.content)
-    to_fetch = moved
+    to_fetch, stored_chapters = moved, of_updated(stored.chapters)
     if refresh == diff.COUNT_ONLY:
         to_fetch = moved.join(
             diff.drop_contentless(stored.content).select(*diff.KEY), diff.KEY, "left_anti"
         )
-    content, notices = _fetch(to_fetch, crawled.chapter_pages)
-    content = pin(content)
-    stored_chapters = of_updated(stored.chapters)
-    if refresh == diff.REPLACE:
-        kept_content = kept_content.join(
-            diff.drop_contentless(content).select(*diff.KEY), diff.KEY, "left_anti"
-        )
+    else:
         stored_chapters = diff.take_newer_headers(stored_chapters, moved)
-    return _finish(
+    return Run(
         outcomes,
         diff.refresh_cover(of_updated(stored.books), fiction.books),
         stored_chapters,
         moved.where(F.col("change") == "new"),
-        kept_content,
-        content,
-        notices,
+        to_fetch,
+        crawled.chapter_pages,
+        of_updated(stored.content),
+        refresh,
     )
 
 
@@ -171,27 +194,28 @@ def create_books(urls: DataFrame, crawled: Crawled, run_ts: datetime) -> Run:
     """
     routed = route_sources(urls.select("url").distinct()).where(F.col("source") == "native")
     parsed = pin(parse_fiction_pages(_index_pages(crawled.index_pages, routed)))
-    fiction: FictionPages = split_parsed(parsed, run_ts)
+    fiction = split_parsed(parsed, run_ts)
     counts = diff.change_count(fiction.chapters.withColumn("change", F.lit("new")))
     asked = urls.select("url", url_segment(F.col("url"), 1, F.col("url")).alias("book_id"))
     made = parsed.select("book_id", F.lit(False).alias("up_to_date")).distinct()
-    outcomes = diff.update_outcome(
-        route_sources(asked).dropDuplicates(["book_id"]), made, counts, fiction.rejects
+    outcomes = pin(
+        diff.update_outcome(
+            route_sources(asked).dropDuplicates(["book_id"]), made, counts, fiction.rejects
+        )
+    )
+    good = broadcast_if_small(
+        outcomes.where(F.col("outcome").isin("Updated", "UpToDate")).select("book_id")
     )
-    good = outcomes.where(F.col("outcome").isin("Updated", "UpToDate")).select("book_id")
-    headers = fiction.books.join(good, "book_id", "left_semi")
     new = fiction.chapters.join(good, "book_id", "left_semi")
-    content, notices = _fetch(new, crawled.chapter_pages)
-    content = pin(content)
-    nothing = new.limit(0)
-    return _finish(
+    spark = urls.sparkSession
+    return Run(
         outcomes,
-        headers,
-        nothing.withColumn("pos", F.col("arr_pos")),
+        fiction.books.join(good, "book_id", "left_semi"),
+        spark.createDataFrame([], schemas.CHAPTERS),
+        new,
         new,
-        content.limit(0),
-        content,
-        notices,
+        crawled.chapter_pages,
+        spark.createDataFrame([], schemas.CHAPTER_CONTENT),
     )
 
 

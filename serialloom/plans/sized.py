@@ -1,0 +1,16 @@
+"""Joins that avoid moving wide rows when the other side is small enough."""
+
+from pyspark.sql import DataFrame, functions as F
+
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_small(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark narrow key rows for broadcast after counting them.
+
+    Up to the limit the wide side of the join is filtered where it is read, and a
+    book with very many rows stays spread over all tasks.  Beyond it Spark shuffles
+    both sides, and adaptive execution splits partitions that are skewed.
+    """
+    few = keys.limit(rows + 1).count() <= rows
+    return F.broadcast(keys) if few else keys

@@ -13,7 +13,7 @@ from io import BytesIO
 from uuid import uuid4
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..fixed_values import NATIVE_BOOK_PREFIX
@@ -242,10 +242,10 @@ def compat_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _zip_books(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _zip_books(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         paths, contents = [], []
-        for doc, text, source in zip(batch["doc_id"], batch["text"], batch["source"]):
+        for doc, text, source in zip(*batch.to_pydict().values()):
             body = escape(text)
             buffer = BytesIO()
             with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
@@ -290,7 +290,9 @@ def _zip_books(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             data = buffer.getvalue()
             paths.append(f"/lib/{source}/{doc}.epub")
             contents.append(data[: len(data) // 2] if doc % 10 == 9 else data)
-        yield pd.DataFrame({"path": paths, "content": contents})
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"]
+        )
 
 
 def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,7 +300,7 @@ def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "documents")
         .select("doc_id", "text", "source")
-        .mapInPandas(_zip_books, "path string, content binary")
+        .mapInArrow(_zip_books, "path string, content binary")
     )
 
 

@@ -9,7 +9,7 @@ from typing import NamedTuple
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..fixed_values import MAX_ASSET_BYTES
@@ -43,6 +43,13 @@ ENTRIES = T.StructType(
         *[T.StructField(f, T.StringType()) for f in _HEADER],
     ]
 )
+_ARROW_ENTRIES = pa.schema(
+    [
+        (f.name, {"bytes": pa.binary(), "seq": pa.int64()}.get(f.name, pa.string()))
+        for f in ENTRIES.fields
+    ]
+)
+_BATCH_ROWS, _BATCH_BYTES = 2_000, 16_000_000
 
 
 def _local(element) -> str:
@@ -87,29 +94,23 @@ def _entries(data: bytes) -> Iterator[dict]:
                     }
 
 
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    return pd.DataFrame(
-        {c: pd.Series([row.get(c) for row in rows], dtype=object) for c in ENTRIES.names}
-    )
-
-
-def _open_archives(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _open_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows, size = [], 0
     for batch in batches:
-        for path, data in zip(batch["path"], batch["content"]):
+        for path, data in zip(batch.column("path"), batch.column("content")):
             try:
                 # All or nothing: an archive that breaks half way gives no rows.
-                entries = list(_entries(bytes(data)))
+                entries = list(_entries(data.as_py()))
             except Exception as problem:  # unreadable is a row, not a failed job
                 entries = [{"kind": "error", "text": f"{type(problem).__name__}: {problem}"}]
-            rows, size = [], 0
             for entry in entries:
-                rows.append({"path": path, **entry})
+                rows.append({"path": path.as_py(), **entry})
                 size += len(entry.get("bytes") or b"") + len(entry.get("text") or "")
-                if size > 16_000_000:
-                    yield _frame(rows)
+                if size > _BATCH_BYTES or len(rows) >= _BATCH_ROWS:
+                    yield pa.RecordBatch.from_pylist(rows, _ARROW_ENTRIES)
                     rows, size = [], 0
-            if rows:
-                yield _frame(rows)
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, _ARROW_ENTRIES)
 
 
 class Library(NamedTuple):
@@ -128,7 +129,7 @@ def read_archives(spark: SparkSession, files: list[str]) -> DataFrame:
 def open_archives(archives: DataFrame) -> DataFrame:
     """Entries of archives (path, content).  Write this once, then ingest from it:
     every table of :func:`ingest_archives` would otherwise open the archives anew."""
-    return archives.select("path", "content").mapInPandas(_open_archives, ENTRIES)
+    return archives.select("path", "content").mapInArrow(_open_archives, ENTRIES)
 
 
 def ingest_archives(

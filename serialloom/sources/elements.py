@@ -5,11 +5,12 @@ pages go through Python: Arrow batches in, one output row per page.  A rule
 names what an element must look like; a new site means new rules, not new code.
 """
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
-from html.parser import HTMLParser
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
 
@@ -35,9 +36,10 @@ class NoticeRule(NamedTuple):
 NOTICE_TYPE = T.ArrayType(
     T.StructType([T.StructField("class", T.StringType()), T.StructField("html", T.StringType())])
 )
+_ARROW_NOTICES = pa.list_(pa.struct([("class", pa.string()), ("html", pa.string())]))
 
-# Elements without an end tag, those that end an open paragraph, and
-# those that do not keep a paragraph open.
+# Elements without an end tag, those that end an open paragraph, those
+# that do not keep a paragraph open, and those whose content is plain text.
 VOID_TAGS = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
@@ -48,6 +50,14 @@ ENDS_PARAGRAPH = frozenset(
 INLINE_TAGS = frozenset("a b big code em font i s small span strike strong tt u".split())
 
 
+RAW_TEXT_TAGS = frozenset("script style textarea title".split())
+
+_MARKUP = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]++|"[^"]*+"|'[^']*+')*+)>""", re.S
+)
+_ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+
+
 class _Element:
     __slots__ = ("tag", "css", "parent", "start", "inner", "end", "close")
 
@@ -57,89 +67,89 @@ class _Element:
         self.end = self.close = inner  # end of the content, end of the element
 
 
-class _Outline(HTMLParser):
-    """Elements of a page in document order, with where they start and end."""
+def _class_of(attributes: str) -> str | None:
+    if "class" in attributes.lower():
+        for name, *values in _ATTRIBUTE.findall(attributes):
+            if name.lower() == "class":
+                return "".join(values)
+    return None
 
-    def __init__(self, text: str):
-        super().__init__(convert_charrefs=False)
-        self.elements: list[_Element] = []
-        self._open: list[_Element] = []
-        self._text = text
-        self._lines = [0]
-        at = text.find("\n")
-        while at >= 0:
-            self._lines.append(at + 1)
-            at = text.find("\n", at + 1)
-        self.feed(text)
-        self.close()
-        self._close_down_to(0, len(text), len(text))
-
-    def _here(self) -> int:
-        line, column = self.getpos()
-        return self._lines[line - 1] + column
-
-    def _close_down_to(self, depth: int, end: int, close: int) -> None:
-        while len(self._open) > depth:
-            element = self._open.pop()
-            element.end = end
-            element.close = close if len(self._open) == depth else end
-
-    def _end_paragraph(self, at: int) -> None:
-        depth = len(self._open) - 1
-        while depth >= 0 and self._open[depth].tag in INLINE_TAGS:
-            depth -= 1
-        if depth >= 0 and self._open[depth].tag == "p":
-            self._close_down_to(depth, at, at)
-
-    def handle_starttag(self, tag, attrs):
-        start = self._here()
-        if tag in ENDS_PARAGRAPH:
-            self._end_paragraph(start)
-        css = next((v or "" for k, v in attrs if k == "class"), None)
-        parent = self._open[-1] if self._open else None
-        element = _Element(tag, css, parent, start, start + len(self.get_starttag_text()))
-        self.elements.append(element)
-        if tag not in VOID_TAGS:
-            self._open.append(element)
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
+def _close_down_to(open_: list[_Element], depth: int, end: int, close: int) -> None:
+    while len(open_) > depth:
+        element = open_.pop()
+        element.end = end
+        element.close = close if len(open_) == depth else end
+
 
-    def handle_endtag(self, tag):
-        for depth in range(len(self._open) - 1, -1, -1):
-            if self._open[depth].tag == tag:
-                here = self._here()
-                self._close_down_to(depth, here, self._text.find(">", here) + 1 or here)
-                return
+def _outline(text: str) -> list[_Element]:
+    """Elements of a page in document order, with where they start and end."""
+    elements: list[_Element] = []
+    open_: list[_Element] = []
+    at = 0
+    while found := _MARKUP.search(text, at):
+        start, at = found.span()
+        tag = found[2]
+        if tag is None:
+            continue
+        tag = tag.lower()
+        if found[1]:
+            for depth in range(len(open_) - 1, -1, -1):
+                if open_[depth].tag == tag:
+                    _close_down_to(open_, depth, start, at)
+                    break
+            continue
+        if tag in ENDS_PARAGRAPH:
+            depth = len(open_) - 1
+            while depth >= 0 and open_[depth].tag in INLINE_TAGS:
+                depth -= 1
+            if depth >= 0 and open_[depth].tag == "p":
+                _close_down_to(open_, depth, start, start)
+        element = _Element(tag, _class_of(found[3]), open_[-1] if open_ else None, start, at)
+        elements.append(element)
+        if tag in RAW_TEXT_TAGS:
+            ending = re.compile(rf"</{tag}\s*>", re.I).search(text, at)
+            element.end = ending.start() if ending else len(text)
+            element.close = at = ending.end() if ending else len(text)
+        elif tag not in VOID_TAGS:
+            open_.append(element)
+    _close_down_to(open_, 0, len(text), len(text))
+    return elements
 
 
 def _has_class(element: _Element | None, name: str) -> bool:
-    return element is not None and name in (element.css or "").split()
+    return element is not None and bool(element.css) and name in element.css.split()
 
 
 def pick(text: str, rules: Sequence[Rule], notice: NoticeRule | None) -> tuple[dict, list]:
     """Inner HTML by field (None when absent or empty), and the notices taken out."""
-    elements = _Outline(text).elements
+    elements = _outline(text)
     cuts: list[_Element] = []
     notices = []
     if notice:
         for e in elements:
-            if e.css is not None and e.css.startswith(notice.class_prefixes):
+            if e.css and e.css.startswith(notice.class_prefixes):
                 inner = text[e.inner : e.end]
                 if len(inner.encode()) < notice.max_bytes:
                     notices.append({"class": e.css, "html": inner})
                     if not cuts or e.start >= cuts[-1].close:
                         cuts.append(e)
-    left, before, last = [], {}, {}
-    cut_at = 0
-    for e in elements:
-        while cut_at < len(cuts) and cuts[cut_at].close <= e.start:
-            cut_at += 1
-        if cut_at < len(cuts) and cuts[cut_at].start <= e.start:
-            continue
-        before[e] = last.get(e.parent)
-        last[e.parent] = e
-        left.append(e)
+    left = elements
+    if cuts:
+        starts = [cut.start for cut in cuts]
+
+        def is_cut(e):
+            i = bisect_right(starts, e.start) - 1
+            return i >= 0 and e.start < cuts[i].close
+
+        left = [e for e in elements if not is_cut(e)]
+    styled = [e for e in left if e.css]
+    before: dict = {}
+    if any(rule.parent_after for rule in rules):
+        last: dict = {}
+        for e in left:
+            before[e] = last.get(e.parent)
+            last[e.parent] = e
 
     def inner_html(e):
         out, at = [], e.inner
@@ -152,8 +162,9 @@ def pick(text: str, rules: Sequence[Rule], notice: NoticeRule | None) -> tuple[d
     def fits(e, rule):
         if rule.tag and e.tag != rule.tag:
             return False
-        if not all(_has_class(e, c) for c in rule.classes):
-            return False
+        for name in rule.classes:
+            if not _has_class(e, name):
+                return False
         if rule.parent_class and not _has_class(e.parent, rule.parent_class):
             return False
         if rule.parent_after:
@@ -169,7 +180,7 @@ def pick(text: str, rules: Sequence[Rule], notice: NoticeRule | None) -> tuple[d
 
     fields = {}
     for rule in rules:
-        hits = (inner_html(e) for e in left if fits(e, rule))
+        hits = (inner_html(e) for e in (styled if rule.classes else left) if fits(e, rule))
         fields[rule.field] = list(hits) if rule.many else (next(hits, None) or None)
     return fields, notices
 
@@ -190,17 +201,17 @@ def extract_elements(
     ]
     if notice:
         fields.append(T.StructField("notices", NOTICE_TYPE))
+    names = [f.name for f in fields]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            picked = [pick(text or "", rules, notice) for text in batch[html]]
-            out = batch[keep].copy()
+            picked = [pick(text or "", rules, notice) for text in batch.column(html).to_pylist()]
+            columns = [batch.column(c) for c in keep]
             for r in rules:
-                out[r.field] = pd.Series(
-                    [f[r.field] for f, _ in picked], index=out.index, dtype=object
-                )
+                kind = pa.list_(pa.string()) if r.many else pa.string()
+                columns.append(pa.array([found[r.field] for found, _ in picked], kind))
             if notice:
-                out["notices"] = pd.Series([n for _, n in picked], index=out.index, dtype=object)
-            yield out
+                columns.append(pa.array([taken for _, taken in picked], _ARROW_NOTICES))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return pages.select(*keep, html).mapInPandas(run, T.StructType(fields))
+    return pages.select(*keep, html).mapInArrow(run, T.StructType(fields))

@@ -16,12 +16,11 @@ def ingest_feeds(pages: DataFrame) -> DataFrame:
     dates = F.regexp_extract_all(
         "html", F.lit(r"(?is)<pubDate(?:\s[^>]*)?>(.*?)</pubDate\s*>"), F.lit(1)
     )
-    return (
-        pages.select(
-            "book_id",
-            first_text(F.col("html"), "title").alias("feed_title"),
-            F.explode(dates).alias("_date"),
-        )
-        .select("book_id", "feed_title", rfc2822(F.col("_date")).alias("published"))
-        .where(F.col("published").isNotNull() & F.col("feed_title").isNotNull())
-    )
+    # Dates are read inside the list: a filter on a column made here would be pushed
+    # down and make every date be read twice.
+    read = F.filter(F.transform(dates, rfc2822), lambda d: d.isNotNull())
+    return pages.select(
+        "book_id",
+        first_text(F.col("html"), "title").alias("feed_title"),
+        F.explode(read).alias("published"),
+    ).where(F.col("feed_title").isNotNull())
