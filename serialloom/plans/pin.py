@@ -1,23 +1,33 @@
 """Materialise an intermediate table that several outputs share."""
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def pin(df: DataFrame) -> DataFrame:
-    """Checkpoint to the cluster's shared checkpoint folder and cut the lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, a folder that all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Only a local session
-    without one gets a temporary folder.
+    Only a local session without one gets a temporary folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
+            folder = tempfile.mkdtemp(prefix="shared-")
         context.setCheckpointDir(folder)
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
+
+def pin(df: DataFrame) -> DataFrame:
+    """Write the rows as a Parquet table in the shared folder and read that instead.
+
+    This cuts the lineage, and unlike a checkpoint of rows it keeps column
+    pruning and real sizes for what is built on it.
+    """
+    path = f"{shared_folder(df.sparkSession)}/pinned-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

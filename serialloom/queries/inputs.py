@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..fixed_values import NATIVE_BOOK_PREFIX
-from ..plans.pin import pin
+from ..plans.pin import shared_folder
 
 RUN_TS = datetime(2024, 6, 1, 12, 30)
 
@@ -26,11 +26,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table over all cores where the table is fewer files than cores.
+
+    The ingest jobs are heavy per row, and a small table may be one file.  A large
+    table comes in enough pieces and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def work_folder(spark: SparkSession) -> str:
     """A new folder beside the checkpoints, which all executors share."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        pin(spark.range(1))
-    return f"{spark.sparkContext.getCheckpointDir()}/work-{uuid4().hex}"
+    return f"{shared_folder(spark)}/work-{uuid4().hex}"
 
 
 # --- an order is a book, its line items are chapters ------------------------
@@ -155,7 +163,7 @@ def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A feed document per order: two good dates and a bad one; some are cut off."""
-    return table(spark, sf_dir, "orders").selectExpr(
+    return spread(table(spark, sf_dir, "orders")).selectExpr(
         "CAST(o_orderkey AS STRING) AS book_id",
         "'<?xml version=\"1.0\"?><rss><channel><title>' || o_orderpriority || '</title>'"
         " || '<item><title>new</title><pubDate>' "
@@ -186,7 +194,7 @@ def fiction_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             f"'/b/chapter/' || (o_orderkey * 10 + {n}) || '/part-{n}\"}}'"
         )
 
-    return table(spark, sf_dir, "orders").selectExpr(
+    return spread(table(spark, sf_dir, "orders")).selectExpr(
         "o_orderkey",
         f"'{NATIVE_BOOK_PREFIX}' || o_orderkey || '/book' AS url",
         "'<html><body>' || CASE WHEN o_orderkey % 19 = 0 THEN '' ELSE '<h1 class=\"t\">Book <i>'"
@@ -210,7 +218,7 @@ ESCAPED_TEXT = "replace(replace(text, '&', '&amp;'), '<', '&lt;')"
 
 def chapter_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chapter page per document, with a hidden notice; notes on some."""
-    return table(spark, sf_dir, "documents").selectExpr(
+    return spread(table(spark, sf_dir, "documents")).selectExpr(
         "source AS book_id",
         "CAST(doc_id AS STRING) AS identifier",
         "'<html><body><p>menu<div class=\"page\">'"
@@ -231,7 +239,7 @@ def compat_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = " || ".join(
         f"CASE WHEN doc_id % 4 >= {n} THEN {note.format(n=n)} ELSE '' END" for n in (1, 2, 3)
     )
-    return table(spark, sf_dir, "documents").selectExpr(
+    return spread(table(spark, sf_dir, "documents")).selectExpr(
         "source AS book_id",
         "CAST(doc_id AS STRING) AS identifier",
         "'T' || doc_id AS title",
@@ -298,7 +306,7 @@ def _zip_books(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An archive per document; every tenth is cut off."""
     return (
-        table(spark, sf_dir, "documents")
+        spread(table(spark, sf_dir, "documents"))
         .select("doc_id", "text", "source")
         .mapInArrow(_zip_books, "path string, content binary")
     )
