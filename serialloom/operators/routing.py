@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import schemas
 from ..fixed_values import COMPAT_HOSTS, NATIVE_BOOK_PREFIX
 
-UNSUPPORTED = "unsupported"
+NATIVE, COMPAT, UNSUPPORTED = "native", "compat", "unsupported"
 
 
 class SourceRule(NamedTuple):
@@ -19,9 +19,9 @@ class SourceRule(NamedTuple):
     source: str
 
 
-NATIVE_RULES = (SourceRule(0, "prefix", NATIVE_BOOK_PREFIX, "native"),)
+NATIVE_RULES = (SourceRule(0, "prefix", NATIVE_BOOK_PREFIX, NATIVE),)
 COMPAT_RULES = tuple(
-    SourceRule(1 + i, "contains", host, "compat") for i, host in enumerate(COMPAT_HOSTS)
+    SourceRule(1 + i, "contains", host, COMPAT) for i, host in enumerate(COMPAT_HOSTS)
 )
 ALL_RULES = NATIVE_RULES + COMPAT_RULES
 

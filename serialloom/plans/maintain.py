@@ -11,13 +11,17 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from .. import schemas
+from ..fixed_values import NATIVE_SITE
 from ..functions.html import clean_html, rewrite_image_refs
+from ..functions.labels import stable_id
 from ..functions.urls import url_segment
 from ..operators import assets, diff, products
 from ..operators.library import stash_books
-from ..operators.routing import ALL_RULES, UNSUPPORTED, SourceRule, route_sources
-from ..sources.chapter_pages import extract_chapter_pages
-from ..sources.fiction import parse_fiction_pages, split_parsed
+from ..operators.routing import ALL_RULES, COMPAT, SourceRule, route_sources
+from ..operators.toollog import classify_tool_log
+from ..sources.chapter_pages import CHAPTER_NOTICES, CHAPTER_RULES, extract_chapter_pages
+from ..sources.elements import NoticeRule, Rule
+from ..sources.fiction import FICTION_RULES, parse_fiction_pages, split_parsed
 from .pin import pin
 from .sized import broadcast_if_small
 
@@ -37,6 +41,20 @@ class Crawled(NamedTuple):
     chapter_pages: DataFrame  # url, html
 
 
+class SourceProfile(NamedTuple):
+    """What the jobs must know of a site: its name in the source rules, where its
+    links lead, and how to pick the parts out of its pages."""
+
+    name: str
+    site: str
+    index_rules: Sequence[Rule]
+    chapter_rules: Sequence[Rule]
+    notices: NoticeRule | None
+
+
+NATIVE = SourceProfile("native", NATIVE_SITE, FICTION_RULES, CHAPTER_RULES, CHAPTER_NOTICES)
+
+
 class Run:
     """What one job has to report and to write.
 
@@ -52,6 +70,7 @@ class Run:
         to_fetch: DataFrame,
         chapter_pages: DataFrame,
         stored_content: DataFrame,
+        profile: SourceProfile,
         refresh: str = diff.COUNT_ONLY,
     ):
         self.outcomes = outcomes  # schemas.OUTCOMES
@@ -61,6 +80,7 @@ class Run:
         self._to_fetch = to_fetch
         self._chapter_pages = chapter_pages
         self._stored_content = stored_content
+        self._profile = profile
         self._refresh = refresh
 
     @cached_property
@@ -68,7 +88,8 @@ class Run:
         """The crawled pages of the wanted chapters; others are never parsed."""
         keys = broadcast_if_small(self._to_fetch.select(*diff.KEY, "url").distinct())
         wanted = self._chapter_pages.join(keys, "url").select(*diff.KEY, "html")
-        return pin(extract_chapter_pages(wanted, diff.KEY))
+        rules, notices = self._profile.chapter_rules, self._profile.notices
+        return pin(extract_chapter_pages(wanted, diff.KEY, rules, notices))
 
     @property
     def new_content(self) -> DataFrame:
@@ -76,6 +97,7 @@ class Run:
 
     @property
     def notices(self) -> DataFrame:
+        """What was taken out of the fetched texts (profiles with a notice rule)."""
         return self._parsed.select(*diff.KEY, F.inline("notices"))
 
     @property
@@ -130,10 +152,17 @@ def render_texts(content: DataFrame) -> DataFrame:
     )
 
 
-def _index_pages(crawled: DataFrame, books: DataFrame) -> DataFrame:
-    """Index pages of the given books only, found before any page is parsed."""
-    urls = broadcast_if_small(books.select("url").distinct())
-    return crawled.join(urls, "url", "left_semi")
+def _parse_index_pages(
+    crawled: DataFrame, books: DataFrame, profile: SourceProfile
+) -> tuple[DataFrame, DataFrame]:
+    """(parsed index pages of the given books, the books whose page is missing).
+
+    Only the pages of those books are parsed, and each only once.
+    """
+    wanted = broadcast_if_small(books.select("url", "book_id").distinct())
+    parsed = pin(parse_fiction_pages(crawled.join(wanted, "url"), profile.index_rules))
+    missing = books.join(parsed.select("book_id").distinct(), "book_id", "left_anti")
+    return parsed, missing.select("book_id", F.lit("index page was not fetched").alias("error"))
 
 
 def update_books(
@@ -143,26 +172,38 @@ def update_books(
     run_ts: datetime,
     refresh: str = diff.COUNT_ONLY,
     rules: Sequence[SourceRule] = ALL_RULES,
+    profile: SourceProfile = NATIVE,
+    tool_log: DataFrame | None = None,
 ) -> Run:
     """Bring every stored book up to date with what is published.
 
     Pages are parsed only for books that the feed says have moved on, and
-    chapter pages only for chapters whose text is wanted.
+    chapter pages only for chapters whose text is wanted.  ``crawled`` has one
+    page per url.  Books of the external updater get their outcomes from its
+    log, where each run_id is a book_id.
     """
-    routed = route_sources(stored.books, rules).where(F.col("source") != "compat")
+    routed = route_sources(stored.books, rules).where(F.col("source") != COMPAT)
     gates = diff.gate_up_to_date(
         diff.library_high_water(stored.chapters), diff.feed_high_water(feed_items)
     )
-    behind = routed.where(F.col("source") != UNSUPPORTED).join(
+    behind = routed.where(F.col("source") == profile.name).join(
         gates.where(~F.col("up_to_date")).select("book_id"), "book_id", "left_semi"
     )
-    # Several tables are cut from the parsed index pages; parse them once.
-    parsed = pin(parse_fiction_pages(_index_pages(crawled.index_pages, behind)))
-    fiction = split_parsed(parsed, run_ts)
+    parsed, missing = _parse_index_pages(crawled.index_pages, behind, profile)
+    fiction = split_parsed(parsed, run_ts, profile.site)
     classified = pin(diff.classify_chapters(fiction.chapters, stored.chapters))
-    counts = diff.change_count(classified)
-    outcomes = pin(diff.update_outcome(routed, gates, counts, fiction.rejects))
-    updated = broadcast_if_small(outcomes.where(F.col("outcome") == "Updated").select("book_id"))
+    outcomes = diff.update_outcome(
+        routed,
+        gates,
+        diff.change_count(classified),
+        fiction.rejects.select("book_id", "error").unionByName(missing),
+    )
+    if tool_log is not None:
+        outcomes = outcomes.unionByName(classify_tool_log(tool_log))
+    outcomes = pin(outcomes)
+    updated = broadcast_if_small(
+        outcomes.where(F.col("outcome") == "Updated").select("book_id")
+    )
 
     def of_updated(df):
         return df.join(updated, "book_id", "left_semi")
@@ -177,30 +218,49 @@ def update_books(
         stored_chapters = diff.take_newer_headers(stored_chapters, moved)
     return Run(
         outcomes,
-        diff.refresh_cover(of_updated(stored.books), fiction.books),
+        diff.refresh_cover(
+            of_updated(routed.select(*stored.books.columns)), fiction.books
+        ),
         stored_chapters,
         moved.where(F.col("change") == "new"),
         to_fetch,
         crawled.chapter_pages,
         of_updated(stored.content),
+        profile,
         refresh,
     )
 
 
-def create_books(urls: DataFrame, crawled: Crawled, run_ts: datetime) -> Run:
+def create_books(
+    urls: DataFrame,
+    crawled: Crawled,
+    run_ts: datetime,
+    rules: Sequence[SourceRule] = ALL_RULES,
+    profile: SourceProfile = NATIVE,
+) -> Run:
     """Make books for urls that are not stored: every published chapter is new.
 
     Urls that fail are error outcomes and do not stop the others.
     """
-    routed = route_sources(urls.select("url").distinct()).where(F.col("source") == "native")
-    parsed = pin(parse_fiction_pages(_index_pages(crawled.index_pages, routed)))
-    fiction = split_parsed(parsed, run_ts)
-    counts = diff.change_count(fiction.chapters.withColumn("change", F.lit("new")))
-    asked = urls.select("url", url_segment(F.col("url"), 1, F.col("url")).alias("book_id"))
-    made = parsed.select("book_id", F.lit(False).alias("up_to_date")).distinct()
+    url = F.col("url")
+    asked = (
+        route_sources(urls.select("url").distinct(), rules)
+        .withColumn("book_id", url_segment(url, 1, stable_id(url)))
+        .groupBy("book_id")
+        .agg(F.min(F.struct("source", "url")).alias("_first"))
+        .select("book_id", "_first.source", "_first.url")
+        .where(F.col("source") != COMPAT)
+    )
+    native = asked.where(F.col("source") == profile.name)
+    parsed, missing = _parse_index_pages(crawled.index_pages, native, profile)
+    fiction = split_parsed(parsed, run_ts, profile.site)
+    everything_new = fiction.chapters.withColumn("change", F.lit("new"))
     outcomes = pin(
         diff.update_outcome(
-            route_sources(asked).dropDuplicates(["book_id"]), made, counts, fiction.rejects
+            asked,
+            native.select("book_id", F.lit(False).alias("up_to_date")),
+            diff.change_count(everything_new),
+            fiction.rejects.select("book_id", "error").unionByName(missing),
         )
     )
     good = broadcast_if_small(
@@ -216,6 +276,7 @@ def create_books(urls: DataFrame, crawled: Crawled, run_ts: datetime) -> Run:
         new,
         crawled.chapter_pages,
         spark.createDataFrame([], schemas.CHAPTER_CONTENT),
+        profile,
     )
 
 

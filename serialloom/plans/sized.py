@@ -12,5 +12,4 @@ def broadcast_if_small(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame
     book with very many rows stays spread over all tasks.  Beyond it Spark shuffles
     both sides, and adaptive execution splits partitions that are skewed.
     """
-    few = keys.limit(rows + 1).count() <= rows
-    return F.broadcast(keys) if few else keys
+    return F.broadcast(keys) if keys.count() <= rows else keys

@@ -182,6 +182,26 @@ def rewritten_with_names(spark, sf_dir):
     )
 
 
+LAST_PART = FORBIDDEN_SQL.format("regexp_extract(url, '([^/]*)$', 1)")
+REWRITTEN_NAMES_SQL = f"""
+WITH rows AS (SELECT {HOST_SQL} AS book_id, page_id, html, {IMAGES_SQL} AS srcs FROM pages),
+urls AS (SELECT DISTINCT book_id, unnest(srcs) AS url FROM rows),
+base AS (SELECT *, {LAST_PART} AS base_name, md5(url) AS rank FROM urls),
+marked AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY book_id, base_name ORDER BY rank, url) > 1
+                          THEN 1 ELSE 0 END AS dup FROM base),
+counted AS (SELECT *, sum(dup) OVER (PARTITION BY book_id ORDER BY rank, url
+                                     ROWS UNBOUNDED PRECEDING) - 1 AS k FROM marked),
+named AS (SELECT book_id, url, CASE WHEN dup = 1 THEN CAST(CAST(k AS BIGINT) AS VARCHAR) || '_' || base_name
+                               ELSE base_name END AS file FROM counted),
+maps AS (SELECT book_id, map(list(url), list(file)) AS files FROM named GROUP BY book_id)
+SELECT CAST(page_id AS VARCHAR) AS identifier,
+       list_reduce(list_concat([replace(html, '<a href=', '<img src=')], list_distinct_in_order),
+                   lambda acc, x: replace(acc, x, '../images/' || files[x])) AS content
+FROM (SELECT rows.*, files, list_filter(srcs, lambda x, i: list_position(srcs, x) = i) AS list_distinct_in_order
+      FROM rows JOIN maps ON rows.book_id = maps.book_id)
+"""
+
+
 def failed_assets(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").selectExpr(
         "doc_id", "'https://cdn/' || doc_id || CASE WHEN doc_id % 7 = 0 THEN '/failedtoload' ELSE '.png' END AS url"
@@ -369,7 +389,7 @@ QUERIES = {
                 {FORBIDDEN_SQL.format("regexp_extract(x, '([^/]*)$', 1)")})) AS html
             FROM pages""",
     ),
-    "rewrite_with_names": (rewritten_with_names, None),
+    "rewrite_with_names": (rewritten_with_names, REWRITTEN_NAMES_SQL),
     "drop_failed_assets": (
         failed_assets,
         "SELECT doc_id, 'https://cdn/' || CAST(doc_id AS VARCHAR) || '.png' AS url FROM documents WHERE doc_id % 7 <> 0",

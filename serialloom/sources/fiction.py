@@ -1,5 +1,6 @@
 """Index pages of books: the header and the list of published chapters."""
 
+from collections.abc import Sequence
 from datetime import datetime
 from typing import NamedTuple
 
@@ -31,15 +32,22 @@ class FictionPages(NamedTuple):
     rejects: DataFrame
 
 
-def parse_fiction_pages(pages: DataFrame, rules=FICTION_RULES) -> DataFrame:
-    """One row per page: header fields, the chapter list, and what is wrong."""
+def parse_fiction_pages(pages: DataFrame, rules: Sequence[Rule] = FICTION_RULES) -> DataFrame:
+    """One row per page: header fields, the chapter list, and what is wrong.
+
+    ``pages`` has url and html, and book_id where the book is known; else the id
+    is the second part of the url path.
+    """
+    if "book_id" not in pages.columns:
+        url = F.col("url")
+        pages = pages.withColumn("book_id", url_segment(url, 1, stable_id(url)))
     scripts = pages.withColumns(
         {
             "cover_url": cover_from_script(F.col("html")),
             "_json": chapters_from_script(F.col("html")),
         }
     )
-    parsed = extract_elements(scripts, rules, ["url", "cover_url", "_json"])
+    parsed = extract_elements(scripts, rules, ["book_id", "url", "cover_url", "_json"])
     listed = F.from_json("_json", LISTED)
 
     def unusable(c):
@@ -64,7 +72,7 @@ def parse_fiction_pages(pages: DataFrame, rules=FICTION_RULES) -> DataFrame:
         parsed.withColumn("_listed", listed)
         .withColumn("error", error)
         .select(
-            url_segment(F.col("url"), 1, stable_id(F.col("url"))).alias("book_id"),
+            "book_id",
             "url",
             "title",
             F.coalesce("author", F.lit(UNKNOWN_AUTHOR)).alias("author"),
@@ -77,13 +85,17 @@ def parse_fiction_pages(pages: DataFrame, rules=FICTION_RULES) -> DataFrame:
 
 
 def ingest_fiction_pages(
-    pages: DataFrame, run_ts: datetime, site: str = NATIVE_SITE, rules=FICTION_RULES
+    pages: DataFrame,
+    run_ts: datetime,
+    site: str = NATIVE_SITE,
+    rules: Sequence[Rule] = FICTION_RULES,
 ) -> FictionPages:
     """Split index pages (url, html) into books, published chapters and rejects."""
     return split_parsed(parse_fiction_pages(pages, rules), run_ts, site)
 
 
 def split_parsed(parsed: DataFrame, run_ts: datetime, site: str = NATIVE_SITE) -> FictionPages:
+    """Books, published chapters and rejects from parsed index pages."""
     good = parsed.where(F.col("error").isNull())
     dates = F.transform("listed", lambda c: rfc3339(c["date"]))
     books = good.select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from serialloom import schemas
 from serialloom.operators import assets, ignore, routing
 from serialloom.operators.toollog import classify_tool_log
-from serialloom.plans.maintain import Crawled, Stored, render_texts, update_books
+from serialloom.plans.maintain import Crawled, Stored, render_texts, stash_and_recreate, update_books
 from serialloom.plans.sized import broadcast_if_small
 from serialloom.sinks import tables
 from serialloom.streaming.feeds import watch_feeds
@@ -220,17 +220,40 @@ def test_broadcast_only_when_small(spark):
     assert "broadcast" not in plan(wide.join(broadcast_if_small(keys, 49), "id", "left_semi")).lower()
 
 
+def test_create_and_stash(spark, tmp_path):
+    site = "https://www.royalroad.com/fiction"
+    index = '<h1>N</h1>window.fictionCover = "c.png";\nwindow.chapters = [{"id":1,"order":0,"date":"2024-01-01T00:00:00Z","title":"P","url":"/c/1"}];\n'
+    crawled = Crawled(
+        spark.createDataFrame([(f"{site}/1/x", index), (f"{site}/3/x", "<p>")], "url string, html string"),
+        spark.createDataFrame([("https://www.royalroad.com/c/1", '<div class="chapter-inner chapter-content">hi</div>')], "url string, html string"),
+    )
+    files = spark.createDataFrame(
+        [(b, f"/lib/{b}.epub", u) for b, u in
+         [("1", f"{site}/1/x"), ("2", f"{site}/2/x"), ("3", f"{site}/3/x"), ("4", "https://else/"), ("5", None)]],
+        "book_id string, path string, url string",
+    )
+    stashed, run = stash_and_recreate(files, crawled, datetime(2024, 1, 2, 3, 4))
+    assert values(run.outcomes.where("outcome <> 'Unsupported'"), "book_id", "outcome", "n", "error") == [
+        ("1", "Updated", 1, None), ("2", "Error", None, "index page was not fetched"), ("3", "Error", None, "No title found")]
+    assert run.outcomes.where("outcome = 'Unsupported'").count() == 1
+    assert values(run.chapters, "book_id", "identifier", "pos") == [("1", "1", 1)]
+    texts = spark.createDataFrame([("1", "a"), ("5", "b")], "book_id string, v string")
+    tables.write_stash(stashed, [texts], str(tmp_path), ["texts"], "2024-01-02")
+    kept = spark.read.parquet(str(tmp_path / "texts"))
+    assert values(kept, "book_id", "v", "stash_name") == [("1", "a", "1_2024-01-02_03h04.epub")]
+
+
 def test_update_job_end_to_end(spark):
     site = "https://www.royalroad.com"
     day = [datetime(2024, 1, 1) + timedelta(days=i) for i in range(6)]
-    books = [(b, f"{site}/fiction/{b}/x", f"B{b}", "me", "", day[0], "https://c/old.png") for b in "123"]
+    books = [(b, f"{site}/fiction/{b}/x", f"B{b}", "me", "", day[0], "https://c/old.png") for b in "1234"]
     books.append(("9", "https://else/9", "B9", "me", "", day[0], ""))
     stored = Stored(
         spark.createDataFrame(books, schemas.BOOKS),
         spark.createDataFrame([(b, "1", 1, day[1], "one", f"{site}/c/{b}/1") for b in "123"], schemas.CHAPTERS),
         spark.createDataFrame([(b, "1", "<p>old</p>", None, None) for b in "123"], schemas.CHAPTER_CONTENT),
     )
-    feed = spark.createDataFrame([("1", "t", day[3]), ("2", "t", day[1])], schemas.FEED_ITEMS)
+    feed = spark.createDataFrame([("1", "t", day[3]), ("2", "t", day[1]), ("4", "t", day[1])], schemas.FEED_ITEMS)
     listed = ",".join(
         f'{{"id":{i},"order":{i},"date":"2024-01-0{i + 1}T00:00:00Z","title":"P{i}","url":"/c/1/{i}"}}' for i in (1, 2, 3)
     )
@@ -240,10 +263,12 @@ def test_update_job_end_to_end(spark):
         spark.createDataFrame([(f"{site}/fiction/1/x", index), (f"{site}/fiction/2/x", index)], "url string, html string"),
         spark.createDataFrame([(f"{site}/c/1/2", text), (f"{site}/c/1/1", text)], "url string, html string"),
     )
-    run = update_books(stored, feed, crawled, day[5])
+    log = spark.createDataFrame([("8", "stdout", 1, "x - Skipping")], schemas.TOOL_LOG)
+    run = update_books(stored, feed, crawled, day[5], tool_log=log)
     assert values(run.outcomes, "book_id", "outcome", "n", "error") == [
         ("1", "Updated", 2, None), ("2", "UpToDate", None, None),
-        ("3", "Unsupported", None, "feed has no valid date"), ("9", "Unsupported", None, None)]
+        ("3", "Unsupported", None, "feed has no valid date"), ("4", "Error", None, "index page was not fetched"),
+        ("8", "Skipped", None, None), ("9", "Unsupported", None, None)]
     assert values(run.books, "book_id", "title", "cover_url") == [("1", "B1", "https://c/new.png")]
     assert values(run.chapters, "identifier", "pos", "title") == [("1", 1, "one"), ("2", 2, "P2")]
     assert values(run.new_content, "identifier", "content") == [("2", '<img src="https://c/1.png">two')]
