@@ -1,5 +1,7 @@
 """Column functions on urls and file names."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from ..fixed_values import (
@@ -10,26 +12,59 @@ from ..fixed_values import (
 )
 
 
-def _part(url: Column, part: str) -> Column:
-    # A space is legal in a pasted url but not for the url parser.
-    return F.try_parse_url(F.replace(url, F.lit(" "), F.lit("%20")), F.lit(part))
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
+_HOST = _SCHEME + r"//(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^:/?#]*)"
+_ABSOLUTE = _SCHEME + "//"
+_PATH = _SCHEME + r"//[^/?#]*([^?#]*)"
+_HOSTLESS = r"(?i)^(?:https?|ftp|wss?):/*(?:[?#]|$)"
+
+# Fixed value: characters that a url path holds in percent form.
+_TO_ENCODE = r"""[ "<>`{}]|[^\x00-\x7F]"""
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _plain(url: Column) -> Column:
+    """A url without outer blanks and with '/' for '\\', as url parsers read it."""
+    return F.translate(F.trim(url), "\\", "/")
 
 
 def _url_path(url: Column) -> Column:
     """Path of an absolute url ('/' when it has none); NULL for anything else."""
-    path = _part(url, "PATH")
-    return F.when(
-        _part(url, "PROTOCOL").isNotNull() & path.isNotNull(),
-        F.when(path == "", F.lit("/")).otherwise(path),
-    )
+
+    def path(plain):
+        found = F.regexp_extract(plain, _PATH, 1)
+        return F.when(
+            plain.rlike(_ABSOLUTE) & ~plain.rlike(_HOSTLESS),
+            F.when(F.startswith(found, F.lit("/")), found).otherwise(F.lit("/")),
+        )
+
+    return _bound(_plain(url), path)
 
 
 def url_host(url: Column) -> Column:
     """Lower-case host, '' for a url without one, NULL for text that is no url."""
-    # Taken from the authority: the url parser has no host for names with '_'.
-    authority = F.coalesce(_part(url, "AUTHORITY"), F.lit(""))
-    host = F.regexp_extract(authority, r"^(?:.*@)?(\[[^\]]*\]|[^:]*)", 1)
-    return F.when(_part(url, "PROTOCOL").isNotNull(), F.lower(host))
+    return _bound(
+        _plain(url),
+        lambda plain: F.when(
+            plain.rlike(_SCHEME) & ~plain.rlike(_HOSTLESS),
+            F.lower(F.regexp_extract(plain, _HOST, 1)),
+        ),
+    )
+
+
+def _percent_encoded(name: Column) -> Column:
+    """Blanks and whatever else a url path holds in percent form only."""
+    letters = F.transform(
+        F.split(name, ""),
+        lambda c: F.when(c == " ", F.lit("%20"))
+        .when(c.rlike(_TO_ENCODE), F.url_encode(c))
+        .otherwise(c),
+    )
+    return F.when(name.rlike(_TO_ENCODE), F.array_join(letters, "")).otherwise(name)
 
 
 def url_segment(url: Column, n: int, fallback: Column | None = None) -> Column:
@@ -48,11 +83,16 @@ def asset_filename(url: Column) -> Column:
 
     A url that ends in '/' gives ''.  NULL when there is no name at all.
     """
-    from_url = F.element_at(F.split(_url_path(url), "/"), -1)
-    trimmed = F.regexp_replace(url, r"(?:/+\.?)+$", "")
-    last = F.regexp_extract(trimmed, r"([^/]*)$", 1)
-    from_path = F.when(~last.isin("", ".", ".."), last)
-    return safe_title(F.coalesce(from_url, from_path))
+    def from_path(text):
+        last = F.regexp_extract(F.regexp_replace(text, r"(?:/+\.?)+$", ""), r"([^/]*)$", 1)
+        return _bound(last, lambda name: F.when(~name.isin("", ".", ".."), name))
+
+    def named(path):
+        return F.when(path.isNull(), from_path(url)).otherwise(
+            _bound(F.substring_index(path, "/", -1), _percent_encoded)
+        )
+
+    return safe_title(_bound(_url_path(url), named))
 
 
 def absolute_url(path: Column, site: str = NATIVE_SITE) -> Column:

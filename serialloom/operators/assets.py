@@ -37,12 +37,12 @@ def asset_names(assets: DataFrame) -> DataFrame:
     MD5 of the url: any fixed order will do, and this one splits evenly into
     blocks, so neither a book nor a name with very many images meets in one task.
     """
+    # A list of no or one name: a filter on the name would be pushed down and make
+    # every url be taken apart twice.
+    name = F.filter(F.array(asset_filename(F.col("url"))), lambda n: n.isNotNull())
     named = assets.select(
-        "book_id",
-        "url",
-        asset_filename(F.col("url")).alias("base_name"),
-        F.md5("url").alias("_rank"),
-    ).where(F.col("base_name").isNotNull())
+        "book_id", "url", F.md5("url").alias("_rank"), F.explode(name).alias("base_name")
+    )
     firsts = named.groupBy("book_id", "base_name").agg(
         F.min(F.struct("_rank", "url")).alias("_first")
     )

@@ -1,19 +1,23 @@
 """Pacing and audit of requests, as tables."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed_values import BACKOFF_BASE_SECONDS, BACKOFF_CAP, REQUESTS_PER_SECOND
 from ..functions.dates import epoch_micros
 from .running import running, time_levels
 
-_BUCKET_SECONDS = 60
+_STRETCHES = (86_400, 3_600, 60)
+_BLOCK_ROWS = 2_000_000
 _TIE_BLOCK = 1_000_000
 
 
 def fetch_schedule(
     requests: DataFrame,
     gap_micros: int = 1_000_000 // REQUESTS_PER_SECOND,
-    bucket_seconds: int = _BUCKET_SECONDS,
+    stretches: Sequence[int] = _STRETCHES,
+    block_rows: int = _BLOCK_ROWS,
     tie_block: int = _TIE_BLOCK,
 ) -> DataFrame:
     """Earliest start of each request when a host takes one request per gap.
@@ -24,7 +28,9 @@ def fetch_schedule(
     Adds ``start_us`` (microseconds since the epoch) and ``delay_us``.
     """
     timed = requests.withColumn("_us", epoch_micros(requests, "ts"))
-    blocked, levels = time_levels(timed, "_us", "request_id", bucket_seconds, tie_block)
+    blocked, levels = time_levels(
+        timed, ["host"], "_us", "request_id", stretches, block_rows, tie_block
+    )
     paced = running(
         blocked,
         ["host"],
@@ -45,7 +51,8 @@ def fetch_schedule(
 def backoff_runs(
     fetch_log: DataFrame,
     partition_by: str | None = None,
-    bucket_seconds: int = _BUCKET_SECONDS,
+    stretches: Sequence[int] = _STRETCHES,
+    block_rows: int = _BLOCK_ROWS,
     tie_block: int = _TIE_BLOCK,
 ) -> DataFrame:
     """How often the client had been told to slow down before each request.
@@ -59,10 +66,13 @@ def backoff_runs(
     limited = F.col("status") == 429
     success = ~F.col("status").between(400, 599)
     timed = fetch_log.withColumn("_us", epoch_micros(fetch_log, "ts"))
-    blocked, levels = time_levels(timed, "_us", "request_id", bucket_seconds, tie_block)
+    keys = [partition_by] if partition_by else []
+    blocked, levels = time_levels(
+        timed, keys, "_us", "request_id", stretches, block_rows, tie_block
+    )
     counted = running(
         blocked,
-        [partition_by] if partition_by else [],
+        keys,
         levels,
         ["_us", "request_id"],
         add=F.when(limited, 1).otherwise(0),

@@ -107,18 +107,26 @@ def numbered(
 
 
 def time_levels(
-    rows: DataFrame, micros: str, tie: str, bucket_seconds: int, tie_block: int
+    rows: DataFrame,
+    keys: Sequence[str],
+    micros: str,
+    tie: str,
+    stretches: Sequence[int],
+    block_rows: int,
+    tie_block: int,
 ) -> tuple[DataFrame, list[list[str]]]:
-    """Block columns for an order by (instant, id).
+    """Block columns for an order by (instant, id) inside the keys.
 
-    The coarse level is a stretch of time.  The fine level is the instant and a
-    range of ids, so that even rows that share one instant are split: a block
-    holds at most ``tie_block`` ids.
+    A block is a stretch of time, the longest of ``stretches`` (seconds) in which
+    no key has more than ``block_rows`` rows; that takes one count, combined before
+    the shuffle, per length tried.  If even the shortest is too long, its blocks
+    are split further by instant and range of ids, so that rows which share one
+    instant are spread too: such a block holds at most ``tie_block`` ids.
     """
-    blocked = rows.withColumns(
-        {
-            "_stretch": F.floor(F.col(micros) / F.lit(bucket_seconds * 1_000_000)),
-            "_id_block": F.floor(F.col(tie) / F.lit(tie_block)),
-        }
-    )
+    for seconds in sorted(stretches, reverse=True):
+        blocked = rows.withColumn("_stretch", F.floor(F.col(micros) / F.lit(seconds * 1_000_000)))
+        largest = blocked.groupBy(*keys, "_stretch").count().agg(F.max("count")).first()[0]
+        if (largest or 0) <= block_rows:
+            return blocked, [["_stretch"]]
+    blocked = blocked.withColumn("_id_block", F.floor(F.col(tie) / F.lit(tie_block)))
     return blocked, [["_stretch"], [micros, "_id_block"]]

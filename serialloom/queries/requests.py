@@ -21,7 +21,7 @@ def schedule(spark, sf_dir):
     wanted = table(spark, sf_dir, "events").selectExpr(
         "event_type AS host", "ts", "event_id AS request_id"
     )
-    return fetchlog.fetch_schedule(wanted, gap_micros=GAP_US, bucket_seconds=3600)
+    return fetchlog.fetch_schedule(wanted, gap_micros=GAP_US)
 
 
 def schedule_of_bursts(spark, sf_dir):
@@ -29,7 +29,7 @@ def schedule_of_bursts(spark, sf_dir):
     wanted = table(spark, sf_dir, "events").selectExpr(
         "event_type AS host", "CAST(CAST(ts AS DATE) AS TIMESTAMP_NTZ) AS ts", "event_id AS request_id"
     )
-    return fetchlog.fetch_schedule(wanted, gap_micros=GAP_US, bucket_seconds=3600, tie_block=1000)
+    return fetchlog.fetch_schedule(wanted, gap_micros=GAP_US, block_rows=100, tie_block=1000)
 
 
 def _schedule_sql(ts):
@@ -44,11 +44,11 @@ SELECT host, ts, request_id, start_us, start_us - us AS delay_us FROM s
 
 
 def backoff(spark, sf_dir):
-    return fetchlog.backoff_runs(_log(spark, sf_dir), bucket_seconds=3600)
+    return fetchlog.backoff_runs(_log(spark, sf_dir))
 
 
 def backoff_per_user(spark, sf_dir):
-    return fetchlog.backoff_runs(_log(spark, sf_dir), partition_by="user_id", bucket_seconds=3600)
+    return fetchlog.backoff_runs(_log(spark, sf_dir), partition_by="user_id")
 
 
 def _backoff_sql(key):
@@ -66,7 +66,7 @@ SELECT request_id, user_id, ts, status, CAST(b AS INTEGER) AS bounce,
 
 
 def outcomes(spark, sf_dir):
-    runs = fetchlog.backoff_runs(_log(spark, sf_dir), bucket_seconds=3600)
+    runs = fetchlog.backoff_runs(_log(spark, sf_dir))
     return runs.select(
         "request_id", fetchlog.fetch_outcome(F.col("status"), F.col("bounce")).alias("outcome")
     )

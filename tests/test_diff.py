@@ -47,7 +47,7 @@ IDS = st.sampled_from("abcdef")
 
 
 @pytest.mark.parametrize("refresh", ["count_only", "replace"])
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     cur=st.lists(st.tuples(IDS, st.integers(0, 5), st.sampled_from([None, "old"])), max_size=6, unique_by=lambda r: r[0]),
     new=st.lists(st.tuples(IDS, st.integers(0, 5)), max_size=8),

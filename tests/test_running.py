@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import pytest
 from conftest import values
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from serialloom.operators.running import numbered
 
 GAP = 500_000
 SLOW = settings(
-    max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+    max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
 )
 START = datetime(2024, 1, 1)
 
@@ -28,12 +29,13 @@ def schedule_model(rows):
     return out
 
 
+@pytest.mark.parametrize("rows_per_block", [0, 1000])
 @SLOW
-@given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 5000)), min_size=1, max_size=60))
-def test_fetch_schedule_matches_a_loop(spark, wanted):
+@given(wanted=st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 5000)), min_size=1, max_size=60))
+def test_fetch_schedule_matches_a_loop(spark, rows_per_block, wanted):
     rows = [(host, _time(ms), i) for i, (host, ms) in enumerate(wanted)]
     df = spark.createDataFrame(rows, "host string, ts timestamp, request_id bigint")
-    got = fetch_schedule(df, GAP, bucket_seconds=1, tie_block=3)
+    got = fetch_schedule(df, GAP, stretches=[1], block_rows=rows_per_block, tie_block=3)
     starts = {r.request_id: r.start_us for r in got.collect()}
     assert starts == schedule_model(rows)
     for host in "ab":
@@ -48,7 +50,7 @@ def test_schedule_of_one_hot_host_at_one_instant(spark):
         F.lit(START).alias("ts"),
         F.col("id").alias("request_id"),
     )
-    got = fetch_schedule(rows, GAP, tie_block=100)
+    got = fetch_schedule(rows, GAP, block_rows=50, tie_block=100)
     hot = got.where("host = 'hot'").agg(F.count("*"), F.count_distinct("start_us"), F.max("delay_us")).first()
     assert hot[0] == hot[1] and hot[2] == (hot[0] - 1) * GAP
 
@@ -64,18 +66,19 @@ def backoff_model(rows):
     return out
 
 
+@pytest.mark.parametrize("rows_per_block", [0, 1000])
 @SLOW
 @given(
-    st.lists(
+    answers=st.lists(
         st.tuples(st.integers(0, 4000), st.sampled_from([429, 429, 429, 429, 404, 500, 200, 301])),
         min_size=1,
         max_size=60,
     )
 )
-def test_backoff_matches_a_loop(spark, answers):
+def test_backoff_matches_a_loop(spark, rows_per_block, answers):
     rows = [(i, _time(ms), status) for i, (ms, status) in enumerate(answers)]
     df = spark.createDataFrame(rows, "request_id bigint, ts timestamp, status int")
-    got = backoff_runs(df, bucket_seconds=1, tie_block=3)
+    got = backoff_runs(df, stretches=[1], block_rows=rows_per_block, tie_block=3)
     assert {r.request_id: (r.bounce, r.wait_seconds) for r in got.collect()} == backoff_model(rows)
 
 
