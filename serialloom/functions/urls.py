@@ -1,7 +1,5 @@
 """Column functions on urls and file names."""
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, functions as F
 
 from ..fixed_values import (
@@ -10,7 +8,7 @@ from ..fixed_values import (
     NATIVE_FEED_PREFIX,
     NATIVE_SITE,
 )
-
+from .binding import bound
 
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 _HOST = _SCHEME + r"//(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^:/?#]*)"
@@ -22,11 +20,6 @@ _HOSTLESS = r"(?i)^(?:https?|ftp|wss?):/*(?:[?#]|$)"
 _TO_ENCODE = r"""[ "<>`{}]|[^\x00-\x7F]"""
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value worked out once, however often it is used."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _plain(url: Column) -> Column:
     """A url without outer blanks and with '/' for '\\', as url parsers read it."""
     return F.translate(F.trim(url), "\\", "/")
@@ -42,12 +35,12 @@ def _url_path(url: Column) -> Column:
             F.when(F.startswith(found, F.lit("/")), found).otherwise(F.lit("/")),
         )
 
-    return _bound(_plain(url), path)
+    return bound(_plain(url), path)
 
 
 def url_host(url: Column) -> Column:
     """Lower-case host, '' for a url without one, NULL for text that is no url."""
-    return _bound(
+    return bound(
         _plain(url),
         lambda plain: F.when(
             plain.rlike(_SCHEME) & ~plain.rlike(_HOSTLESS),
@@ -85,14 +78,14 @@ def asset_filename(url: Column) -> Column:
     """
     def from_path(text):
         last = F.regexp_extract(F.regexp_replace(text, r"(?:/+\.?)+$", ""), r"([^/]*)$", 1)
-        return _bound(last, lambda name: F.when(~name.isin("", ".", ".."), name))
+        return bound(last, lambda name: F.when(~name.isin("", ".", ".."), name))
 
     def named(path):
         return F.when(path.isNull(), from_path(url)).otherwise(
-            _bound(F.substring_index(path, "/", -1), _percent_encoded)
+            bound(F.substring_index(path, "/", -1), _percent_encoded)
         )
 
-    return safe_title(_bound(_url_path(url), named))
+    return safe_title(bound(_url_path(url), named))
 
 
 def absolute_url(path: Column, site: str = NATIVE_SITE) -> Column:

@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..fixed_values import NATIVE_SITE
+from ..functions.binding import bound
 from ..functions.dates import rfc3339, time_literal
 from ..functions.html import chapters_from_script, cover_from_script
 from ..functions.labels import stable_id
@@ -61,26 +62,26 @@ def parse_fiction_pages(pages: DataFrame, rules: Sequence[Rule] = FICTION_RULES)
             F.lit(False),
         )
 
-    error = (
-        F.when(F.col("title").isNull(), "No title found")
-        .when(F.col("cover_url").isNull(), "No cover found")
-        .when(F.col("_json").isNull(), "No chapters found")
-        .when(F.col("_listed").isNull(), "chapter list is not valid JSON")
-        .when(F.exists("_listed", unusable), "chapter list has an unusable entry")
-    )
-    return (
-        parsed.withColumn("_listed", listed)
-        .withColumn("error", error)
-        .select(
-            "book_id",
-            "url",
-            "title",
-            F.coalesce("author", F.lit(UNKNOWN_AUTHOR)).alias("author"),
-            F.coalesce("description", F.lit("")).alias("description"),
-            "cover_url",
-            F.col("_listed").alias("listed"),
-            "error",
+    def judged(chapters):
+        error = (
+            F.when(F.col("title").isNull(), "No title found")
+            .when(F.col("cover_url").isNull(), "No cover found")
+            .when(F.col("_json").isNull(), "No chapters found")
+            .when(chapters.isNull(), "chapter list is not valid JSON")
+            .when(F.exists(chapters, unusable), "chapter list has an unusable entry")
         )
+        return F.struct(chapters.alias("listed"), error.alias("error"))
+
+    # The list is read once: a filter on a plain column made from it would be pushed
+    # down and read it again.
+    return parsed.select(
+        "book_id",
+        "url",
+        "title",
+        F.coalesce("author", F.lit(UNKNOWN_AUTHOR)).alias("author"),
+        F.coalesce("description", F.lit("")).alias("description"),
+        "cover_url",
+        F.inline(F.array(bound(listed, judged))),
     )
 
 
