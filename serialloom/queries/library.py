@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from .. import schemas
 from ..fixed_values import NATIVE_BOOK_PREFIX
 from ..functions.labels import strip_ext
 from ..operators import assets, diff, library

@@ -50,8 +50,8 @@ def scan_library(
 def read_ignore_files(spark: SparkSession, roots: Sequence[str], name: str) -> DataFrame:
     """Ignore lists kept as files beside the books, as (dir, line_no, pattern).
 
-    A name that starts with '.' must be given with its directory glob, because a
-    listing leaves hidden files out.
+    Spark lists no file whose name starts with '.' or '_'; lists under such names
+    have to be loaded into the ignore_rules table another way.
     """
     lists = (
         spark.read.format("binaryFile")

@@ -3,7 +3,6 @@ from datetime import datetime, timedelta
 import pytest
 from conftest import values
 from hypothesis import HealthCheck, given, settings, strategies as st
-from pyspark.sql import functions as F
 
 from serialloom import schemas
 from serialloom.operators import diff, library, products

@@ -3,7 +3,6 @@ from datetime import datetime
 
 import pytest
 from conftest import values
-from pyspark.sql import functions as F
 
 from serialloom.sources import archives, files
 from serialloom.sources.chapter_pages import (
