@@ -1,5 +1,13 @@
 """The registered queries of the operators, each with its SQL where SQL can express it."""
 
-from . import exact_dedup
+from . import chat_format, decontamination, exact_dedup, language_id, ngram_join, packing, url_filter
 
-QUERIES = {**exact_dedup.QUERIES}
+QUERIES = {
+    **ngram_join.QUERIES,
+    **exact_dedup.QUERIES,
+    **packing.QUERIES,
+    **decontamination.QUERIES,
+    **chat_format.QUERIES,
+    **url_filter.QUERIES,
+    **language_id.QUERIES,
+}
