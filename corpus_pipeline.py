@@ -1,28 +1,75 @@
-"""The corpus pipeline: stages that each call one operator of ``serialloom.llm``."""
+"""The corpus pipeline: stages that each call one operator of ``serialloom.llm``.
+
+Every stage gets the documents that the stages before it kept. All but the last return
+documents with all their columns; the last returns the packed pieces.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serialloom.llm.common import with_row_id
+from serialloom.llm.common import pick_rows, with_row_id
+from serialloom.llm.decontamination import contamination, judged
 from serialloom.llm.exact_dedup import exact_duplicates
+from serialloom.llm.language_id import accepted, learning_rows, train
+from serialloom.llm.ngram_join import near_duplicates
+from serialloom.llm.packing import packed_digest
 from serialloom.plans.pin import pin
 
+ROW = "pipeline_row"
+
+
+def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    ids = pin(dropped.select(F.col("row_id").alias(ROW)))
+    return pick_rows(rows, ids, "left_anti", ROW).drop(ROW)
+
+
+def _narrow(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col(ROW).alias("row_id"), "doc_id", "text")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised."""
+    return accepted(docs, train(learning_rows(docs)))
+
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    rows = with_row_id(docs, "pipeline_row")
-    found = exact_duplicates(rows.select(F.col("pipeline_row").alias("row_id"), "doc_id", "text"))
-    keep = found.filter("kept").select(F.col("row_id").alias("pipeline_row"))
-    return rows.join(keep, "pipeline_row", "left_semi").drop("pipeline_row")
+    rows = with_row_id(docs, ROW)
+    return _without(rows, exact_duplicates(_narrow(rows)).filter("NOT kept"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that near-duplicate links connect."""
+    rows = with_row_id(docs, ROW)
+    return _without(rows, near_duplicates(_narrow(rows)).filter("NOT kept"))
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which less than a twentieth of the words repeats benchmark passages."""
+    rows = with_row_id(docs, ROW)
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return _without(rows, judged(contamination(_narrow(rows), bench)).filter("contaminated"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token pieces with their places in sequences."""
+    return packed_digest(docs.select("doc_id", "text"))
 
 
-STAGES = [("exact dedup", exact)]
+STAGES = [
+    ("language ID", language),
+    ("exact dedup", exact),
+    ("n-gram Jaccard join", near),
+    ("benchmark decontamination", uncontaminated),
+    ("best-fit packing", packed),
+]
 
+#: SQL can't tokenise or find centroids; tests/llm checks the stages against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn, each written and read again."""
+    """All stages in turn, each written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = pin(stage(spark, docs, sf_dir))

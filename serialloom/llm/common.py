@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: Bytes of ASCII white space, as the contracts write it: ``[\x20\x09-\x0D]``.
 SPACES = r"[\x20\x09-\x0D]+"
 
+#: Up to so many row ids (8 bytes each) are broadcast; beyond, both sides are shuffled.
+BROADCAST_ROWS = 2_000_000
+
 #: A worker keeps at most so many words with what it knows of them, then starts anew.
 CACHED_WORDS = 300_000
 
@@ -21,6 +24,12 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def pick_rows(docs: DataFrame, ids: DataFrame, how: str, key: str = "row_id") -> DataFrame:
+    """``docs`` with (left_semi) or without (left_anti) these rows; ``ids`` is a written table."""
+    small = ids.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(ids) if small else ids, key, how)
+
+
 def remainder(doc_id, modulus: int):
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

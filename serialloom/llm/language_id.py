@@ -1,10 +1,12 @@
 """Language identification by nearest centroid.
 
-A text is the vector of its byte 1-, 2- and 3-grams (lower-cased UTF-8, hashed into
-``BUCKETS``), weighted by TF-IDF and normalised. Spherical k-means gives several centroids
+A text is the vector of the byte 1-, 2- and 3-grams of its words (lower-cased UTF-8, every
+run of ASCII characters that are no letters as one space, hashed into ``BUCKETS``),
+weighted by TF-IDF and normalised. Spherical k-means gives several centroids
 per language, fitted on a bounded sample of labelled rows; the language is that of the
-centroid with the largest cosine. A text is rejected if it has no letter, or if its cosine
-is far below those of the sample.
+centroid with the largest cosine. A text is rejected if it has no letter, or if it is far
+from all centroids. A few words have few n-grams and so a small cosine with any centroid;
+the cosine is measured against the root of their number up to ``SATURATED`` for that.
 """
 
 import pickle
@@ -21,17 +23,21 @@ BUCKETS, CENTROIDS = 1 << 13, 4
 #: Rows of each language that the model is fitted on, and languages, at most.
 SAMPLE, LANGUAGES = 500, 200
 #: Rejected below this share of the sample's first percentile.
-REJECT_SHARE = 0.25
+REJECT_SHARE = 0.3
+SATURATED = 400
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
 _SPAN = 1 << 20
+_FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
+_HELD = re.compile(rb" {2,}")
 
 
 def counts_of(text: str) -> np.ndarray:
     """How often each bucket's n-grams occur in the whole text."""
     total = np.zeros(BUCKETS, np.float32)
-    raw = np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)
+    folded = _HELD.sub(b" ", b" " + text.lower().encode("utf-8", "replace").translate(_FOLD) + b" ")
+    raw = np.frombuffer(folded, np.uint8)
     for at in range(0, max(1, len(raw) - 2), _SPAN):  # long texts in spans, which overlap by two
         b = raw[at : at + _SPAN + 2].astype(np.uint32)
         two = b[:-1] * np.uint32(0x9E3779B1) + b[1:] * np.uint32(0x85EBCA6B)
@@ -44,6 +50,10 @@ def counts_of(text: str) -> np.ndarray:
     return total
 
 
+def _reach(ngrams: int) -> float:
+    return max(1.0, min(float(ngrams), SATURATED)) ** 0.5 / SATURATED**0.5
+
+
 class Model:
     def __init__(self, languages: list[str], idf: np.ndarray, centroids: np.ndarray, owner: np.ndarray, least: float):
         self.languages, self.idf, self.centroids, self.owner, self.least = languages, idf, centroids, owner, least
@@ -56,10 +66,11 @@ class Model:
         """(nearest, score, rejected)"""
         if not text or not self.languages or not _LETTER.search(text):
             return UNKNOWN, 0.0, True
-        cosines = self.centroids @ self.vector(text)
+        vector = self.vector(text)
+        cosines = self.centroids @ vector
         best = int(np.argmax(cosines))
         score = min(1.0, max(0.0, float(cosines[best])))
-        return self.languages[self.owner[best]], score, score < self.least
+        return self.languages[self.owner[best]], score, score < self.least * _reach(np.count_nonzero(vector))
 
 
 def fit(texts: list[str], langs: list[str]) -> Model:
@@ -86,7 +97,8 @@ def fit(texts: list[str], langs: list[str]) -> Model:
         centroids.append(centers)
         owner += [k] * len(centers)
     centroids = np.concatenate(centroids).astype(np.float32)
-    least = REJECT_SHARE * float(np.percentile((vectors @ centroids.T).max(axis=1), 1))
+    reach = np.array([_reach(m) for m in (vectors > 0).sum(axis=1)])
+    least = REJECT_SHARE * float(np.percentile((vectors @ centroids.T).max(axis=1) / reach, 1))
     return Model(languages, idf, centroids, np.array(owner), least)
 
 
@@ -155,6 +167,22 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     )
 
 
+def _accepted(model, text: str):
+    def run(batches):
+        m = model.value
+        for batch in batches:
+            kept = [not m.predict(t)[2] for t in batch.column(text).to_pylist()]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return run
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The documents that ``identify`` does not reject, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_accepted(sent, text), docs.schema)
+
+
 def learning_rows(docs: DataFrame) -> DataFrame:
     """Rows whose id's crc32 modulo 5 is not 0."""
     return docs.filter(remainder(F.col("doc_id"), 5) != 0)

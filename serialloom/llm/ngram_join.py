@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.pin import pin
-from .common import Known, as_bytes, sorted_groups, with_row_id, words
+from .common import Known, as_bytes, pick_rows, sorted_groups, with_row_id, words
 from .components import components
 from .signature_tree import links
 
@@ -30,8 +30,6 @@ WORDS, PERCENT = 5, 75
 CHUNK = 1024
 #: Frequent tokens are an order, not a filter: more or fewer change no result.
 FREQUENT_SHARE, FREQUENT_MOST = 0.001, 200_000
-#: Above so many wanted rows the texts are joined by shuffle, not by broadcast.
-BROADCAST_ROWS = 2_000_000
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
@@ -165,23 +163,18 @@ def _search(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return wanted.mapInArrow(_tree_links(percent), "a long, b long")
 
 
-def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with these row ids; ids are distinct."""
-    small = ids.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(ids) if small else ids, "row_id", "left_semi")
-
-
 def near_duplicates(
     docs: DataFrame, text: str = "text", percent: int = PERCENT, width: int = WORDS, chunk: int = CHUNK
 ) -> DataFrame:
-    """One row per document: row_id, doc_id, n_shingles, component_id.
+    """One row per document: row_id, doc_id, n_shingles, component_id, kept.
 
     ``docs`` needs doc_id and ``text`` and may bring row_id (see ``with_row_id``). Words are
     what ASCII white space separates, A-Z lower-cased; a text of fewer words than ``width``
     is one shingle. Two documents link when the intersection of their sets is at least
-    ``percent`` of the union. component_id is the smallest doc_id that links reach. A null
-    or empty text, or one without words, has an empty set and its own doc_id; rows with one
-    doc_id are rows of their own. An empty table gives no rows; further columns are ignored.
+    ``percent`` of the union. component_id is the smallest doc_id that links reach, and the
+    first row with it is the one kept of the component. A null
+    or empty text, or one without words, has an empty set and its own doc_id, and is kept;
+    rows with one doc_id are rows of their own; a null doc_id comes last. An empty table gives no rows; further columns are ignored.
     """
     if "row_id" not in docs.columns:
         docs = with_row_id(docs)
@@ -210,8 +203,12 @@ def near_duplicates(
     classes = (
         facts.join(ids, "row_id")
         .groupBy(F.struct("d1", "d2").alias("d"))
-        .agg(F.min("row_id").alias("row_id"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-        .select("d.d1", "d.d2", "row_id", "doc_id", "n")
+        .agg(
+            F.min("row_id").alias("row_id"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("best"),
+            F.first("n").alias("n"),
+        )
+        .select("d.d1", "d.d2", "row_id", "best", "n")
     )
     classes = pin(classes)
     prefixes = (
@@ -223,7 +220,9 @@ def near_duplicates(
     shared = prefixes.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1")
     grouped = pin(prefixes.join(shared, "token"))
     sets = pin(
-        _wanted(texts, pin(grouped.select("row_id").distinct())).mapInArrow(_sets(width), "row_id long, tokens binary")
+        pick_rows(texts, pin(grouped.select("row_id").distinct()), "left_semi").mapInArrow(
+            _sets(width), "row_id long, tokens binary"
+        )
     )
 
     keys = grouped.groupBy("row_id").agg(F.min("token").alias("low"), F.max("token").alias("high"))
@@ -277,14 +276,17 @@ def near_duplicates(
     final = components(edges).withColumnRenamed("node", "row_id")
 
     named = pin(classes.join(final, "row_id", "left").withColumn("component", F.coalesce("component", "row_id")))
-    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    to_class = named.join(smallest, "component").select("d1", "d2", "component_id")
+    smallest = named.groupBy("component").agg(F.min("best").alias("best"))
+    to_class = named.drop("best").join(smallest, "component").select(
+        "d1", "d2", F.col("best.doc_id").alias("component_id"), F.col("best.row_id").alias("keep_row")
+    )
     rows = facts.join(ids, "row_id").join(to_class, ["d1", "d2"])
     return rows.select(
         "row_id",
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        ((F.col("n") == 0) | (F.col("row_id") == F.col("keep_row"))).alias("kept"),
     )
 
 
@@ -298,7 +300,7 @@ def _chunk(row: str, members: str, chunk: int, salt: int):
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return near_duplicates(docs).drop("row_id")
+    return near_duplicates(docs).drop("row_id", "kept")
 
 
 SQL = r"""
