@@ -63,7 +63,8 @@ def identities(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYT
             F.transform("blocks", lambda b: b.h).alias("hashes"),
         )
     )
-    cut = blocks.select(F.explode("blocks").alias("b")).select("b.h", "b.block").distinct()
+    # outer: else Spark infers a filter on the array, which makes it twice
+    cut = blocks.select(F.explode_outer("blocks").alias("b")).select("b.h", "b.block").distinct()
     names = pin(
         cut.sortWithinPartitions("block").withColumn("name", F.monotonically_increasing_id()).select("h", "name")
     )
@@ -74,7 +75,7 @@ def identities(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYT
     rows = rows.select("row_id", "n", "pos", "name")
     if clash:
         exact = (
-            blocks.select("row_id", F.size("blocks").alias("n"), F.posexplode("blocks").alias("pos", "b"))
+            blocks.select("row_id", F.size("blocks").alias("n"), F.posexplode_outer("blocks").alias("pos", "b"))
             .select("row_id", "n", "pos", "b.h", "b.block")
             .join(shared, "h", "left_semi")
         )
