@@ -12,7 +12,7 @@ SPACES = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 2_000_000
 
 #: A worker keeps at most so many words with what it knows of them, then starts anew.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
