@@ -1,10 +1,11 @@
 """Near duplicates: documents whose 5-word shingle sets have a Jaccard of 0.75 or more.
 
 1. Each text becomes a set of 64-bit shingles; texts with one set are one class.
-2. Two linked sets share a token among the first ``n - ceil(t n) + 1`` of each, in any
-   order of all tokens that is the same for both (prefix filter). The order here puts
-   tokens found frequent last, then goes by hash. So classes are grouped by the tokens of
-   their prefixes, and a token that only one class has there is left.
+2. Two linked sets share at least l tokens among the first ``n - ceil(t n) + l`` of each,
+   in any order of all tokens that is the same for both (prefix filter). The order here
+   puts tokens found frequent last, then goes by hash; l grows with n. So classes are
+   grouped by the tokens of their prefixes; a token that only one class has there is left,
+   and so is a class with fewer shared tokens than l for its smallest possible partner.
 3. Every group is searched with a signature tree (``signature_tree``), in two rounds. The
    first puts each class into two groups only, which finds most links; the second takes
    all groups in which more than one component is left, so no link is lost. Large groups
@@ -31,6 +32,9 @@ CHUNK = 1024
 #: Frequent tokens are an order, not a filter: more or fewer change no result.
 FREQUENT_SHARE, FREQUENT_MOST = 0.001, 200_000
 
+#: The l of the prefix filter: one, and so many hundredths of a set.
+EXTRA = 10
+
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
 
@@ -93,11 +97,12 @@ def _prefixes(percent: int, width: int, frequent):
     def run(batches):
         known, often = _known(), frequent.value
         for batch in batches:
-            out = []
+            out, sizes = [], []
             for text in as_bytes(batch.column("text")):
                 s = shingles(text, known, width)
                 n = len(s)
-                need = n + (-percent * n) // 100 + 1 if n else 0
+                sizes.append(n)
+                need = n + (-percent * n) // 100 + 1 + EXTRA * n // 100 if n else 0
                 if len(often) and n:
                     at = np.searchsorted(often, s)
                     at[at == len(often)] = 0
@@ -107,17 +112,23 @@ def _prefixes(percent: int, width: int, frequent):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("row_id"),
+                    pa.array(sizes, pa.int64()),
                     pa.ListArray.from_arrays(
                         np.concatenate([[0], np.cumsum([len(s) for s in out])]).astype(np.int32),
                         pa.array(np.concatenate([np.empty(0, np.int64), *out]), pa.int64()),
                     ),
                 ],
-                ["row_id", "prefix"],
+                ["row_id", "n", "prefix"],
             )
 
     return run
 
 
+def _met(rows: DataFrame) -> DataFrame:
+    """Tokens of more than one row."""
+    return rows.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
+
+
 def _sets(width: int):
     def run(batches):
         known = _known()
@@ -211,14 +222,18 @@ def near_duplicates(
         .select("d.d1", "d.d2", "row_id", "best", "n")
     )
     classes = pin(classes)
-    prefixes = (
-        texts.mapInArrow(_prefixes(percent, width, frequent), "row_id long, prefix array<long>")
-        .join(classes.filter("n > 0").select("row_id"), "row_id")
-        .select("row_id", F.explode("prefix").alias("token"))
+    one_each = pin(classes.filter("n > 0").select("row_id"))
+    prefixes = pin(
+        pick_rows(texts, one_each, "left_semi").mapInArrow(
+            _prefixes(percent, width, frequent), "row_id long, n long, prefix array<long>"
+        )
     )
-    prefixes = pin(prefixes)
-    shared = prefixes.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1")
-    grouped = pin(prefixes.join(shared, "token"))
+    rows = prefixes.select("row_id", "n", F.explode("prefix").alias("token"))
+    hits = pin(rows.join(_met(rows), "token"))
+    least = 1 + F.floor(EXTRA * F.ceil(percent * F.col("n") / 100) / 100)
+    live = hits.groupBy("row_id", "n").agg(F.count("*").alias("k")).filter(F.col("k") >= least).select("row_id")
+    hits = pin(hits.join(live, "row_id").select("row_id", "token"))
+    grouped = pin(hits.join(_met(hits), "token"))
     sets = pin(
         pick_rows(texts, pin(grouped.select("row_id").distinct()), "left_semi").mapInArrow(
             _sets(width), "row_id long, tokens binary"
