@@ -1,9 +1,10 @@
 """The registered queries of the operators, each with its SQL where SQL can express it."""
 
-from . import chat_format, decontamination, exact_dedup, language_id, ngram_join, packing, toxicity, url_filter
+from . import chat_format, decontamination, exact_dedup, language_id, lm_scoring, ngram_join, packing, toxicity, url_filter
 
 QUERIES = {
     **ngram_join.QUERIES,
+    **lm_scoring.QUERIES,
     **toxicity.QUERIES,
     **exact_dedup.QUERIES,
     **packing.QUERIES,
