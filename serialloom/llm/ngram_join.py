@@ -6,10 +6,11 @@
    puts tokens found frequent last, then goes by hash; l grows with n. So classes are
    grouped by the tokens of their prefixes; a token that only one class has there is left,
    and so is a class with fewer shared tokens than l for its smallest possible partner.
-3. Every group is searched with a signature tree (``signature_tree``), in two rounds. The
-   first puts each class into two groups only, which finds most links; the second takes
-   all groups in which more than one component is left, so no link is lost. Large groups
-   are cut into chunks; the second round meets every chunk with every other one.
+3. Groups are searched with signature trees (``signature_tree``), in two rounds. The first
+   puts each class into one group only, which finds most links. The second takes all groups
+   in which more than one component is left, so no link is lost: groups that share classes
+   are one bundle, and a bundle is searched at once, or by its groups where that is less
+   work. Large ones are cut into chunks, and every chunk meets every other one.
 4. The links' components give each document its class id.
 
 Nothing here holds an unbounded group: a task holds one chunk or a pair of them.
@@ -32,6 +33,8 @@ CHUNK = 1024
 #: Frequent tokens are an order, not a filter: more or fewer change no result.
 FREQUENT_SHARE, FREQUENT_MOST = 0.001, 200_000
 
+#: Tasks that the rows of one frequent token go to.
+SPREAD = 64
 #: The l of the prefix filter: one, and so many hundredths of a set.
 EXTRA = 10
 
@@ -92,38 +95,60 @@ def _facts(percent: int, width: int):
 
 
 def _prefixes(percent: int, width: int, frequent):
-    """row_id and prefix: the tokens by which the set is grouped."""
+    """(token, spread, row_id) of the tokens by which a set is grouped.
+
+    spread deals the rows of a frequent token out to several tasks; else it is -1.
+    """
 
     def run(batches):
         known, often = _known(), frequent.value
         for batch in batches:
-            out, sizes = [], []
-            for text in as_bytes(batch.column("text")):
+            tokens, spread, rows = [], [], []
+            for row, text in zip(batch.column("row_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
                 s = shingles(text, known, width)
                 n = len(s)
-                sizes.append(n)
-                need = n + (-percent * n) // 100 + 1 + EXTRA * n // 100 if n else 0
-                if len(often) and n:
+                if not n:
+                    continue
+                late = np.zeros(n, bool)
+                if len(often):
                     at = np.searchsorted(often, s)
                     at[at == len(often)] = 0
                     late = often[at] == s
-                    s = np.concatenate([s[~late], s[late]])
-                out.append(s[:need])
+                order = np.argsort(late, kind="stable")[: n + (-percent * n) // 100 + 1 + EXTRA * n // 100]
+                tokens.append(s[order])
+                spread.append(np.where(late[order], row % SPREAD, -1))
+                rows.append(np.full(len(order), row))
+            empty = [np.empty(0, np.int64)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("row_id"),
-                    pa.array(sizes, pa.int64()),
-                    pa.ListArray.from_arrays(
-                        np.concatenate([[0], np.cumsum([len(s) for s in out])]).astype(np.int32),
-                        pa.array(np.concatenate([np.empty(0, np.int64), *out]), pa.int64()),
-                    ),
-                ],
-                ["row_id", "n", "prefix"],
+                [pa.array(np.concatenate(x + empty), pa.int64()) for x in (tokens, spread, rows)],
+                ["token", "spread", "row_id"],
             )
 
     return run
 
 
+def _neighbours(batches):
+    """Rows, sorted by token, whose token another row has, and all of frequent tokens."""
+    held = None  # the last row, and whether one before has its token
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        token, spread, row = (batch.column(c).to_numpy() for c in ("token", "spread", "row_id"))
+        if held is not None:
+            token, spread, row = (np.concatenate([[h], x]) for h, x in zip(held[:3], (token, spread, row), strict=True))
+        same = token[1:] == token[:-1]
+        met = (spread >= 0) | np.concatenate([[held is not None and held[3]], same]) | np.concatenate([same, [False]])
+        last = len(token) - 1
+        held = (token[last], spread[last], row[last], met[last])
+        yield _hits(token[:last][met[:last]], row[:last][met[:last]])
+    if held is not None and held[3]:
+        yield _hits(np.array([held[0]]), np.array([held[2]]))
+
+
+def _hits(token: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(token, pa.int64()), pa.array(row, pa.int64())], ["token", "row_id"])
+
+
 def _met(rows: DataFrame) -> DataFrame:
     """Tokens of more than one row."""
     return rows.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
@@ -223,15 +248,17 @@ def near_duplicates(
     )
     classes = pin(classes)
     one_each = pin(classes.filter("n > 0").select("row_id"))
-    prefixes = pin(
-        pick_rows(texts, one_each, "left_semi").mapInArrow(
-            _prefixes(percent, width, frequent), "row_id long, n long, prefix array<long>"
+    prefixes = pick_rows(texts, one_each, "left_semi").mapInArrow(
+        _prefixes(percent, width, frequent), "token long, spread long, row_id long"
+    )
+    hits = pin(
+        prefixes.repartition("token", "spread").sortWithinPartitions("token").mapInArrow(
+            _neighbours, "token long, row_id long"
         )
     )
-    rows = prefixes.select("row_id", "n", F.explode("prefix").alias("token"))
-    hits = pin(rows.join(_met(rows), "token"))
     least = 1 + F.floor(EXTRA * F.ceil(percent * F.col("n") / 100) / 100)
-    live = hits.groupBy("row_id", "n").agg(F.count("*").alias("k")).filter(F.col("k") >= least).select("row_id")
+    shared = hits.groupBy("row_id").agg(F.count("*").alias("k"))
+    live = shared.join(classes.select("row_id", "n"), "row_id").filter(F.col("k") >= least).select("row_id")
     hits = pin(hits.join(live, "row_id").select("row_id", "token"))
     grouped = pin(hits.join(_met(hits), "token"))
     sets = pin(
@@ -240,18 +267,19 @@ def near_duplicates(
         )
     )
 
-    keys = grouped.groupBy("row_id").agg(F.min("token").alias("low"), F.max("token").alias("high"))
-    first = keys.select("row_id", F.posexplode(F.array("low", "high")).alias("two", "token"))
-    size = first.groupBy(F.struct("token", "two").alias("g")).agg(F.count("*").alias("m")).filter("m > 1")
-    first = first.join(size.select("g.token", "g.two", "m"), ["token", "two"]).select(
+    first = grouped.groupBy("row_id").agg(F.min("token").alias("token"))
+    size = first.groupBy(F.struct("token").alias("g")).agg(F.count("*").alias("m")).filter("m > 1")
+    first = first.join(size.select("g.token", "m"), "token")
+    ways = F.explode(F.when(F.col("m") > chunk, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    # a group too large for one chunk is cut in two ways, which connects its chunks
+    first = first.select("token", "row_id", "m", ways.alias("way")).select(
         "token",
-        # "two" keeps the two ways apart; a chunk meets only itself here
-        F.when(F.col("two") == 0, _chunk("row_id", "m", chunk, 1)).otherwise(-1 - _chunk("row_id", "m", chunk, 2)).alias("one"),
+        (F.pmod(F.xxhash64("row_id", "way"), F.ceil(F.col("m") / chunk)) * 2 + F.col("way")).cast("int").alias("one"),
         F.lit(-1).alias("two"),
         F.lit(False).alias("other"),
         "row_id",
         F.col("row_id").alias("component"),
-    )
+    )
     found = pin(_search(first, sets, percent))
     known = components(found).withColumnRenamed("node", "row_id")
 
@@ -261,24 +289,29 @@ def near_duplicates(
         )
     )
     open_groups = (
-        labelled.groupBy("token")
-        .agg(
-            F.min("component").alias("a"),
-            F.max("component").alias("b"),
-            F.count("*").alias("m"),
-            F.sum(F.xxhash64("row_id").cast("decimal(38,0)")).alias("s1"),
-            F.bit_xor(F.xxhash64("row_id", F.lit(1))).alias("s2"),
-        )
+        labelled.groupBy(F.struct("token").alias("g"))
+        .agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("m"), F.min("row_id").alias("head"))
         .filter("a <> b")
-        # groups of the same members are one group
-        .groupBy(F.struct("m", "s1", "s2").alias("g"))
-        .agg(F.min("token").alias("token"))
-        .select("token", F.ceil(F.col("g.m") / chunk).cast("int").alias("chunks"))
+        .select("g.token", "m", "head")
+    )
+    still = pin(labelled.join(open_groups, "token"))
+    bundles = components(still.select(F.col("row_id").alias("a"), F.col("head").alias("b")))
+    still = pin(still.join(bundles.select(F.col("node").alias("row_id"), F.col("component").alias("bundle")), "row_id"))
+    by_group = still.select("bundle", "token", "m").distinct().groupBy("bundle")
+    by_group = by_group.agg(F.sum(F.col("m") * F.ceil(F.col("m") / chunk)).alias("by_group"))
+    members = still.select("bundle", "row_id", "component").distinct()
+    whole = members.groupBy("bundle").agg(F.count("*").alias("size")).join(by_group, "bundle")
+    whole = pin(whole.withColumn("at_once", F.col("size") * F.ceil(F.col("size") / chunk) <= F.col("by_group")))
+    searched = (
+        members.join(whole.filter("at_once"), "bundle")
+        .select(F.col("bundle").alias("token"), "row_id", "component", F.col("size").alias("m"))
+        .unionByName(
+            still.join(whole.filter("NOT at_once"), "bundle").select("token", "row_id", "component", "m")
+        )
+        .withColumn("chunks", F.ceil(F.col("m") / chunk).cast("int"))
+        .withColumn("mine", F.pmod(F.xxhash64("row_id"), F.col("chunks")).cast("int"))
     )
-    mine = labelled.join(open_groups, "token").withColumn("mine", _chunk_of("row_id", "chunks", 3))
-    met = mine.select(
-        "token", "row_id", "component", "mine", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("its")
-    ).select(
+    met = searched.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("its")).select(
         "token",
         F.least("mine", "its").alias("one"),
         F.when(F.col("mine") == F.col("its"), -1).otherwise(F.greatest("mine", "its")).alias("two"),
@@ -305,14 +338,6 @@ def near_duplicates(
     )
 
 
-def _chunk_of(row: str, chunks: str, salt: int):
-    return F.pmod(F.xxhash64(row, F.lit(salt)), F.col(chunks)).cast("int")
-
-
-def _chunk(row: str, members: str, chunk: int, salt: int):
-    return F.pmod(F.xxhash64(row, F.lit(salt)), F.ceil(F.col(members) / chunk)).cast("int")
-
-
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs).drop("row_id", "kept")
