@@ -1,6 +1,6 @@
 """The registered queries of the operators, each with its SQL where SQL can express it."""
 
-from . import chat_format, decontamination, exact_dedup, language_id, lm_scoring, ngram_join, packing, toxicity, url_filter
+from . import chat_format, decontamination, exact_dedup, language_id, lm_scoring, main_text, ngram_join, packing, toxicity, url_filter
 
 QUERIES = {
     **ngram_join.QUERIES,
@@ -8,6 +8,7 @@ QUERIES = {
     **toxicity.QUERIES,
     **exact_dedup.QUERIES,
     **packing.QUERIES,
+    **main_text.QUERIES,
     **decontamination.QUERIES,
     **chat_format.QUERIES,
     **url_filter.QUERIES,
