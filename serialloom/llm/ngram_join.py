@@ -8,9 +8,10 @@
    and so is a class with fewer shared tokens than l for its smallest possible partner.
 3. Groups are searched with signature trees (``signature_tree``), in two rounds. The first
    puts each class into one group only, which finds most links. The second takes all groups
-   in which more than one component is left, so no link is lost: groups that share classes
-   are one bundle, and a bundle is searched at once, or by its groups where that is less
-   work. Large ones are cut into chunks, and every chunk meets every other one.
+   in which more than one component is left, so no link is lost. Groups are cut into zones
+   of sizes that can link; groups of one zone that share classes are one bundle, and a
+   bundle is searched at once, or by its groups where that is less work. Large ones are cut
+   into chunks, and every chunk meets every other one.
 4. The links' components give each document its class id.
 
 Nothing here holds an unbounded group: a task holds one chunk or a pair of them.
@@ -29,7 +30,7 @@ from .signature_tree import links
 
 WORDS, PERCENT = 5, 75
 #: Classes that one chunk of a group holds on average.
-CHUNK = 1024
+CHUNK = 4096
 #: Frequent tokens are an order, not a filter: more or fewer change no result.
 FREQUENT_SHARE, FREQUENT_MOST = 0.001, 200_000
 
@@ -154,6 +155,12 @@ def _met(rows: DataFrame) -> DataFrame:
     return rows.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
 
 
+def _open(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Groups in which more than one component is left."""
+    ends = rows.groupBy(F.struct(*keys).alias("g")).agg(F.min("component").alias("a"), F.max("component").alias("b"))
+    return ends.filter("a <> b").select("g.*")
+
+
 def _sets(width: int):
     def run(batches):
         known = _known()
@@ -288,16 +295,26 @@ def near_duplicates(
             "token", "row_id", F.coalesce("component", "row_id").alias("component")
         )
     )
-    open_groups = (
-        labelled.groupBy(F.struct("token").alias("g"))
-        .agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("m"), F.min("row_id").alias("head"))
-        .filter("a <> b")
-        .select("g.token", "m", "head")
-    )
-    still = pin(labelled.join(open_groups, "token"))
-    bundles = components(still.select(F.col("row_id").alias("a"), F.col("head").alias("b")))
-    still = pin(still.join(bundles.select(F.col("node").alias("row_id"), F.col("component").alias("bundle")), "row_id"))
-    by_group = still.select("bundle", "token", "m").distinct().groupBy("bundle")
+    # sizes of a linked pair differ by a factor of 100 / percent at most: one zone, or the next
+    step = F.floor(F.log("n") / F.log(F.lit(101.0 / percent))).cast("int")
+    zones = pin(
+        labelled.select("row_id").distinct().join(classes, "row_id").select("row_id", least.alias("least"), step.alias("step"))
+    )
+    still = labelled.join(_open(labelled, ["token"]), "token").join(zones, "row_id")
+    still = still.select(
+        "token", F.explode(F.array("step", F.col("step") - 1)).alias("zone"), "row_id", "component", "least"
+    )
+    for _ in range(2):  # each time, groups that are open no more take classes with them, and the reverse
+        still = pin(still.join(_open(still, ["token", "zone"]), ["token", "zone"]))
+        enough = still.groupBy("row_id", "zone", "least").agg(F.count("*").alias("k")).filter(F.col("k") >= F.col("least"))
+        still = still.join(enough.select("row_id", "zone"), ["row_id", "zone"])
+    node = F.xxhash64("row_id", "zone")
+    still = pin(still.withColumn("node", node))
+    groups = still.groupBy(F.struct("token", "zone").alias("g")).agg(F.count("*").alias("m"), F.min("node").alias("head"))
+    still = pin(still.join(groups.select("g.token", "g.zone", "m", "head"), ["token", "zone"]))
+    bundles = components(still.select(F.col("node").alias("a"), F.col("head").alias("b")))
+    still = pin(still.join(bundles.select("node", F.col("component").alias("bundle")), "node"))
+    by_group = still.select("bundle", "token", "zone", "m").distinct().groupBy("bundle")
     by_group = by_group.agg(F.sum(F.col("m") * F.ceil(F.col("m") / chunk)).alias("by_group"))
     members = still.select("bundle", "row_id", "component").distinct()
     whole = members.groupBy("bundle").agg(F.count("*").alias("size")).join(by_group, "bundle")
@@ -306,7 +323,9 @@ def near_duplicates(
         members.join(whole.filter("at_once"), "bundle")
         .select(F.col("bundle").alias("token"), "row_id", "component", F.col("size").alias("m"))
         .unionByName(
-            still.join(whole.filter("NOT at_once"), "bundle").select("token", "row_id", "component", "m")
+            still.join(whole.filter("NOT at_once"), "bundle").select(
+                F.xxhash64("token", "zone").alias("token"), "row_id", "component", "m"
+            )
         )
         .withColumn("chunks", F.ceil(F.col("m") / chunk).cast("int"))
         .withColumn("mine", F.pmod(F.xxhash64("row_id"), F.col("chunks")).cast("int"))
