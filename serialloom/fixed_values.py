@@ -17,7 +17,6 @@ FAILED_ASSET_SUFFIX = "failedtoload"
 
 # Limits.
 MAX_CHANGES = 65_535
-MAX_ASSET_BYTES = 100_000_000
 NOTICE_MAX_BYTES = 200
 TITLE_DISPLAY_CHARS = 50
 IMAGE_BOX_WIDTH = 600

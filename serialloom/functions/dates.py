@@ -34,24 +34,28 @@ def rfc2822(text: Column) -> Column:
     """'Wed, 31 Jan 2024 10:00:00 GMT' as an instant.
 
     The weekday is optional, but one that contradicts the date makes the text
-    invalid.  Seconds are optional.
+    invalid.  Seconds are optional, and so are comments in brackets.  Years of two
+    digits are 1950 to 2049, those of three count from 1900.
     """
     shape = (
-        r"(?i)^\s*(?:([a-z]{3})\s*,)?\s*(\d{1,2}\s+[a-z]{3}\s+\d{4})\s+"
+        r"(?i)^\s*(?:([a-z]{3})\s*,)?\s*(\d{1,2}\s+[a-z]{3})\s+(\d{2,4})\s+"
         r"(\d{2}:\d{2})(:\d{2})?\s*([+-]\d{4}|[a-z]{1,3})\s*$"
     )
 
+    text = F.regexp_replace(text, r"\([^()]*\)", " ")
     # One match gives all parts; the lambda binds them, so it runs once per text.
-    parts = F.split(F.regexp_replace(text, shape, "$1|$2|$3|$4|$5"), r"\|")
+    parts = F.split(F.regexp_replace(text, shape, "$1|$2|$3|$4|$5|$6"), r"\|")
     offsets = F.create_map(*[F.lit(x) for pair in ZONE_OFFSETS.items() for x in pair])
 
     def parse(p):
-        zone = F.upper(p[4])
+        zone = F.upper(p[5])
         offset = F.when(zone.rlike("^[+-]"), zone).otherwise(F.try_element_at(offsets, zone))
-        day = F.initcap(F.regexp_replace(p[1], r"\s+", " "))
-        seconds = F.when(p[3] == "", F.lit(":00")).otherwise(p[3])
+        digits, year = F.length(p[2]), p[2].cast("int")
+        year = year + F.when(digits == 4, 0).when((digits == 2) & (year < 50), 2000).otherwise(1900)
+        day = F.concat(F.initcap(F.regexp_replace(p[1], r"\s+", " ")), F.lit(" "), year.cast("string"))
+        seconds = F.when(p[4] == "", F.lit(":00")).otherwise(p[4])
         moment = F.try_to_timestamp(
-            F.concat(day, F.lit(" "), p[2], seconds, F.lit(" "), offset),
+            F.concat(day, F.lit(" "), p[3], seconds, F.lit(" "), offset),
             F.lit("d MMM yyyy HH:mm:ss Z"),
         )
         named = F.date_format(F.try_to_timestamp(day, F.lit("d MMM yyyy")), "EEE")

@@ -100,7 +100,8 @@ def meta_content(html: Column, name: str) -> Column:
 
 
 def _script_value(html: Column, pattern: str) -> Column:
-    return F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 1))
+    # one run of the pattern over the page; none found is NULL
+    return F.try_element_at(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), F.lit(1))
 
 
 def cover_from_script(html: Column) -> Column:

@@ -43,7 +43,7 @@ def image_plan(kind: Column, width: Column, height: Column) -> Column:
     )
     box_height = F.when(
         width > 0,
-        F.floor(F.lit(IMAGE_BOX_WIDTH).cast("long") * height / width).cast("long"),
+        F.call_function("div", F.lit(IMAGE_BOX_WIDTH).cast("long") * height, width),
     )
     return F.struct(
         action.alias("action"),

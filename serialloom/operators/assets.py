@@ -2,7 +2,6 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..fixed_values import MAX_ASSET_BYTES
 from ..functions.html import drop_failed, image_urls, rewrite_image_refs
 from ..functions.urls import asset_filename
 from .running import numbered
@@ -25,10 +24,6 @@ def drop_failed_assets(assets: DataFrame) -> DataFrame:
     return assets.where(drop_failed(F.col("url")))
 
 
-def drop_large_assets(assets: DataFrame, limit: int = MAX_ASSET_BYTES) -> DataFrame:
-    return assets.where(F.octet_length("bytes") <= limit)
-
-
 def asset_names(assets: DataFrame) -> DataFrame:
     """File name of each (book_id, url); urls without any name have no row.
 

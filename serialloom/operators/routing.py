@@ -31,14 +31,6 @@ def source_rules(spark: SparkSession, rules: Sequence[SourceRule] = ALL_RULES) -
     return spark.createDataFrame(list(rules), schemas.SOURCE_RULES)
 
 
-def read_source_rules(table: DataFrame, limit: int = 5_000) -> list[SourceRule]:
-    """Rules from a table.  They become part of the plan, so their number is checked."""
-    rows = table.select(*SourceRule._fields).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} source rules")
-    return [SourceRule(*row) for row in rows]
-
-
 def _any_hit(url: Column, patterns: Column, test) -> Column:
     return F.exists(patterns, lambda pattern: test(url, pattern))
 

@@ -17,13 +17,12 @@ from ..functions.labels import stable_id
 from ..functions.urls import url_segment
 from ..operators import assets, diff, products
 from ..operators.library import stash_books
-from ..operators.routing import ALL_RULES, COMPAT, SourceRule, route_sources
+from ..operators.routing import ALL_RULES, COMPAT, UNSUPPORTED, SourceRule, route_sources
 from ..operators.toollog import classify_tool_log
 from ..sources.chapter_pages import CHAPTER_NOTICES, CHAPTER_RULES, extract_chapter_pages
 from ..sources.elements import NoticeRule, Rule
 from ..sources.fiction import FICTION_RULES, parse_fiction_pages, split_parsed
 from .pin import pin
-from .sized import broadcast_if_small
 
 
 class Stored(NamedTuple):
@@ -86,7 +85,7 @@ class Run:
     @cached_property
     def _parsed(self) -> DataFrame:
         """The crawled pages of the wanted chapters; others are never parsed."""
-        keys = broadcast_if_small(self._to_fetch.select(*diff.KEY, "url").distinct())
+        keys = self._to_fetch.select(*diff.KEY, "url").distinct()
         wanted = self._chapter_pages.join(keys, "url").select(*diff.KEY, "html")
         rules, notices = self._profile.chapter_rules, self._profile.notices
         return pin(extract_chapter_pages(wanted, diff.KEY, rules, notices))
@@ -159,12 +158,33 @@ def _parse_index_pages(
 
     Only the pages of those books are parsed, and each only once.
     """
-    wanted = broadcast_if_small(books.select("url", "book_id").distinct())
+    wanted = books.select("url", "book_id").distinct()
     parsed = pin(parse_fiction_pages(crawled.join(wanted, "url"), profile.index_rules))
     missing = books.join(parsed.select("book_id").distinct(), "book_id", "left_anti")
     return parsed, missing.select("book_id", F.lit("index page was not fetched").alias("error"))
 
 
+def _without_profile(books: DataFrame, profile: SourceProfile) -> DataFrame:
+    """Errors of books whose source has rules but no profile here."""
+    mine = F.col("source").isin(profile.name, UNSUPPORTED, COMPAT)
+    error = F.concat(F.lit("no profile for the source "), F.col("source"))
+    return books.where(~mine).select("book_id", error.alias("error"))
+
+
+def _tool_outcomes(books: DataFrame, tool_log: DataFrame | None) -> DataFrame:
+    """One outcome for each book of the external updater; other runs in its log count for nothing."""
+    silent = F.lit("no run of the external updater")
+    if tool_log is None:
+        return books.select("book_id", F.lit("Error").alias("outcome"), F.lit(None).cast("int").alias("n"), silent.alias("error"))
+    said = classify_tool_log(tool_log)
+    return books.join(said, "book_id", "left").select(
+        "book_id",
+        F.coalesce("outcome", F.lit("Error")).alias("outcome"),
+        "n",
+        F.when(F.col("outcome").isNull(), silent).otherwise(F.col("error")).alias("error"),
+    )
+
+
 def update_books(
     stored: Stored,
     feed_items: DataFrame,
@@ -179,10 +199,13 @@ def update_books(
 
     Pages are parsed only for books that the feed says have moved on, and
     chapter pages only for chapters whose text is wanted.  ``crawled`` has one
-    page per url.  Books of the external updater get their outcomes from its
-    log, where each run_id is a book_id.
+    page per url.  Every stored book gets one outcome.  Those of the external
+    updater come from its log, where each run_id is a book_id; without a run in
+    the log such a book is an error, and so is one of a source that neither the
+    profile nor the updater takes care of, unless its feed says it is up to date.
     """
-    routed = route_sources(stored.books, rules).where(F.col("source") != COMPAT)
+    every = route_sources(stored.books, rules)
+    routed = every.where(F.col("source") != COMPAT)
     gates = diff.gate_up_to_date(
         diff.library_high_water(stored.chapters), diff.feed_high_water(feed_items)
     )
@@ -196,14 +219,16 @@ def update_books(
         routed,
         gates,
         diff.change_count(classified),
-        fiction.rejects.select("book_id", "error").unionByName(missing),
+        fiction.rejects.select("book_id", "error")
+        .unionByName(missing)
+        .unionByName(_without_profile(routed, profile)),
     )
-    if tool_log is not None:
-        outcomes = outcomes.unionByName(classify_tool_log(tool_log))
-    outcomes = pin(outcomes)
-    updated = broadcast_if_small(
-        outcomes.where(F.col("outcome") == "Updated").select("book_id")
+    native = pin(outcomes)
+    outcomes = native.unionByName(
+        _tool_outcomes(every.where(F.col("source") == COMPAT).select("book_id"), tool_log)
     )
+    # the external updater writes its books itself
+    updated = native.where(F.col("outcome") == "Updated").select("book_id")
 
     def of_updated(df):
         return df.join(updated, "book_id", "left_semi")
@@ -240,17 +265,19 @@ def create_books(
 ) -> Run:
     """Make books for urls that are not stored: every published chapter is new.
 
-    Urls that fail are error outcomes and do not stop the others.
+    Urls that fail are error outcomes and do not stop the others; so are urls that
+    only the external updater can read.  ``urls`` may bring the book_id to keep.
     """
     url = F.col("url")
+    named = F.col("book_id") if "book_id" in urls.columns else url_segment(url, 1, stable_id(url))
     asked = (
-        route_sources(urls.select("url").distinct(), rules)
-        .withColumn("book_id", url_segment(url, 1, stable_id(url)))
+        route_sources(urls.select("url", named.alias("book_id")).distinct(), rules)
         .groupBy("book_id")
         .agg(F.min(F.struct("source", "url")).alias("_first"))
         .select("book_id", "_first.source", "_first.url")
-        .where(F.col("source") != COMPAT)
     )
+    left_out = asked.where(F.col("source") == COMPAT).select("book_id")
+    asked = asked.where(F.col("source") != COMPAT)
     native = asked.where(F.col("source") == profile.name)
     parsed, missing = _parse_index_pages(crawled.index_pages, native, profile)
     fiction = split_parsed(parsed, run_ts, profile.site)
@@ -258,14 +285,14 @@ def create_books(
     outcomes = pin(
         diff.update_outcome(
             asked,
-            native.select("book_id", F.lit(False).alias("up_to_date")),
+            asked.select("book_id", F.lit(False).alias("up_to_date")),
             diff.change_count(everything_new),
-            fiction.rejects.select("book_id", "error").unionByName(missing),
-        )
-    )
-    good = broadcast_if_small(
-        outcomes.where(F.col("outcome").isin("Updated", "UpToDate")).select("book_id")
+            fiction.rejects.select("book_id", "error")
+            .unionByName(missing)
+            .unionByName(_without_profile(asked, profile)),
+        ).unionByName(_tool_outcomes(left_out, None))
     )
+    good = outcomes.where(F.col("outcome").isin("Updated", "UpToDate")).select("book_id")
     new = fiction.chapters.join(good, "book_id", "left_semi")
     spark = urls.sparkSession
     return Run(
@@ -285,7 +312,9 @@ def stash_and_recreate(
 ) -> tuple[DataFrame, Run]:
     """(what is stashed under which name, the run that makes those books anew).
 
-    ``files`` has book_id, path and url.
+    ``files`` has book_id, path and url.  A book made anew keeps its book_id, by
+    which the stash names its path, so two files with one url stay two books.
     """
     stashed = stash_books(files, stash_ts)
-    return stashed, create_books(stashed.where("recreate").select("url"), crawled, stash_ts)
+    again = stashed.where("recreate").select("book_id", "url")
+    return stashed, create_books(again, crawled, stash_ts)

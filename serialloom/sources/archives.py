@@ -12,7 +12,6 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..fixed_values import MAX_ASSET_BYTES
 from ..functions.dates import rfc3339, time_literal
 from ..functions.html import first_text, meta_content
 from ..functions.labels import stable_id, strip_ext
@@ -83,15 +82,13 @@ def _entries(data: bytes) -> Iterator[dict]:
             yield {**book, "kind": "page", "seq": seq, "name": item, "text": text}
         for href, mime in items.values():
             if mime.startswith("image") and posixpath.basename(href) and href in archive.NameToInfo:
-                if archive.getinfo(href).file_size <= MAX_ASSET_BYTES:
-                    image = archive.read(href)
-                    yield {
-                        **book,
-                        "kind": "image",
-                        "name": posixpath.basename(href),
-                        "mime": mime,
-                        "bytes": image,
-                    }
+                yield {
+                    **book,
+                    "kind": "image",
+                    "name": posixpath.basename(href),
+                    "mime": mime,
+                    "bytes": archive.read(href),
+                }
 
 
 def _open_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

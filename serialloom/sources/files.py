@@ -1,5 +1,6 @@
 """Book files of a library."""
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -30,13 +31,27 @@ def list_files(
     )
 
 
-def book_files(paths: DataFrame, extension: str = BOOK_EXTENSION) -> DataFrame:
-    """Paths of visible book files in a listing made elsewhere."""
+def book_files(
+    paths: DataFrame, extension: str = BOOK_EXTENSION, roots: Sequence[str] = ()
+) -> DataFrame:
+    """Paths of visible book files in a listing made elsewhere.
+
+    Only what lies below the listed root can hide a file; a root may be hidden itself.
+    """
     path = F.col("path")
-    hidden = path.rlike(r"(^|/)\.[^/.]")
+    below = path
+    # longer roots first: one may lie below another
+    for root in sorted({_plain(r) for r in roots}, key=len):
+        below = F.when(F.startswith(path, F.lit(root)), F.substring(path, len(root), 2**31 - 1)).otherwise(below)
+    hidden = below.rlike(r"(^|/)\.[^/.]")
     return paths.where(F.endswith(path, F.lit(f".{extension}")) & ~hidden)
 
 
+def _plain(root: str) -> str:
+    """A root as listed paths start: without the scheme, with a slash at its end."""
+    return re.sub(r"^[a-z][a-z0-9]*:(?://[^/]*)?", "", root).rstrip("/") + "/"
+
+
 def scan_library(
     spark: SparkSession,
     roots: Sequence[str],
@@ -44,7 +59,8 @@ def scan_library(
     extension: str = BOOK_EXTENSION,
 ) -> DataFrame:
     """Book files below the roots that no ignore rule hides."""
-    return apply_ignore_rules(book_files(list_files(spark, roots, extension), extension), ignore_rules)
+    listed = book_files(list_files(spark, roots, extension), extension, roots)
+    return apply_ignore_rules(listed, ignore_rules)
 
 
 def read_ignore_files(spark: SparkSession, roots: Sequence[str], name: str) -> DataFrame:

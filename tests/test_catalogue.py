@@ -2,15 +2,14 @@
 
 from datetime import datetime, timedelta
 
-import pytest
 from conftest import values
 from pyspark.sql import functions as F
 
 from serialloom import schemas
+from serialloom.fixed_values import COMPAT_HOSTS
 from serialloom.operators import assets, ignore, routing
 from serialloom.operators.toollog import classify_tool_log
 from serialloom.plans.maintain import Crawled, Stored, render_texts, stash_and_recreate, update_books
-from serialloom.plans.sized import broadcast_if_small
 from serialloom.sinks import tables
 from serialloom.streaming.feeds import watch_feeds
 
@@ -31,13 +30,6 @@ def test_routing_takes_the_first_match(spark):
     assert dict(values(routing.route_sources(df, rules), "url", "source"))["https://nowhere.example/"] == "early"
 
 
-def test_rules_as_a_table(spark):
-    table = routing.source_rules(spark)
-    assert sorted(routing.read_source_rules(table)) == sorted(routing.ALL_RULES)
-    with pytest.raises(ValueError):
-        routing.read_source_rules(table, limit=10)
-
-
 IGNORE = [
     # rules of /lib (by line), path below it, hidden?
     (["a.epub"], "a.epub", True),
@@ -139,7 +131,6 @@ def test_asset_cache(spark, tmp_path):
     stored = tables.read_table(spark, path, cache.schema)
     tables.append_assets(assets.cache_delta(wanted, stored, fetched), path, 4)
     assert values(tables.read_table(spark, path, cache.schema), "filename") == [("1",), ("2",)]
-    assert values(assets.drop_large_assets(fetched, 2), "filename") == [("9",)]
 
 
 TOOL = {
@@ -212,14 +203,6 @@ def test_watch_feeds_says_only_news(spark, tmp_path):
     assert said[-1][0][1] == int((day[5] - datetime(1970, 1, 1)).total_seconds()) * 1_000_000
 
 
-def test_broadcast_only_when_small(spark):
-    wide, keys = spark.range(100), spark.range(50)
-    def plan(df):
-        return df._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" in plan(wide.join(broadcast_if_small(keys, 50), "id", "left_semi")).lower()
-    assert "broadcast" not in plan(wide.join(broadcast_if_small(keys, 49), "id", "left_semi")).lower()
-
-
 def test_create_and_stash(spark, tmp_path):
     site = "https://www.royalroad.com/fiction"
     index = '<h1>N</h1>window.fictionCover = "c.png";\nwindow.chapters = [{"id":1,"order":0,"date":"2024-01-01T00:00:00Z","title":"P","url":"/c/1"}];\n'
@@ -229,14 +212,14 @@ def test_create_and_stash(spark, tmp_path):
     )
     files = spark.createDataFrame(
         [(b, f"/lib/{b}.epub", u) for b, u in
-         [("1", f"{site}/1/x"), ("2", f"{site}/2/x"), ("3", f"{site}/3/x"), ("4", "https://else/"), ("5", None)]],
+         [("1", f"{site}/1/x"), ("2", f"{site}/2/x"), ("3", f"{site}/3/x"), ("4", "https://else/"), ("5", None), ("1b", f"{site}/1/x")]],
         "book_id string, path string, url string",
     )
     stashed, run = stash_and_recreate(files, crawled, datetime(2024, 1, 2, 3, 4))
     assert values(run.outcomes.where("outcome <> 'Unsupported'"), "book_id", "outcome", "n", "error") == [
-        ("1", "Updated", 1, None), ("2", "Error", None, "index page was not fetched"), ("3", "Error", None, "No title found")]
+        ("1", "Updated", 1, None), ("1b", "Updated", 1, None), ("2", "Error", None, "index page was not fetched"), ("3", "Error", None, "No title found")]
     assert run.outcomes.where("outcome = 'Unsupported'").count() == 1
-    assert values(run.chapters, "book_id", "identifier", "pos") == [("1", "1", 1)]
+    assert values(run.chapters, "book_id", "identifier", "pos") == [("1", "1", 1), ("1b", "1", 1)]
     texts = spark.createDataFrame([("1", "a"), ("5", "b")], "book_id string, v string")
     tables.write_stash(stashed, [texts], str(tmp_path), ["texts"], "2024-01-02")
     kept = spark.read.parquet(str(tmp_path / "texts"))
@@ -248,12 +231,15 @@ def test_update_job_end_to_end(spark):
     day = [datetime(2024, 1, 1) + timedelta(days=i) for i in range(6)]
     books = [(b, f"{site}/fiction/{b}/x", f"B{b}", "me", "", day[0], "https://c/old.png") for b in "1234"]
     books.append(("9", "https://else/9", "B9", "me", "", day[0], ""))
+    tool = f"https://{COMPAT_HOSTS[0]}/s"
+    # the external updater's, with an update and without a run, and a source without a profile
+    books += [(b, u, f"B{b}", "me", "", day[0], "") for b, u in (("5", f"{tool}/5"), ("6", f"{tool}/6"), ("7", "https://second/7"))]
     stored = Stored(
         spark.createDataFrame(books, schemas.BOOKS),
-        spark.createDataFrame([(b, "1", 1, day[1], "one", f"{site}/c/{b}/1") for b in "123"], schemas.CHAPTERS),
-        spark.createDataFrame([(b, "1", "<p>old</p>", None, None) for b in "123"], schemas.CHAPTER_CONTENT),
+        spark.createDataFrame([(b, "1", 1, day[1], "one", f"{site}/c/{b}/1") for b in "1235"], schemas.CHAPTERS),
+        spark.createDataFrame([(b, "1", "<p>old</p>", None, None) for b in "1235"], schemas.CHAPTER_CONTENT),
     )
-    feed = spark.createDataFrame([("1", "t", day[3]), ("2", "t", day[1]), ("4", "t", day[1])], schemas.FEED_ITEMS)
+    feed = spark.createDataFrame([("1", "t", day[3]), ("2", "t", day[1]), ("4", "t", day[1]), ("7", "t", day[1])], schemas.FEED_ITEMS)
     listed = ",".join(
         f'{{"id":{i},"order":{i},"date":"2024-01-0{i + 1}T00:00:00Z","title":"P{i}","url":"/c/1/{i}"}}' for i in (1, 2, 3)
     )
@@ -263,12 +249,17 @@ def test_update_job_end_to_end(spark):
         spark.createDataFrame([(f"{site}/fiction/1/x", index), (f"{site}/fiction/2/x", index)], "url string, html string"),
         spark.createDataFrame([(f"{site}/c/1/2", text), (f"{site}/c/1/1", text)], "url string, html string"),
     )
-    log = spark.createDataFrame([("8", "stdout", 1, "x - Skipping")], schemas.TOOL_LOG)
-    run = update_books(stored, feed, crawled, day[5], tool_log=log)
+    log = spark.createDataFrame(
+        [("8", "stdout", 1, "x - Skipping"), ("1", "stdout", 1, "x - Skipping"), ("5", "stdout", 1, "Do update - epub(1) vs url(3)")], schemas.TOOL_LOG
+    )
+    rules = (*routing.ALL_RULES, routing.SourceRule(0, "prefix", "https://second/", "second"))
+    run = update_books(stored, feed, crawled, day[5], tool_log=log, rules=rules)
+    assert run.outcomes.count() == stored.books.count()
     assert values(run.outcomes, "book_id", "outcome", "n", "error") == [
         ("1", "Updated", 2, None), ("2", "UpToDate", None, None),
         ("3", "Unsupported", None, "feed has no valid date"), ("4", "Error", None, "index page was not fetched"),
-        ("8", "Skipped", None, None), ("9", "Unsupported", None, None)]
+        ("5", "Updated", 2, None), ("6", "Error", None, "no run of the external updater"),
+        ("7", "Error", None, "no profile for the source second"), ("9", "Unsupported", None, None)]
     assert values(run.books, "book_id", "title", "cover_url") == [("1", "B1", "https://c/new.png")]
     assert values(run.chapters, "identifier", "pos", "title") == [("1", 1, "one"), ("2", 2, "P2")]
     assert values(run.new_content, "identifier", "content") == [("2", '<img src="https://c/1.png">two')]

@@ -126,10 +126,15 @@ def test_dates(spark):
         "31 Jan 2024 10:00:00 XYZ",
         "junk",
         None,
+        "Wed, 31 Jan 24 10:00:00 GMT (with a note)",
+        "31 Jan 99 10:00:00 GMT",
+        "31 Jan 124 10:00:00 GMT",
+        "Thu, 31 Jan 24 10:00:00 GMT",
     ]
     assert apply(spark, dates.rfc2822, feed) == [
         datetime(2024, 1, 31, 10), None, datetime(2024, 1, 31, 8), datetime(2024, 1, 31, 15),
         None, None, None, None,
+        datetime(2024, 1, 31, 10), datetime(1999, 1, 31, 10), datetime(2024, 1, 31, 10), None,
     ]
     iso = ["2024-01-31T10:00:00+02:00", "2024-01-31", "2024-01-31T10:00:00.5Z", "2024-13-01T00:00:00Z"]
     assert apply(spark, dates.rfc3339, iso) == [

@@ -210,3 +210,14 @@ def test_ignore_files_are_read(spark, tmp_path):
     (tmp_path / "ignore.list").write_text("a.epub\n# no\n")
     got = files.read_ignore_files(spark, [str(tmp_path)], "ignore.list")
     assert values(got, "dir", "line_no", "pattern") == [(str(tmp_path), 0, "a.epub"), (str(tmp_path), 1, "# no"), (str(tmp_path), 2, "")]
+
+
+def test_hidden_roots_are_read(spark, tmp_path):
+    root = tmp_path / ".library"
+    for name in ("a.epub", "sub/b.epub", ".trash/c.epub"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"x")
+    none = spark.createDataFrame([], "dir string, line_no long, pattern string")
+    for given in (str(root), f"file://{root}/"):
+        found = files.scan_library(spark, [given], none)
+        assert [p for (p,) in values(found, "path")] == [f"{root}/a.epub", f"{root}/sub/b.epub"]
