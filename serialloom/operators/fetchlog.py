@@ -1,24 +1,16 @@
 """Pacing and audit of requests, as tables."""
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed_values import BACKOFF_BASE_SECONDS, BACKOFF_CAP, REQUESTS_PER_SECOND
 from ..functions.dates import epoch_micros
-from .running import running, time_levels
-
-_STRETCHES = (86_400, 3_600, 60)
-_BLOCK_ROWS = 2_000_000
-_TIE_BLOCK = 1_000_000
+from .running import range_blocks, running
 
 
 def fetch_schedule(
     requests: DataFrame,
     gap_micros: int = 1_000_000 // REQUESTS_PER_SECOND,
-    stretches: Sequence[int] = _STRETCHES,
-    block_rows: int = _BLOCK_ROWS,
-    tie_block: int = _TIE_BLOCK,
+    blocks: int | None = None,
 ) -> DataFrame:
     """Earliest start of each request when a host takes one request per gap.
 
@@ -28,9 +20,7 @@ def fetch_schedule(
     Adds ``start_us`` (microseconds since the epoch) and ``delay_us``.
     """
     timed = requests.withColumn("_us", epoch_micros(requests, "ts"))
-    blocked, levels = time_levels(
-        timed, ["host"], "_us", "request_id", stretches, block_rows, tie_block
-    )
+    blocked, levels = range_blocks(timed, ["host"], ["_us", "request_id"], blocks)
     paced = running(
         blocked,
         ["host"],
@@ -51,9 +41,7 @@ def fetch_schedule(
 def backoff_runs(
     fetch_log: DataFrame,
     partition_by: str | None = None,
-    stretches: Sequence[int] = _STRETCHES,
-    block_rows: int = _BLOCK_ROWS,
-    tie_block: int = _TIE_BLOCK,
+    blocks: int | None = None,
 ) -> DataFrame:
     """How often the client had been told to slow down before each request.
 
@@ -67,9 +55,7 @@ def backoff_runs(
     success = ~F.col("status").between(400, 599)
     timed = fetch_log.withColumn("_us", epoch_micros(fetch_log, "ts"))
     keys = [partition_by] if partition_by else []
-    blocked, levels = time_levels(
-        timed, keys, "_us", "request_id", stretches, block_rows, tie_block
-    )
+    blocked, levels = range_blocks(timed, keys, ["_us", "request_id"], blocks)
     counted = running(
         blocked,
         keys,

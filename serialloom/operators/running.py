@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..plans.pin import pin
+
 _SUM, _PEAK = "_run_sum", "_run_peak"
 _SUM_BEFORE, _PEAK_BEFORE = "_sum_before", "_peak_before"
 
@@ -106,27 +108,15 @@ def numbered(
     return running(rows, keys, levels, order, F.lit(1), sum_as=out)
 
 
-def time_levels(
-    rows: DataFrame,
-    keys: Sequence[str],
-    micros: str,
-    tie: str,
-    stretches: Sequence[int],
-    block_rows: int,
-    tie_block: int,
+def range_blocks(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], blocks: int | None = None
 ) -> tuple[DataFrame, list[list[str]]]:
-    """Block columns for an order by (instant, id) inside the keys.
+    """The rows, written once in the order by (keys..., order...), with a block column.
 
-    A block is a stretch of time, the longest of ``stretches`` (seconds) in which
-    no key has more than ``block_rows`` rows; that takes one count, combined before
-    the shuffle, per length tried.  If even the shortest is too long, its blocks
-    are split further by instant and range of ids, so that rows which share one
-    instant are spread too: such a block holds at most ``tie_block`` ids.
+    Blocks are ranges of that order with about as many rows each, whatever the keys
+    and however many rows share a value; ``blocks`` is the session's number of shuffle
+    partitions unless given.  (keys..., order...) should identify a row.
     """
-    for seconds in sorted(stretches, reverse=True):
-        blocked = rows.withColumn("_stretch", F.floor(F.col(micros) / F.lit(seconds * 1_000_000)))
-        largest = blocked.groupBy(*keys, "_stretch").count().agg(F.max("count")).first()[0]
-        if (largest or 0) <= block_rows:
-            return blocked, [["_stretch"]]
-    blocked = blocked.withColumn("_id_block", F.floor(F.col(tie) / F.lit(tie_block)))
-    return blocked, [["_stretch"], [micros, "_id_block"]]
+    by = [*keys, *order]
+    dealt = rows.repartitionByRange(*by) if blocks is None else rows.repartitionByRange(blocks, *by)
+    return pin(dealt.withColumn("_block", F.spark_partition_id())), [["_block"]]

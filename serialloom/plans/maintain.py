@@ -126,8 +126,8 @@ class Run:
     @cached_property
     def asset_names(self) -> DataFrame:
         texts = self._kept_content.unionByName(self.new_content)
-        images = assets.drop_failed_assets(assets.book_assets(self.books, texts))
-        return assets.asset_names(images)
+        images = pin(assets.drop_failed_assets(assets.book_assets(self.books, texts)))
+        return pin(assets.asset_names(images))
 
     @property
     def toc(self) -> DataFrame:
@@ -206,8 +206,10 @@ def update_books(
     """
     every = route_sources(stored.books, rules)
     routed = every.where(F.col("source") != COMPAT)
-    gates = diff.gate_up_to_date(
-        diff.library_high_water(stored.chapters), diff.feed_high_water(feed_items)
+    gates = pin(
+        diff.gate_up_to_date(
+            diff.library_high_water(stored.chapters), diff.feed_high_water(feed_items)
+        )
     )
     behind = routed.where(F.col("source") == profile.name).join(
         gates.where(~F.col("up_to_date")).select("book_id"), "book_id", "left_semi"

@@ -29,7 +29,7 @@ def schedule_of_bursts(spark, sf_dir):
     wanted = table(spark, sf_dir, "events").selectExpr(
         "event_type AS host", "CAST(CAST(ts AS DATE) AS TIMESTAMP_NTZ) AS ts", "event_id AS request_id"
     )
-    return fetchlog.fetch_schedule(wanted, gap_micros=GAP_US, block_rows=100, tie_block=1000)
+    return fetchlog.fetch_schedule(wanted, gap_micros=GAP_US, blocks=40)
 
 
 def _schedule_sql(ts):

@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from serialloom.operators.fetchlog import backoff_runs, fetch_outcome, fetch_schedule
-from serialloom.operators.running import numbered
+from serialloom.operators.running import numbered, range_blocks
 
 GAP = 500_000
 SLOW = settings(
@@ -29,13 +29,13 @@ def schedule_model(rows):
     return out
 
 
-@pytest.mark.parametrize("rows_per_block", [0, 1000])
+@pytest.mark.parametrize("blocks", [1, 7])
 @SLOW
 @given(wanted=st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 5000)), min_size=1, max_size=60))
-def test_fetch_schedule_matches_a_loop(spark, rows_per_block, wanted):
+def test_fetch_schedule_matches_a_loop(spark, blocks, wanted):
     rows = [(host, _time(ms), i) for i, (host, ms) in enumerate(wanted)]
     df = spark.createDataFrame(rows, "host string, ts timestamp, request_id bigint")
-    got = fetch_schedule(df, GAP, stretches=[1], block_rows=rows_per_block, tie_block=3)
+    got = fetch_schedule(df, GAP, blocks=blocks)
     starts = {r.request_id: r.start_us for r in got.collect()}
     assert starts == schedule_model(rows)
     for host in "ab":
@@ -50,11 +50,20 @@ def test_schedule_of_one_hot_host_at_one_instant(spark):
         F.lit(START).alias("ts"),
         F.col("id").alias("request_id"),
     )
-    got = fetch_schedule(rows, GAP, block_rows=50, tie_block=100)
+    got = fetch_schedule(rows, GAP, blocks=40)
     hot = got.where("host = 'hot'").agg(F.count("*"), F.count_distinct("start_us"), F.max("delay_us")).first()
     assert hot[0] == hot[1] and hot[2] == (hot[0] - 1) * GAP
 
 
+def test_blocks_of_a_dense_minute_are_even(spark):
+    rows = spark.range(60_000).select(
+        F.lit("hot").alias("host"), F.col("id").alias("_us"), (F.col("id") * 7 % 60_000).alias("request_id")
+    )
+    blocked, levels = range_blocks(rows, ["host"], ["_us", "request_id"], 8)
+    sizes = [n for (n,) in values(blocked.groupBy("_block").count(), "count")]
+    assert levels == [["_block"]] and len(sizes) == 8 and max(sizes) < 2 * 60_000 / 8
+
+
 def backoff_model(rows):
     bounce, out = 0, {}
     for request, _, status in sorted(rows, key=lambda r: (r[1], r[0])):
@@ -66,7 +75,7 @@ def backoff_model(rows):
     return out
 
 
-@pytest.mark.parametrize("rows_per_block", [0, 1000])
+@pytest.mark.parametrize("blocks", [1, 7])
 @SLOW
 @given(
     answers=st.lists(
@@ -75,10 +84,10 @@ def backoff_model(rows):
         max_size=60,
     )
 )
-def test_backoff_matches_a_loop(spark, rows_per_block, answers):
+def test_backoff_matches_a_loop(spark, blocks, answers):
     rows = [(i, _time(ms), status) for i, (ms, status) in enumerate(answers)]
     df = spark.createDataFrame(rows, "request_id bigint, ts timestamp, status int")
-    got = backoff_runs(df, stretches=[1], block_rows=rows_per_block, tie_block=3)
+    got = backoff_runs(df, blocks=blocks)
     assert {r.request_id: (r.bounce, r.wait_seconds) for r in got.collect()} == backoff_model(rows)
 
 
@@ -86,9 +95,8 @@ def test_backoff_is_capped(spark):
     rows = [(i, _time(i), 429) for i in range(20)] + [(20, _time(20), 200), (21, _time(21), 404)]
     df = spark.createDataFrame(rows, "request_id bigint, ts timestamp, status int")
     got = values(backoff_runs(df), "request_id", "bounce", "wait_seconds")
-    assert got[11][1:] == (11, 16384) or dict((a, b) for a, b, _ in got)[15] == 11
-    bounces = {a: b for a, b, _ in got}
-    assert bounces[19] == 11 and bounces[20] == 11 and bounces[21] == 0
+    bounces = [*range(12), *[11] * 9, 0]
+    assert sorted(got) == [(i, b, 8 * 2**b if b else 0) for i, b in enumerate(bounces)]
 
 
 def test_fetch_outcome(spark):
