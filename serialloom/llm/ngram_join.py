@@ -183,7 +183,7 @@ def _tree_links(percent: int):
             sets = [np.frombuffer(x, np.int64) for x in rows.column("tokens").to_pylist()]
             groups = rows.column("component").to_numpy()
             cross = rows.column("other").to_numpy(zero_copy_only=False) if rows.column("two")[0].as_py() >= 0 else None
-            out += [(ids[i], ids[j]) for i, j in links(sets, groups, percent, cross)]
+            out += _stars(ids, links(sets, groups, percent, cross))
             if len(out) > 10_000:
                 yield _pairs(out)
                 out = []
@@ -192,6 +192,22 @@ def _tree_links(percent: int):
     return run
 
 
+def _stars(ids: list[int], found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Each linked row with the first row that its links reach; short paths join quickly."""
+    head = list(range(len(ids)))
+
+    def first(i: int) -> int:
+        while head[i] != i:
+            head[i] = head[head[i]]
+            i = head[i]
+        return i
+
+    for i, j in found:
+        a, b = sorted((first(i), first(j)))
+        head[b] = a
+    return [(ids[i], ids[first(i)]) for i in {i for pair in found for i in pair} if first(i) != i]
+
+
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"]
