@@ -11,7 +11,7 @@ import numpy as np
 
 STRETCH = 2048
 #: Sequences run side by side; fewer when they are long.
-BESIDE, CELLS = 256, 400_000
+BESIDE, CELLS = 512, 600_000
 
 
 class Chain:

@@ -67,40 +67,37 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+class _Places(dict):
+    """Words with their place; others have -1 less their class."""
+
+    def __missing__(self, word):
+        return -1 - class_of(word)
+
+
 class Vocabulary:
-    """Frequent words with (symbol, class or -1, count), and what the others share."""
+    """Frequent words with their place, symbol and count, and what the others share."""
 
     def __init__(self, held: list[tuple[bytes, int]], shares: dict[int, int], total: int, distinct: int):
         self.total, self.distinct = total, distinct
         self.n_own = min(SYMBOLS, len(held))
-        self.words = {}
-        own = np.zeros(self.n_own + CLASSES)
-        for i, (word, c) in enumerate(held):
-            if i < self.n_own:
-                self.words[word] = (i, c)
-                own[i] = c
-            else:
-                self.words[word] = (self.n_own + class_of(word), c)
+        self.places = _Places((word, i) for i, (word, _) in enumerate(held))
+        self.counts = np.array([c for _, c in held], np.int64)
+        classes = [self.n_own + class_of(word) for word, _ in held[self.n_own :]]
+        # behind the held words, the classes of the others, last first, as -1 stands for class 0
+        behind = self.n_own + np.arange(CLASSES)[::-1]
+        self.symbols = np.concatenate([np.arange(self.n_own), classes, behind]).astype(np.int32)
         mass = np.ones(CLASSES)
         for k, v in shares.items():
             mass[k] += v
         #: log10 of what a class's words are shares of
         self.log_mass = np.log10(mass)
-        own[self.n_own :] = mass
+        own = np.concatenate([self.counts[: self.n_own], mass])
         self.frequency = own / own.sum()
 
-    def encode(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Symbols, counts (-1: not held here) and the words whose counts are not held."""
-        get, n_own, rare = self.words.get, self.n_own, []
-        symbols, counts = np.empty(len(tokens), np.int32), np.empty(len(tokens), np.int64)
-        for i, got in enumerate(map(get, tokens)):
-            if got is None:
-                word = tokens[i]
-                symbols[i], counts[i] = n_own + class_of(word), -1
-                rare.append(word)
-            else:
-                symbols[i], counts[i] = got
-        return symbols, counts, rare
+    def encode(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols, places); a place below 0 is a word whose count is not held."""
+        places = np.fromiter(map(self.places.__getitem__, tokens), np.int64, len(tokens))
+        return self.symbols[places], places
 
 
 def _first_chain(vocabulary, states: int):
@@ -197,10 +194,12 @@ def _score(vocabulary, chain):
         for batch in batches:
             sequences, rows = [], []
             for text in as_bytes(batch.column("text")):
-                symbols, counts, rare = v.encode(_tokens(text))
+                tokens = _tokens(text)
+                symbols, places = v.encode(tokens)
                 sequences.append(symbols)
-                held = counts >= 0
-                logs = np.log10(counts[held] + 1.0)
+                held = places >= 0
+                rare = [tokens[i] for i in np.flatnonzero(~held)]
+                logs = np.log10(v.counts[places[held]] + 1.0)
                 shared = symbols[held] >= v.n_own
                 # the rare words' own counts are added later
                 inside = logs[shared].sum() - v.log_mass[symbols[symbols >= v.n_own] - v.n_own].sum()
