@@ -213,11 +213,8 @@ NODE = r'<div class="(ad)">(.*?)</div>'
 
 
 def notices(spark, sf_dir):
-    nodes = table(spark, sf_dir, "pages").select(
-        "page_id",
-        F.regexp_extract("html", NODE, 1).alias("class"),
-        F.regexp_extract("html", NODE, 2).alias("html"),
-    )
+    found = [F.regexp_extract_all("html", F.lit(NODE), F.lit(i)).alias(n) for i, n in ((1, "class"), (2, "html"))]
+    nodes = table(spark, sf_dir, "pages").select("page_id", F.inline(F.arrays_zip(*found)))
     kept, taken = split_notices(nodes, prefixes=("a",), max_bytes=50)
     return kept.withColumn("notice", F.lit(False)).unionByName(taken.withColumn("notice", F.lit(True)))
 
@@ -397,8 +394,8 @@ QUERIES = {
     "split_notices": (
         notices,
         """SELECT page_id, class, html, strlen(html) < 50 AND class <> '' AS notice FROM (
-           SELECT page_id, regexp_extract(html, '<div class="(ad)">(.*?)</div>', 1) AS class,
-                  regexp_extract(html, '<div class="(ad)">(.*?)</div>', 2) AS html FROM pages)""",
+           SELECT page_id, unnest(regexp_extract_all(html, '<div class="(ad)">(.*?)</div>', 1)) AS class,
+                  unnest(regexp_extract_all(html, '<div class="(ad)">(.*?)</div>', 2)) AS html FROM pages)""",
     ),
     "image_plans": (image_plans, IMAGE_PLANS_SQL),
     "iso_dates": (
