@@ -34,10 +34,10 @@ class Stored(NamedTuple):
 
 
 class Crawled(NamedTuple):
-    """What was crawled: pages by url."""
+    """What was crawled: pages by url, with fetched_at where a url may repeat."""
 
-    index_pages: DataFrame  # url, html
-    chapter_pages: DataFrame  # url, html
+    index_pages: DataFrame  # url, html[, fetched_at]
+    chapter_pages: DataFrame  # url, html[, fetched_at]
 
 
 class SourceProfile(NamedTuple):
@@ -86,7 +86,7 @@ class Run:
     def _parsed(self) -> DataFrame:
         """The crawled pages of the wanted chapters; others are never parsed."""
         keys = self._to_fetch.select(*diff.KEY, "url").distinct()
-        wanted = self._chapter_pages.join(keys, "url").select(*diff.KEY, "html")
+        wanted = _latest(self._chapter_pages).join(keys, "url").select(*diff.KEY, "html")
         rules, notices = self._profile.chapter_rules, self._profile.notices
         return pin(extract_chapter_pages(wanted, diff.KEY, rules, notices))
 
@@ -151,6 +151,21 @@ def render_texts(content: DataFrame) -> DataFrame:
     )
 
 
+def _latest(pages: DataFrame) -> DataFrame:
+    """One page per url: the last one fetched, of several at that moment the one with the
+    greatest hash.  Only urls and times are compared; pages without ``fetched_at`` stay."""
+    if "fetched_at" not in pages.columns:
+        return pages
+    order = F.struct("fetched_at", F.xxhash64("html").alias("mark"))
+    last = pages.groupBy(F.struct("url").alias("at")).agg(F.max(order).alias("last"))
+    last = last.select("at.url", "last.fetched_at", "last.mark")
+    marked = pages.withColumn("mark", F.xxhash64("html"))
+    same = [marked[c].eqNullSafe(last[c]) for c in ("fetched_at", "mark")]
+    found = marked.join(last, [marked["url"] == last["url"], *same], "left_semi")
+    # the same page twice at the same moment
+    return found.drop("mark", "fetched_at").distinct()
+
+
 def _parse_index_pages(
     crawled: DataFrame, books: DataFrame, profile: SourceProfile
 ) -> tuple[DataFrame, DataFrame]:
@@ -159,7 +174,8 @@ def _parse_index_pages(
     Only the pages of those books are parsed, and each only once.
     """
     wanted = books.select("url", "book_id").distinct()
-    parsed = pin(parse_fiction_pages(crawled.join(wanted, "url"), profile.index_rules))
+    pages = _latest(crawled).join(wanted, "url")
+    parsed = pin(parse_fiction_pages(pages, profile.index_rules))
     missing = books.join(parsed.select("book_id").distinct(), "book_id", "left_anti")
     return parsed, missing.select("book_id", F.lit("index page was not fetched").alias("error"))
 
@@ -199,7 +215,7 @@ def update_books(
 
     Pages are parsed only for books that the feed says have moved on, and
     chapter pages only for chapters whose text is wanted.  ``crawled`` has one
-    page per url.  Every stored book gets one outcome.  Those of the external
+    page per url, or the time of each fetch.  Every stored book gets one outcome.  Those of the external
     updater come from its log, where each run_id is a book_id; without a run in
     the log such a book is an error, and so is one of a source that neither the
     profile nor the updater takes care of, unless its feed says it is up to date.

@@ -246,8 +246,15 @@ def test_update_job_end_to_end(spark):
     index = f'<h1>N</h1><script>window.fictionCover = "https://c/new.png";\nwindow.chapters = [{listed}];\n</script>'
     text = '<div class="chapter-inner chapter-content"><img src="https://c/1.png">two<p class="cmZ">notice</p></div>'
     crawled = Crawled(
-        spark.createDataFrame([(f"{site}/fiction/1/x", index), (f"{site}/fiction/2/x", index)], "url string, html string"),
-        spark.createDataFrame([(f"{site}/c/1/2", text), (f"{site}/c/1/1", text)], "url string, html string"),
+        spark.createDataFrame(
+            [(f"{site}/fiction/1/x", index, day[2]), (f"{site}/fiction/2/x", index, day[2]), (f"{site}/fiction/1/x", "<p>old", day[1])],
+            "url string, html string, fetched_at timestamp",
+        ),
+        # fetched twice at one moment, and once before
+        spark.createDataFrame(
+            [(f"{site}/c/1/2", text, day[3]), (f"{site}/c/1/2", text, day[3]), (f"{site}/c/1/2", "older", day[2]), (f"{site}/c/1/1", text, None)],
+            "url string, html string, fetched_at timestamp",
+        ),
     )
     log = spark.createDataFrame(
         [("8", "stdout", 1, "x - Skipping"), ("1", "stdout", 1, "x - Skipping"), ("5", "stdout", 1, "Do update - epub(1) vs url(3)")], schemas.TOOL_LOG
