@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ SPACES = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 2_000_000
 
 #: A worker keeps at most so many words with what it knows of them, then starts anew.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +41,18 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def by_size(batches, column: str = "text", most: int = 8 << 20):
+    """The batches in slices of at most so many bytes of text, or of one row."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends, start = np.cumsum(sizes, dtype=np.int64), 0
+        while start < len(ends):
+            before = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def words(text: bytes) -> list[bytes]:
     """``[^\x20\x09-\x0D]+`` of the text with A-Z lower-cased; both are what bytes do."""
     return text.lower().split()

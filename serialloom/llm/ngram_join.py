@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.pin import pin
-from .common import Known, as_bytes, pick_rows, sorted_groups, with_row_id, words
+from .common import Known, as_bytes, by_size, pick_rows, sorted_groups, with_row_id, words
 from .components import components
 from .signature_tree import links
 
@@ -103,7 +103,7 @@ def _prefixes(percent: int, width: int, frequent):
 
     def run(batches):
         known, often = _known(), frequent.value
-        for batch in batches:
+        for batch in by_size(batches):
             tokens, spread, rows = [], [], []
             for row, text in zip(batch.column("row_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
                 s = shingles(text, known, width)
@@ -164,7 +164,7 @@ def _open(rows: DataFrame, keys: list[str]) -> DataFrame:
 def _sets(width: int):
     def run(batches):
         known = _known()
-        for batch in batches:
+        for batch in by_size(batches):
             sets = [shingles(t, known, width).tobytes() for t in as_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(sets, pa.binary())], ["row_id", "tokens"])
 

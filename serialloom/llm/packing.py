@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.pin import pin
+from .common import by_size
 from .tokens import default_path, encoder
 
 CAPACITY, END_ID = 1024, 2
@@ -25,7 +26,7 @@ def _cut(path: str, end_id: int, capacity: int):
     def run(batches):
         enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in by_size(batches):
             row, piece, start, length, local, ids = [], [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 whole = enc.encode(text or "") + end
