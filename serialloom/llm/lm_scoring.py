@@ -4,13 +4,11 @@ Every word of the learning texts is counted first. The most frequent words are s
 their own; the others fall into classes by their last bytes, and within its class a word
 has the probability (c + 1) / (sum of c + 1 over the class, plus 1 for words not met), for
 c its count in all learning texts. Baum-Welch trains the latent states: each pass over all
-learning texts sums expected counts per partition, then over partitions. A text's score is
-the exact forward likelihood of its symbols times its words' shares of their classes.
-
-A first chain comes from a few passes over a bounded sample, only as the start.
+learning texts sums expected counts per partition, then over partitions. The first pass starts from
+a chain that the counts and a fixed seed give. A text's score is the exact forward
+likelihood of its symbols times its words' shares of their classes.
 """
 
-import pickle
 import zlib
 from math import log10
 
@@ -26,8 +24,8 @@ from .hidden_markov import Chain, Counts, log_likelihoods
 STATES, CLASSES = 6, 256
 #: Words with a symbol of their own, and words whose counts every worker holds.
 SYMBOLS, HELD = 20_000, 150_000
-#: Passes over all learning texts, and over the sample of so many of them.
-PASSES, FIRST_PASSES, SAMPLE, SAMPLE_TOKENS = 2, 12, 400, 400_000
+#: Passes over all learning texts.
+PASSES = 14
 #: The end of a text as a token; no word is empty.
 END = b""
 #: Distinct words a task counts before it hands them on.
@@ -93,6 +91,8 @@ class Vocabulary:
         self.log_mass = np.log10(mass)
         own = np.concatenate([self.counts[: self.n_own], mass])
         self.frequency = own / own.sum()
+        #: the smallest kind of numbers that holds every symbol
+        self.packed = np.min_scalar_type(len(own))
 
     def encode(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(symbols, places); a place below 0 is a word whose count is not held."""
@@ -100,21 +100,14 @@ class Vocabulary:
         return self.symbols[places], places
 
 
-def _first_chain(vocabulary, states: int):
+def _encode(vocabulary):
+    """The symbols of each text, as ``Vocabulary.packed`` numbers."""
+
     def run(batches):
-        v, sequences, total = vocabulary.value, [], 0
+        v = vocabulary.value
         for batch in batches:
-            for text in as_bytes(batch.column("text")):
-                if len(sequences) < 4 * SAMPLE and total < SAMPLE_TOKENS:
-                    sequences.append(v.encode(_tokens(text))[0])
-                    total += len(sequences[-1])
-        sequences.sort(key=lambda s: (len(s), s.tobytes()))
-        chain = Chain.random(states, v.frequency)
-        for _ in range(FIRST_PASSES):
-            counts = Counts(states, len(v.frequency))
-            counts.add(chain, sequences)
-            chain = counts.chain(v.frequency)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(chain)], pa.binary())], ["chain"])
+            packed = [v.encode(_tokens(t))[0].astype(v.packed).tobytes() for t in as_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], ["symbols"])
 
     return run
 
@@ -126,7 +119,7 @@ def _expect(vocabulary, chain, states: int):
         v, c = vocabulary.value, chain.value
         counts = Counts(states, len(v.frequency))
         for batch in batches:
-            counts.add(c, [v.encode(_tokens(t))[0] for t in as_bytes(batch.column("text"))])
+            counts.add(c, [np.frombuffer(s, v.packed) for s in as_bytes(batch.column("symbols"))])
         met = np.flatnonzero(counts.emit.any(axis=1))
         keys = np.concatenate([met, [-1], -2 - np.arange(states)])
         values = np.concatenate([counts.emit[met], counts.start[None], counts.move])
@@ -138,10 +131,10 @@ def _expect(vocabulary, chain, states: int):
     return run
 
 
-def _baum_welch(texts: DataFrame, vocabulary, chain: Chain, states: int, n_symbols: int, frequency) -> Chain:
+def _baum_welch(encoded: DataFrame, vocabulary, chain: Chain, states: int, n_symbols: int, frequency) -> Chain:
     names = [f"s{k}" for k in range(states)]
-    sent = texts.sparkSession.sparkContext.broadcast(chain)
-    rows = texts.mapInArrow(_expect(vocabulary, sent, states), "symbol long, " + ", ".join(f"{n} double" for n in names))
+    sent = encoded.sparkSession.sparkContext.broadcast(chain)
+    rows = encoded.mapInArrow(_expect(vocabulary, sent, states), "symbol long, " + ", ".join(f"{n} double" for n in names))
     sums = rows.groupBy("symbol").agg(*(F.sum(n).alias(n) for n in names)).toPandas()  # a row per symbol
     keys, values = sums["symbol"].to_numpy(), sums[names].to_numpy()
     counts = Counts(states, n_symbols)
@@ -179,12 +172,10 @@ def train(docs: DataFrame, text: str = "text", states: int = STATES, passes: int
         shares = {r.k: r.m for r in by_class.agg(F.sum(F.col("c") + 1).alias("m")).collect()}
     vocabulary = Vocabulary(held, shares, total, distinct)
     sent = spark.sparkContext.broadcast(vocabulary)
-    n_docs = texts.count()
-    few = texts.filter(F.pmod(F.xxhash64("text"), F.lit(2**32)) < int(min(1.0, SAMPLE / max(1, n_docs)) * 2**32))
-    start = few.repartition(1).mapInArrow(_first_chain(sent, states), "chain binary").collect()
-    chain = pickle.loads(start[0].chain) if start else Chain.random(states, vocabulary.frequency)
+    encoded = pin(texts.mapInArrow(_encode(sent), "symbols binary"))
+    chain = Chain.random(states, vocabulary.frequency)
     for _ in range(passes):
-        chain = _baum_welch(texts, sent, chain, states, len(vocabulary.frequency), vocabulary.frequency)
+        chain = _baum_welch(encoded, sent, chain, states, len(vocabulary.frequency), vocabulary.frequency)
     return Model(counts, vocabulary, sent, chain)
 
 

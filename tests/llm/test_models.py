@@ -125,6 +125,25 @@ def test_lm_beats_the_base_where_texts_differ_in_kind(frame):  # noqa: F811
     assert sums[0] > 0.95 * sums[1]
 
 
+def test_lm_learns_from_all_texts_in_every_pass(frame):  # noqa: F811
+    rng, rows = random.Random(4), [(None, None)] * 2000
+    for i in range(150):
+        kind = "abc"[i % 3]
+        rows.append((i, " ".join(f"{kind}{rng.randrange(30)}" for _ in range(40))))
+    rows += [(200 + i, "copy of one text") for i in range(600)]
+    rng.shuffle(rows)
+    model = lm_scoring.train(frame(rows, "doc_id long, text string"))
+    voc = model.vocabulary
+    sequences = [voc.encode([w.encode() for w in plain.words(t)] + [b""])[0] for _, t in rows]
+    chain = Chain.random(lm_scoring.STATES, voc.frequency)
+    for _ in range(14):
+        counts = Counts(lm_scoring.STATES, len(voc.frequency))
+        counts.add(chain, sequences)
+        chain = counts.chain(voc.frequency)
+    for name in ("start", "move", "emit"):
+        assert np.allclose(getattr(model.chain, name), getattr(chain, name), rtol=1e-4, atol=1e-9)
+
+
 def test_lm_of_nothing(frame):  # noqa: F811
     none = frame([], "doc_id long, text string")
     model = lm_scoring.train(none)
