@@ -6,6 +6,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.pin import pin
+
 #: Bytes of ASCII white space, as the contracts write it: ``[\x20\x09-\x0D]``.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -21,8 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Number the rows. ``df`` must be a table scan, whose numbering is the same each time."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """Number the rows, written once: a later scan with other splits would number them anew."""
+    return pin(df.withColumn(name, F.monotonically_increasing_id()))
 
 
 def pick_rows(docs: DataFrame, ids: DataFrame, how: str, key: str = "row_id") -> DataFrame:

@@ -168,7 +168,7 @@ def contamination(
     """
     spark = docs.sparkSession
     if "row_id" not in docs.columns:
-        docs = with_row_id(docs)
+        docs = with_row_id(docs.select("doc_id", F.col(text).cast("string").alias(text)))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("row_id", "doc_id", F.col(text).cast("string").alias("text"))
     windows = pin(

@@ -112,7 +112,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text", **options) -> DataFram
     An empty table gives no rows; other columns are not looked at.
     """
     if "row_id" not in docs.columns:
-        docs = with_row_id(docs)
+        docs = with_row_id(docs.select("doc_id", F.col(text).cast("string").alias(text)))
     facts, names = identities(docs, text, **options)
     rows = pin(facts.join(names, "row_id"))
     order = F.struct(

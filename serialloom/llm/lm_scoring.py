@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.pin import pin
-from .common import as_bytes, remainder, with_row_id, words
+from .common import as_bytes, remainder, words
 from .hidden_markov import Chain, Counts, log_likelihoods
 
 STATES, CLASSES = 6, 256
@@ -220,7 +220,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     empty text is its end alone. Repeated rows get a row each; further columns are ignored.
     """
     if "row_id" not in docs.columns:
-        docs = with_row_id(docs)
+        docs = docs.withColumn("row_id", F.monotonically_increasing_id())  # read once, and written with the scores
     v, spark = model.vocabulary, docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     sent = spark.sparkContext.broadcast(model.chain)

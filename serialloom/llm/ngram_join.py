@@ -236,7 +236,7 @@ def near_duplicates(
     rows with one doc_id are rows of their own; a null doc_id comes last. An empty table gives no rows; further columns are ignored.
     """
     if "row_id" not in docs.columns:
-        docs = with_row_id(docs)
+        docs = with_row_id(docs.select("doc_id", F.col(text).cast("string").alias(text)))
     texts = docs.select("row_id", F.col(text).cast("string").alias("text"))
     both = pin(
         texts.mapInArrow(

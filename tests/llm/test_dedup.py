@@ -8,7 +8,7 @@ from llm_fixtures import frame, odd_docs, prose  # noqa: F401
 from pyspark.sql import functions as F
 
 from serialloom.llm import ngram_join, signature_tree
-from serialloom.llm.common import Known
+from serialloom.llm.common import Known, pick_rows, with_row_id
 from serialloom.llm.components import components
 from serialloom.llm.exact_dedup import exact_duplicates
 from serialloom.llm.ngram_join import near_duplicates
@@ -115,3 +115,40 @@ def test_shingle_sets_have_the_size_of_plain_ones(odd_docs):
     known = Known(ngram_join.xxhash.xxh3_64_intdigest, most=5)
     for _, text in odd_docs:
         assert len(ngram_join.shingles((text or "").encode(), known)) == len(plain.shingles(text))
+
+
+# -- row numbers --------------------------------------------------------------------------
+
+PARTS = "spark.sql.files.minPartitionNum"
+
+
+@pytest.fixture
+def split_table(spark, tmp_path, prose):  # noqa: F811
+    """(rows, table): pairs of near copies, in files that a later scan splits otherwise."""
+    rows = []
+    for i in range(0, 120, 2):
+        text = prose(60 + i, 900 + i)
+        rows += [(i, text), (1000 - i, text + " more")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8, "doc_id").write.parquet(f"{tmp_path}/docs")
+    spark.conf.set(PARTS, "8")
+    yield rows, spark.read.parquet(f"{tmp_path}/docs")
+    spark.conf.unset(PARTS)
+
+
+def test_row_ids_stay_when_a_scan_is_split_otherwise(spark, split_table):
+    numbered = with_row_id(split_table[1])
+    before = values(numbered, "row_id", "doc_id")
+    spark.conf.set(PARTS, "1")
+    assert values(numbered, "row_id", "doc_id") == before
+
+
+def test_near_when_scans_are_split_otherwise(spark, split_table, monkeypatch):
+    def later(*a):
+        spark.conf.set(PARTS, "1")
+        return pick_rows(*a)
+
+    rows, docs = split_table
+    monkeypatch.setattr(ngram_join, "pick_rows", later)
+    made = near_duplicates(docs)
+    spark.conf.set(PARTS, "1")
+    assert values(made, "doc_id", "n_shingles", "component_id") == sorted(plain.near(rows), key=repr)
