@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sorted_groups
+from .common import by_size, sorted_groups
 from .tokens import default_path, encoder
 
 #: Written form of the reserved ids, in the order of these ids.
@@ -38,36 +38,32 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub("", text)
 
 
-def assemble(enc, turns: list[tuple[str, str]]) -> tuple[bytes, bytes, str]:
-    """(ids, mask, written) of a conversation's (role, text) turns.
-
-    The mask is the running sum of +1 where a text under the loss starts and -1 where it
-    ends; it has a byte per id.
-    """
+def segment(enc, role: str, text: str) -> tuple[bytes, bytes, str]:
+    """(ids, mask, written) of one turn; the mask has a byte per id."""
     base = enc.size
     control = [np.array([base + i], "<u4").tobytes() for i in range(len(CONTROLS))]
-    parts, steps, written, n = [control[BOS]], [], [CONTROLS[BOS]], 1
+    marker, inside = MARKERS.get(role), escape(text)
+    head = control[ROLE] + enc.encode(escape(role)) + control[TEXT] if marker is None else control[marker]
+    said = CONTROLS[ROLE] + escape(role) + CONTROLS[TEXT] if marker is None else CONTROLS[marker]
+    ids = enc.encode(inside)
+    mask = bytes(len(head) // 4) + bytes([marker == ASSISTANT]) * (len(ids) // 4) + bytes(1)
+    return head + ids + control[END], mask, said + inside + CONTROLS[END]
+
+
+def assemble(enc, turns: list[tuple[str, str]]) -> tuple[bytes, bytes, str]:
+    """(ids, mask, written) of a conversation's (role, text) turns."""
+    ids, mask, written = [np.array([enc.size + BOS], "<u4").tobytes()], [bytes(1)], [CONTROLS[BOS]]
     for role, text in turns:
-        inside = escape(text)
-        marker = MARKERS.get(role)
-        head = [control[ROLE], enc.encode(escape(role)), control[TEXT]] if marker is None else [control[marker]]
-        said = CONTROLS[ROLE] + escape(role) + CONTROLS[TEXT] if marker is None else CONTROLS[marker]
-        ids = enc.encode(inside)
-        parts += [*head, ids, control[END]]
-        written += [said, inside, CONTROLS[END]]
-        n += sum(map(len, head)) // 4
-        if marker == ASSISTANT:
-            steps.append((n, n + len(ids) // 4))
-        n += len(ids) // 4 + 1
-    change = np.zeros(n + 1, np.int8)
-    for a, b in steps:  # an empty text adds nothing
-        change[a] += 1
-        change[b] -= 1
-    return b"".join(parts), np.cumsum(change[:n], dtype=np.int8).tobytes(), "".join(written)
+        for whole, part in zip((ids, mask, written), segment(enc, role, text), strict=True):
+            whole.append(part)
+    return b"".join(ids), b"".join(mask), "".join(written)
 
 
 def read_back(enc, ids: bytes, mask: bytes) -> tuple[list[tuple[str, str]], str]:
-    """The turns, and all text under the mask, from the ids and the mask alone."""
+    """The turns, and all text under the mask, from the ids and the mask alone.
+
+    ids may be a conversation's, or any of its segments, as every turn ends with an id of its own.
+    """
     values, base, table = np.frombuffer(ids, "<u4"), enc.size, enc.bytes_of
     on = np.frombuffer(mask, np.int8).astype(bool)
     names = {marker: role for role, marker in MARKERS.items()}
@@ -110,6 +106,15 @@ def _format(path: str):
     return run
 
 
+def _turns(conversations: DataFrame) -> DataFrame:
+    return conversations.select(
+        "conv_id",
+        "turn",
+        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    )
+
+
 def format_chats(conversations: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """A row per conversation: conv_id, n_turns, ids, mask, formatted.
 
@@ -117,17 +122,11 @@ def format_chats(conversations: DataFrame, tokenizer: str | None = None) -> Data
     32-bit integers, mask a byte per id. Turns go by turn (null first), then role, then
     text, so ties have one order and repeated rows are repeated turns. A null text or role
     is empty; rows with a null conv_id are one conversation. An empty table gives no rows;
-    further columns are ignored. A conversation is one row here, so its turns meet in one
-    task, row by row in their order.
+    further columns are ignored. A conversation is one row here, so it must fit one cell
+    and one task; ``format_turns`` has no such bound.
     """
     kind = conversations.schema["conv_id"].dataType.simpleString()
-    rows = conversations.select(
-        "conv_id",
-        "turn",
-        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
-    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    dealt = _turns(conversations).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     # numpy knows no null in whole numbers, so null is a column of its own
     dealt = dealt.select(
         "conv_id", "role", "text", F.coalesce("conv_id", F.lit(0)).alias("group"), F.col("conv_id").isNull().alias("none")
@@ -138,32 +137,102 @@ def format_chats(conversations: DataFrame, tokenizer: str | None = None) -> Data
     )
 
 
-def _digest(path: str):
+def _segments(path: str):
     def run(batches):
         enc = encoder(path)
-        for batch in batches:
-            out = []
-            for ids, mask in zip(batch.column("ids").to_pylist(), batch.column("mask").to_pylist(), strict=True):
-                turns, loss = read_back(enc, ids, mask)
-                whole = sha256()
-                for role, text in turns:
-                    whole.update(f"{role}\n{text}\n".encode())
-                out.append((len(turns), whole.hexdigest(), len(loss), sha256(loss.encode()).hexdigest()))
+        for batch in by_size(batches):
+            made = [segment(enc, *x) for x in zip(*(batch.column(c).to_pylist() for c in ("role", "text")), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("conv_id"),
-                    pa.array([o[0] for o in out], pa.int64()),
-                    pa.array([o[1] for o in out], pa.string()),
-                    pa.array([o[2] for o in out], pa.int64()),
-                    pa.array([o[3] for o in out], pa.string()),
-                    batch.column("formatted_chars"),
+                    batch.column("turn"),
+                    pa.array([m[0] for m in made], pa.binary()),
+                    pa.array([m[1] for m in made], pa.binary()),
+                    pa.array([m[2] for m in made], pa.string()),
                 ],
-                ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
+                ["conv_id", "turn", "ids", "mask", "formatted"],
             )
 
     return run
 
 
+def format_turns(conversations: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """A row per turn: conv_id, turn, ids, mask, formatted.
+
+    The segments of a conversation, behind one BOS and in the order that ``format_chats``
+    names, are what it makes of the conversation. No rows meet for it.
+    """
+    conv, turn = (conversations.schema[c].dataType.simpleString() for c in ("conv_id", "turn"))
+    return _turns(conversations).mapInArrow(
+        _segments(tokenizer or default_path()),
+        f"conv_id {conv}, turn {turn}, ids binary, mask binary, formatted string",
+    )
+
+
+def _read(path: str):
+    """(conv_id, turn, role, text, loss, chars) of segments, from their ids and masks."""
+
+    def run(batches):
+        enc = encoder(path)
+        for batch in by_size(batches, "ids"):
+            read = [read_back(enc, *x) for x in zip(*(batch.column(c).to_pylist() for c in ("ids", "mask")), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("conv_id"),
+                    batch.column("turn"),
+                    pa.array([turns[0][0] for turns, _ in read], pa.string()),
+                    pa.array([turns[0][1] for turns, _ in read], pa.string()),
+                    pa.array([loss for _, loss in read], pa.string()),
+                    batch.column("chars"),
+                ],
+                ["conv_id", "turn", "role", "text", "loss", "chars"],
+            )
+
+    return run
+
+
+class _Sums:
+    """What is said of a conversation, turn by turn."""
+
+    def __init__(self, conv_id):
+        self.conv_id, self.turns, self.loss_chars, self.chars = conv_id, 0, 0, len(CONTROLS[BOS])
+        self.whole, self.loss = sha256(), sha256()
+
+    def add(self, role: str, text: str, loss: str, chars: int):
+        self.turns += 1
+        self.whole.update(f"{role}\n{text}\n".encode())
+        self.loss.update(loss.encode())
+        self.loss_chars += len(loss)
+        self.chars += chars
+
+    def row(self) -> dict:
+        return {
+            "conv_id": self.conv_id, "n_turns": self.turns, "turns_sha256": self.whole.hexdigest(),
+            "loss_chars": self.loss_chars, "loss_sha256": self.loss.hexdigest(), "formatted_chars": self.chars,
+        }
+
+
+def _digest(batches):
+    """A row per conversation from turns in order; only sums and one slice of turns are held."""
+    schema = pa.schema([
+        ("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()),
+        ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()),
+    ])
+    held = None
+    for batch in by_size(batches):
+        out = []
+        names = ("conv_id", "role", "text", "loss", "chars")
+        for conv_id, *turn in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            if held is None or held.conv_id != conv_id:
+                if held is not None:
+                    out.append(held.row())
+                held = _Sums(conv_id)
+            held.add(*turn)
+        yield pa.RecordBatch.from_pylist(out, schema)
+    if held is not None:
+        yield pa.RecordBatch.from_pylist([held.row()], schema)
+
+
 #: Added to the given conversations: its texts are control strings.
 PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -171,10 +240,13 @@ PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[IN
 def op8_chat_format(spark, sf_dir: str) -> DataFrame:
     given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
-    made = format_chats(given.unionByName(probe))
-    read = made.select("conv_id", "ids", "mask", F.char_length("formatted").cast("long").alias("formatted_chars"))
-    return read.mapInArrow(
-        _digest(default_path()),
+    made = format_turns(given.unionByName(probe))
+    read = made.select("conv_id", "turn", "ids", "mask", F.char_length("formatted").cast("long").alias("chars")).mapInArrow(
+        _read(default_path()), "conv_id long, turn long, role string, text string, loss string, chars long"
+    )
+    dealt = read.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return dealt.mapInArrow(
+        _digest,
         "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
     )
 

@@ -222,3 +222,19 @@ def test_long_texts_count_as_short_ones_do(monkeypatch):
     whole = language_id.counts_of(text)
     monkeypatch.setattr(language_id, "_SPAN", 17)
     assert (language_id.counts_of(text) == whole).all()
+
+
+def test_one_conversation_is_hashed_turn_by_turn(spark, tmp_path, monkeypatch):
+    def never(*a):
+        raise AssertionError("a conversation was held whole")
+
+    monkeypatch.setattr(chat_format, "format_chats", never)
+    turns = [(None, i, ["user", "assistant", "narrator"][i % 3], f"say {i} </s>") for i in range(25_000)]
+    given = spark.createDataFrame([*turns, (0, 0, "assistant", "")], "conv_id long, turn long, role string, text string")
+    given.repartition(7).write.parquet(f"{tmp_path}/conversations.parquet")
+    made = {r.conv_id: r for r in chat_format.op8_chat_format(spark, str(tmp_path)).collect()}
+    assert set(made) == {None, 0, -7}
+    whole = sha256("".join(f"{r}\n{t}\n" for _, _, r, t in turns).encode()).hexdigest()
+    loss = "".join(t for _, _, r, t in turns if r == "assistant")
+    _, _, written = chat_format.assemble(encoder(default_path()), [t[2:] for t in turns])
+    assert tuple(made[None]) == (None, 25_000, whole, len(loss), sha256(loss.encode()).hexdigest(), len(written))
