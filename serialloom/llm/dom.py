@@ -14,8 +14,13 @@ _ATTR = re.compile(r"""([a-zA-Z][\w:-]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is text for no reader.
-RAW = frozenset("script style noscript template textarea iframe object svg math title select button canvas".split())
+#: No tag stands inside them; without an end tag they go to the end of the page.
+RAW = frozenset("script style textarea title iframe".split())
+#: Elements whose text is for no reader. Without an end tag, a block or their parent's end closes them.
+DROPPED = frozenset("noscript template object svg select button canvas".split())
+_NESTED = frozenset("template object svg".split())
+#: An end tag inside them closes nothing outside.
+_CLOSED_OFF = frozenset("template object svg select".split())
 INLINE = frozenset(
     "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong "
     "sub sup time tt u var".split()
@@ -45,6 +50,23 @@ def _attributes(raw: str) -> tuple[tuple[str, ...], bool]:
     return tuple(dict.fromkeys(tokens)), marked
 
 
+OPEN, SHUT = 1, 2
+
+
+def _with_end(html: str, name: str) -> set[int]:
+    """Where tags of this name start that have an end tag of their own."""
+    open_tags, found = [], set()
+    for m in re.compile(rf"<(/?){name}(?=[\s/>])", re.I).finditer(html):
+        if m[1]:
+            if open_tags:
+                found.add(open_tags.pop())
+            continue
+        if name not in _NESTED:
+            open_tags.clear()
+        open_tags.append(m.start())
+    return found
+
+
 class Page:
     """Nodes in page order (a parent before its children) and text pieces.
 
@@ -60,21 +82,27 @@ class Page:
         self._read(html)
 
     def _read(self, html: str):
-        stack: list[tuple[str, int, bool]] = [("#page", 0, False)]  # tag, node, starts a block
-        block = links = pos = 0
-        pieces = self.pieces
+        # tag, node, starts a block, 0 or how its text is dropped: OPEN without an end tag, SHUT with one
+        stack: list[tuple[str, int, bool, int]] = [("#page", 0, False, 0)]
+        block = links = pos = dropped = foreign = 0
+        pieces, shut = self.pieces, {}
+        loose: list[int] = []  # places in the stack that a block ends, from the outermost on
 
         def text(a: int, b: int):
-            if b > a:
+            if b > a and not dropped:
                 said = html[a:b]
                 pieces.append((block, stack[-1][1], unescape(said) if "&" in said else said, links > 0))
 
         def pop(to: int):
-            nonlocal links, block
+            nonlocal links, block, dropped, foreign
             while len(stack) > to:
-                tag, _, blocky = stack.pop()
+                tag, _, blocky, drops = stack.pop()
                 links -= tag == "a"
                 block += blocky
+                dropped -= drops > 0
+                foreign -= tag in ("svg", "math")
+            while loose and loose[-1] >= to:
+                loose.pop()
 
         search = _TAG.search
         while True:
@@ -93,20 +121,39 @@ class Page:
                     if stack[i][0] == name:
                         pop(i)
                         break
+                    if stack[i][3] == SHUT and stack[i][0] in _CLOSED_OFF:
+                        break
                 else:
-                    block += name not in INLINE
+                    block += name not in INLINE and not dropped
                 continue
             if name in ("br", "hr"):
-                block += 1
+                block += not dropped
                 continue
             raw = m["attrs"] if m["name"] else m["attrs2"]
             if name in VOID:
                 continue
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, pos)
-                if not raw.rstrip().endswith("/") or name not in ("svg", "math"):
-                    pos = end.end() if end else len(html)
-                block += name not in INLINE and name not in ("svg", "math", "button", "select")
+                pos = end.end() if end else len(html)
+                block += not dropped
+                continue
+            if (foreign or name in ("svg", "math")) and raw.rstrip().endswith("/"):
+                continue
+            if loose and name in _ENDS_P:
+                pop(loose[0])
+            elif loose and name in DROPPED and name not in _NESTED:
+                at = next((i for i in loose if stack[i][0] == name), None)
+                if at is not None:
+                    pop(at)
+            if name in DROPPED:
+                if name not in shut:
+                    shut[name] = _with_end(html, name)
+                block += name in ("noscript", "template", "object", "canvas") and not dropped
+                if m.start() not in shut[name]:
+                    loose.append(len(stack))
+                stack.append((name, stack[-1][1], False, SHUT if m.start() in shut[name] else OPEN))
+                dropped += 1
+                foreign += name == "svg"
                 continue
             if name in _ENDS_P:
                 for i in range(len(stack) - 1, 0, -1):
@@ -120,11 +167,18 @@ class Page:
                     if stack[i][0] in CLOSES[name]:
                         pop(i)
                         break
-                    if stack[i][0] in _BARRIER or stack[i][0] == "tr" and name in ("td", "th"):
+                    if stack[i][3] == SHUT or stack[i][0] in _BARRIER or stack[i][0] == "tr" and name in ("td", "th"):
                         break
-            tokens, marked = _attributes(raw) if raw.strip() else ((), False)
             if name in ("html", "body", "head"):
                 continue
+            if dropped or foreign or name == "math":  # inside, no nodes and no blocks
+                if name == "math":
+                    loose.append(len(stack))
+                stack.append((name, stack[-1][1], False, 0))
+                links += name == "a"
+                foreign += name in ("svg", "math")
+                continue
+            tokens, marked = _attributes(raw) if raw.strip() else ((), False)
             blocky = name not in INLINE
             node = stack[-1][1]
             if blocky or tokens and name != "a":
@@ -137,7 +191,7 @@ class Page:
                     self.marked.add(node)
             block += blocky
             links += name == "a"
-            stack.append((name, node, blocky))
+            stack.append((name, node, blocky, 0))
 
     def text(self, kept) -> str:
         """White space inside a block as one space, blocks by one space; only pieces of kept nodes."""

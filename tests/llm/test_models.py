@@ -290,3 +290,23 @@ def test_main_text_held_out(frame, natural):  # noqa: F811
 def test_main_text_of_nothing(frame):  # noqa: F811
     none = frame([], "page_id long, url string, html string")
     assert main_text.main_text(none, main_text.train(none)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["button", "select", "canvas", "object", "noscript", "template"])
+def test_an_element_without_an_end_tag_drops_no_article(name):
+    def said(html):
+        page = Page(html)
+        return page.text([True] * len(page.tags))
+
+    article = "<article><h1>Head</h1><p>The words.</p></article>"
+    for menu in (f"<nav><{name}>Menu</nav>", f"<{name}>Menu", f"<div><{name}>Menu <{name}>Close</{name}></div>"):
+        assert said(f"<body>{menu}{article}<footer><{name}>Top</{name}> End</footer></body>") == "Head The words. End"
+        assert said(f"<body>{menu}{article}</body>") == "Head The words."
+    assert said(f"<p>a</p><{name}><b>no <i>word</i></b></{name}><p>b</p>") == "a b"
+
+
+def test_text_of_math_is_kept():
+    page = Page("<article><p>so <math><mi>x</mi><mo>=</mo><mspace/><mn>1</mn></math> holds<svg><g><path/></g></svg>.</p></article>")
+    assert page.text([True] * len(page.tags)) == "so x=1 holds."
+    page = Page("<p>a <button><div>no</div></button> b</p><math><mi>y</mi><p>c</p>")
+    assert page.text([True] * len(page.tags)) == "a b y c"
