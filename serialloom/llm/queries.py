@@ -1,6 +1,6 @@
 """The registered queries of the operators, each with its SQL where SQL can express it."""
 
-from . import chat_format, decontamination, exact_dedup, language_id, lm_scoring, main_text, ngram_join, packing, toxicity, url_filter
+from . import chat_format, decontamination, exact_dedup, language_id, lm_scoring, main_text, ngram_join, packing, quality, toxicity, url_filter
 
 QUERIES = {
     **ngram_join.QUERIES,
@@ -13,4 +13,5 @@ QUERIES = {
     **chat_format.QUERIES,
     **url_filter.QUERIES,
     **language_id.QUERIES,
+    **quality.QUERIES,
 }
