@@ -1,6 +1,6 @@
 """The registered queries of the operators, each with its SQL where SQL can express it."""
 
-from . import chat_format, decontamination, divergence, exact_dedup, language_id, lm_scoring, main_text, ngram_join, packing, quality, toxicity, url_filter
+from . import chat_format, decontamination, divergence, exact_dedup, language_id, lm_scoring, main_text, ngram_join, packing, quality, spelling, toxicity, url_filter
 
 QUERIES = {
     **ngram_join.QUERIES,
@@ -13,6 +13,7 @@ QUERIES = {
     **chat_format.QUERIES,
     **url_filter.QUERIES,
     **language_id.QUERIES,
+    **spelling.QUERIES,
     **divergence.QUERIES,
     **quality.QUERIES,
 }
