@@ -42,19 +42,29 @@ def word_list(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES))
 
 
-def repeat_words(words: Column, width: int = WIDTH) -> Column:
-    """How many words lie in windows that the list has twice or more.
+def word_hashes(words: Column) -> Column:
+    """A 64-bit hash for each word; lists of numbers are compared many times faster than texts."""
+    return F.transform(words, lambda w: F.xxhash64(w))
 
-    ``words`` is a column, not an expression: it is looked up for each window. Windows are
-    told apart by a 64-bit hash.
+
+def repeat_words(hashes: Column, width: int = WIDTH) -> Column:
+    """How many words (given as hashes) lie in windows that the list has twice or more.
+
+    Windows are told apart by a 64-bit hash, made of those of their halves; so ``width`` is
+    a power of two.
     """
-    windows = F.when(
-        F.size(words) >= width,
-        F.transform(
-            F.sequence(F.lit(0), F.size(words) - width),
-            lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)]),
-        ),
-    )
+
+    def doubled(step: int):
+        def joined(parts: Column) -> Column:
+            n = F.size(parts) - step
+            return F.zip_with(F.slice(parts, 1, n), F.slice(parts, step + 1, n), lambda a, b: F.xxhash64(a, b))
+
+        return joined
+
+    windows, step = hashes, 1
+    while step < width:
+        windows, step = bound(windows, doubled(step)), 2 * step
+    windows = F.when(F.size(hashes) >= width, windows)
 
     def places(sorted_windows: Column) -> Column:
         def same(window, k):
@@ -137,7 +147,7 @@ def _share(histogram: Column) -> Column:
 
 
 def distance(one: Column, other: Column) -> Column:
-    """Jensen-Shannon distance of two histograms (arrays of counts) of the same bins."""
+    """Jensen-Shannon distance of two histograms (arrays of counts) of the same bins; null without one."""
 
     def part(p, mean):
         return F.when(p > 0, p * F.log2(p / mean)).otherwise(F.lit(0.0))
@@ -145,20 +155,24 @@ def distance(one: Column, other: Column) -> Column:
     each = F.zip_with(
         _share(one), _share(other), lambda p, q: (part(p, (p + q) / 2) + part(q, (p + q) / 2)) / 2
     )
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(each, F.lit(0.0), lambda a, x: a + x)))
+    total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
+    return F.sqrt(F.when(total < 0, F.lit(0.0)).otherwise(total))
 
 
-def common_counts(words: Column, common: Column) -> Column:
-    """How often each word of ``common`` is in the list, and last how many words are none of them."""
+def common_counts(hashes: Column, common: Column) -> Column:
+    """How often each word of ``common`` is in the list, and last how many words are none of them.
+
+    Both are given as hashes.
+    """
 
     def counted(found: Column) -> Column:
         each = F.transform(
             F.sequence(F.lit(1).cast("long"), F.size(common).cast("long")),
             lambda k: (F.size(found) - F.size(F.array_remove(found, k))).cast("long"),
         )
-        return F.concat(each, F.array((F.size(words) - F.size(found)).cast("long")))
+        return F.concat(each, F.array((F.size(hashes) - F.size(found)).cast("long")))
 
-    places = F.transform(words, lambda w: F.array_position(common, w))
+    places = F.transform(hashes, lambda w: F.array_position(common, w))
     return bound(F.filter(places, lambda at: at > 0), counted)
 
 
@@ -186,25 +200,26 @@ def quality(
     """
     rules = known.select(
         F.col("lang").alias("_lang"), F.col("classes").alias("_reference"),
-        F.col("words").alias("_common"), F.col("counts").alias("_counts"),
+        word_hashes(F.col("words")).alias("_common"), F.col("counts").alias("_counts"),
     )
     mine = docs.select(
         F.struct(*docs.columns).alias("_row"),
         F.col(lang).alias("_lang"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"),
     )
-    rows = with_classes(mine.join(rules, "_lang", "left"), "_text").withColumn("_words", word_list(F.col("_text")))
+    rows = with_classes(mine.join(rules, "_lang", "left"), "_text")
+    rows = rows.withColumn("_hashes", word_hashes(word_list(F.col("_text"))))
     lines = F.filter(F.split("_text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    n_words = F.size("_words").cast("long")
+    n_words = F.size("_hashes").cast("long")
     facts = rows.select(
         "_row",
         n_words.alias("n_words"),
         (F.char_length("_text").cast("long") - F.get("_classes", F.lit(2))).alias("word_chars"),
         F.regexp_count("_text", F.lit(f"[{_SYMBOLS}]")).cast("long").alias("n_symbols"),
         bound(lines, lambda found: F.size(found) - F.size(F.array_distinct(found))).cast("long").alias("n_dup_lines"),
-        repeat_words(F.col("_words")).alias("n_repeat_words"),
+        repeat_words(F.col("_hashes")).alias("n_repeat_words"),
         distance(F.col("_classes"), F.col("_reference")).alias("class_distance"),
-        F.when(n_words >= common_length, distance(common_counts(F.col("_words"), F.col("_common")), F.col("_counts")))
+        F.when(n_words >= common_length, distance(common_counts(F.col("_hashes"), F.col("_common")), F.col("_counts")))
         .alias("common_distance"),
     )
     facts = facts.withColumn(
