@@ -6,9 +6,10 @@ by Jensen-Shannon distance (square root of the divergence in bits, so from 0 to
 texts have rough histograms, so each comparison asks for a least length; a language with few
 words gives no reference, and its documents are judged by the counts alone.
 
-The references need two passes that only add counts (a window per language keeps its most
-frequent words in each partition first); documents are judged in a third, row by row, so no
-text is ever shuffled unless the references outgrow a broadcast.
+The references come from the counts of each language's words, one pass over the texts (a
+window per language keeps its most frequent words in each partition first); documents are
+judged in another, row by row, so no text is ever shuffled unless the references outgrow a
+broadcast.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -30,7 +31,8 @@ CLASS_CHARS, CLASS_DISTANCE = 200, 0.3
 #: Least words, and the largest distance of the common words, of a kept document.
 COMMON_LENGTH, COMMON_DISTANCE = 100, 0.5
 
-#: Classes of characters, taken out of the text in turn; what is left is another one.
+#: Classes of characters, taken out of the text in turn; what is left is another one. White
+#: space is taken out too, but is no class: both histograms are of words.
 CLASSES = ("[a-z]+", "[A-Z]+", SPACES, "[0-9]+", "[.,;:!?'\"()-]+", r"[\x00-\x7F]+")
 _SPACE_CHARS = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -91,14 +93,16 @@ def repeat_words(hashes: Column, width: int = WIDTH) -> Column:
 
 
 def with_classes(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with _classes: how many code points of the text each class has."""
+    """``docs`` with _classes, how many code points of the text each class has, and _spaces."""
     rest, counts = F.col(text), []
     for k, pattern in enumerate(CLASSES):
         docs = docs.withColumn(f"_rest{k}", F.regexp_replace(rest, pattern, ""))
         counts.append(F.char_length(rest) - F.char_length(f"_rest{k}"))
         rest = F.col(f"_rest{k}")
     counts.append(F.char_length(rest))
-    docs = docs.withColumn("_classes", F.array(*[c.cast("long") for c in counts]))
+    spaces = counts.pop(CLASSES.index(SPACES)).cast("long")
+    classes = F.array(*[c.cast("long") for c in counts])
+    docs = docs.withColumn("_classes", classes).withColumn("_spaces", spaces)
     return docs.drop(*[f"_rest{k}" for k in range(len(CLASSES))])
 
 
@@ -125,8 +129,9 @@ def references(
     order = Window.partitionBy("_lang").orderBy(F.col("n").desc(), "word")
     best = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= common)
     best = best.groupBy("_lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("best"))
-    sums = F.array(*[F.sum(F.get("_classes", F.lit(k))) for k in range(len(CLASSES) + 1)])
-    classes = with_classes(texts, "_text").groupBy("_lang").agg(sums.alias("classes"))
+    # each different word is taken apart once, however often it is said
+    sums = F.array(*[F.sum(F.get("_classes", F.lit(k)) * F.col("n")) for k in range(len(CLASSES))])
+    classes = with_classes(counts, "word").groupBy("_lang").agg(sums.alias("classes"))
     others = F.col("n_words") - F.aggregate("best.n", F.lit(0).cast("long"), lambda a, n: a + n)
     return pin(
         totals.join(best, "_lang")
@@ -214,7 +219,7 @@ def quality(
     facts = rows.select(
         "_row",
         n_words.alias("n_words"),
-        (F.char_length("_text").cast("long") - F.get("_classes", F.lit(2))).alias("word_chars"),
+        (F.char_length("_text") - F.col("_spaces")).alias("word_chars"),
         F.regexp_count("_text", F.lit(f"[{_SYMBOLS}]")).cast("long").alias("n_symbols"),
         bound(lines, lambda found: F.size(found) - F.size(F.array_distinct(found))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col("_hashes")).alias("n_repeat_words"),
@@ -256,7 +261,7 @@ facts AS (
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
     len(lines) - len(list_distinct(lines)) AS n_dup_lines,
-    [length(text) - length(r0), length(r0) - length(r1), length(r1) - length(r2), length(r2) - length(r3),
+    [length(text) - length(r0), length(r0) - length(r1), length(r2) - length(r3),
      length(r3) - length(r4), length(r4) - length(r5), length(r5)] AS classes
   FROM cut),
 said AS (
@@ -289,7 +294,7 @@ common AS (
   WHERE f.n_words >= {COMMON_LENGTH}),
 class_sums AS (
   SELECT f.lang, u.k AS k, sum(f.classes[u.k]) AS n
-  FROM facts f, (SELECT unnest(range(1, 8)) AS k) u
+  FROM facts f, (SELECT unnest(range(1, 7)) AS k) u
   WHERE f.lang IN (SELECT lang FROM best) GROUP BY 1, 2),
 class AS (
   SELECT f.id, s.n / sum(s.n) OVER (PARTITION BY f.id) AS q,

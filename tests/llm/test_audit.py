@@ -200,11 +200,11 @@ def plain_base(text):
     return len(said), sum(map(len, said)), symbols, len(lines) - len(set(lines)), len(covered), failed
 
 
-CLASSES = ("[a-z]", "[A-Z]", r"[\x20\x09-\x0D]", "[0-9]", "[.,;:!?'\"()-]", "[\x00-\x7f]")
+CLASSES = ("[a-z]", "[A-Z]", "[0-9]", "[.,;:!?'\"()-]", "[\x00-\x7f]")
 
 
 def plain_classes(text):
-    out, rest = [], text or ""
+    out, rest = [], plain.SPACE.sub("", text or "")
     for one in CLASSES:
         left = re.sub(one, "", rest)
         out.append(len(rest) - len(left))
@@ -222,7 +222,7 @@ def plain_quality(docs, common=32, least=2000):
     """Rows (doc_id, text, lang) -> base counts, class_distance, common_distance."""
     known = {}
     for lang in {g for _, _, g in docs if g is not None}:
-        said, classes = Counter(), [0] * 7
+        said, classes = Counter(), [0] * 6
         for _, text, g in docs:
             if g == lang:
                 said.update(w for w in plain.SPACE.split(text or "") if w)
