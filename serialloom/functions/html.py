@@ -99,17 +99,17 @@ def meta_content(html: Column, name: str) -> Column:
     )
 
 
-def _script_value(html: Column, pattern: str) -> Column:
-    # one run of the pattern over the page; none found is NULL
-    return F.try_element_at(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), F.lit(1))
+def script_value(html: Column, pattern: Column) -> Column:
+    """What the first group of a pattern finds first in the page, NULL when it finds nothing."""
+    return F.try_element_at(F.regexp_extract_all(html, pattern, F.lit(1)), F.lit(1))
 
 
 def cover_from_script(html: Column) -> Column:
-    return _script_value(html, COVER_SCRIPT)
+    return script_value(html, F.lit(COVER_SCRIPT))
 
 
 def chapters_from_script(html: Column) -> Column:
-    return _script_value(html, CHAPTERS_SCRIPT)
+    return script_value(html, F.lit(CHAPTERS_SCRIPT))
 
 
 def drop_failed(url: Column) -> Column:

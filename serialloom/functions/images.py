@@ -5,6 +5,10 @@ from pyspark.sql import Column, functions as F
 from ..fixed_values import IMAGE_BOX_WIDTH, JPEG_QUALITY
 
 
+#: Kinds that a book can hold, as they are or re-encoded.
+USABLE_KINDS = ("png", "jpeg", "webp", "gif", "svg")
+
+
 def image_kind(data: Column) -> Column:
     """png, jpeg, webp, gif by magic bytes; svg, html by text; else NULL."""
     size = F.octet_length(data)

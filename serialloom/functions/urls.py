@@ -88,8 +88,8 @@ def asset_filename(url: Column) -> Column:
     return safe_title(bound(_url_path(url), named))
 
 
-def absolute_url(path: Column, site: str = NATIVE_SITE) -> Column:
-    return F.concat(F.lit(site), path)
+def absolute_url(path: Column, site: str | Column = NATIVE_SITE) -> Column:
+    return F.concat(site if isinstance(site, Column) else F.lit(site), path)
 
 
 def feed_url(

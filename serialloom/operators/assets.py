@@ -1,12 +1,15 @@
 """Images of a book: which ones, under what names, and from where."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.html import drop_failed, image_urls, rewrite_image_refs
+from ..functions.html import drop_failed, image_urls
+from ..functions.images import USABLE_KINDS, image_kind
+from ..functions.rewrite import rewrite_sources
 from ..functions.urls import asset_filename
+from ..plans.pin import pin
+from ..sinks.blobs import Blobs
 from .running import numbered
 
-ASSET_KEY = ["book_id", "filename"]
 _TEXTS = ("content", "note_start", "note_end")
 
 
@@ -24,89 +27,177 @@ def drop_failed_assets(assets: DataFrame) -> DataFrame:
     return assets.where(drop_failed(F.col("url")))
 
 
+def _named(assets: DataFrame) -> DataFrame:
+    """Each asset with the name its url gives it, which may be NULL, and its place in the book.
+
+    The place is the MD5 of the url as a number: any fixed order will do, and this one
+    splits evenly into blocks. Numbers, unlike texts, aggregate without sorting.
+    """
+    digest = F.md5("url")
+    high, low = (
+        F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)") for at in (1, 16)
+    )
+    rank = (high * F.lit(2**60).cast("decimal(19,0)")).cast("decimal(38,0)") + low
+    return assets.select(
+        "book_id",
+        "url",
+        rank.cast("decimal(38,0)").alias("_rank"),
+        F.substring(digest, 1, 3).alias("_block"),
+        asset_filename(F.col("url")).alias("base_name"),
+    )
+
+
+def _with_names(rows: DataFrame, takes: Column) -> tuple[DataFrame, DataFrame]:
+    """(urls that may use the name as it is, later ones with a number before it).
+
+    The first url of a book, by place, that ``takes`` a name keeps it; urls before it don't
+    stand in its way. All later ones are numbered through the book from 0.
+    """
+    firsts = rows.where(takes).groupBy("book_id", "base_name").agg(F.min("_rank").alias("_first"))
+    placed = pin(rows.join(firsts, ["book_id", "base_name"], "left"))
+    later = F.coalesce(F.col("_rank") > F.col("_first"), F.lit(False))
+    counted = numbered(placed.where(later), ["book_id"], [["_block"]], ["_rank", "url"], "_k")
+    prefixed = counted.withColumn("filename", F.concat_ws("_", F.col("_k") - 1, "base_name")).drop("_k")
+    return placed.where(~later).withColumn("filename", F.col("base_name")), prefixed
+
+
 def asset_names(assets: DataFrame) -> DataFrame:
     """File name of each (book_id, url); urls without any name have no row.
 
     The first url of a book to use a name keeps it.  The others get the prefix
-    '{k}_', k counting such repeats within the book from 0.  "First" is by the
-    MD5 of the url: any fixed order will do, and this one splits evenly into
-    blocks, so neither a book nor a name with very many images meets in one task.
+    '{k}_', k counting such repeats within the book from 0.  Neither a book nor a
+    name with very many images meets in one task.
+    """
+    named = pin(_named(assets)).where(F.col("base_name").isNotNull())
+    own, prefixed = _with_names(named, F.lit(True))
+    columns = ["book_id", "url", "filename"]
+    return own.select(*columns).unionByName(prefixed.select(*columns))
+
+
+def resolve_assets(wanted: DataFrame, cache: Blobs, fetched: Blobs) -> DataFrame:
+    """(book_id, url, filename, state, kind, error): what became of each wanted (book_id, url).
+
+    ``state`` is cached (the book's cache holds a file of that name), fetched (its bytes were
+    fetched and are an image) or failed. Only images that were obtained take a name: the
+    first one of a book, by place, and those after it get a number before it, as in
+    :func:`asset_names`, whether they are obtained or not. ``cache`` is keyed by (book_id,
+    filename), ``fetched`` by url. A url without a file name is failed and has none.
     """
-    # A list of no or one name: a filter on the name would be pushed down and make
-    # every url be taken apart twice.
-    name = F.filter(F.array(asset_filename(F.col("url"))), lambda n: n.isNotNull())
-    named = assets.select(
-        "book_id", "url", F.md5("url").alias("_rank"), F.explode(name).alias("base_name")
+    named = pin(_named(wanted.select("book_id", "url").distinct()))
+    kinds = fetched.with_bytes(named.select("url").distinct()).select(
+        "url", F.lit(True).alias("_loaded"), image_kind(F.col("bytes")).alias("kind")
     )
-    firsts = named.groupBy("book_id", "base_name").agg(
-        F.min(F.struct("_rank", "url")).alias("_first")
+    held = cache.keys().withColumn("_held", F.lit(True))
+    rows = named.join(held.withColumnRenamed("filename", "base_name"), ["book_id", "base_name"], "left")
+    rows = pin(rows.join(kinds, "url", "left"))
+    usable = F.col("kind").isin(*USABLE_KINDS)
+    own, prefixed = _with_names(
+        rows.where(F.col("base_name").isNotNull()), F.coalesce("_held", F.lit(False)) | F.coalesce(usable, F.lit(False))
     )
-    repeats = named.join(firsts, ["book_id", "base_name"]).where(
-        F.col("url") != F.col("_first.url")
+    prefixed = prefixed.drop("_held").join(held, ["book_id", "filename"], "left")
+    nameless = rows.where(F.col("base_name").isNull()).withColumn("filename", F.lit(None).cast("string"))
+    # a name that the cache holds is the first one's; the urls before it have not obtained it
+    first = F.col("_rank") == F.col("_first")
+    columns = ["book_id", "url", "filename", "kind", "_loaded"]
+    every = (
+        own.select(*columns, (F.col("_held") & first).alias("_held"))
+        .unionByName(prefixed.select(*columns, "_held"))
+        .unionByName(nameless.select(*columns, F.lit(False).alias("_held")))
     )
-    counted = numbered(
-        repeats.select("book_id", "url", "base_name", "_rank").withColumn(
-            "_block", F.substring("_rank", 1, 3)
-        ),
-        ["book_id"],
-        [["_block"]],
-        ["_rank", "url"],
-        "_k",
+    named_at_all = F.col("filename").isNotNull()
+    state = (
+        F.when(F.coalesce("_held", F.lit(False)), "cached")
+        .when(named_at_all & F.coalesce(usable, F.lit(False)), "fetched")
+        .otherwise("failed")
     )
-    kept = firsts.select(
-        "book_id", F.col("_first.url").alias("url"), F.col("base_name").alias("filename")
+    error = (
+        F.when(~named_at_all, "neither an url nor a path")
+        .when(F.col("_loaded").isNull(), "not fetched")
+        .when(F.col("kind") == "html", "a web page")
+        .otherwise("not a known image format")
     )
-    prefixed = counted.select(
-        "book_id", "url", F.concat_ws("_", F.col("_k") - 1, "base_name").alias("filename")
+    return every.select(
+        "book_id",
+        "url",
+        "filename",
+        state.alias("state"),
+        "kind",
+        F.when(state == "failed", error).alias("error"),
     )
-    return kept.unionByName(prefixed)
+
+
+def obtained(resolved: DataFrame) -> DataFrame:
+    """The images that a book can hold."""
+    return resolved.where(F.col("state") != "failed")
+
+
+def asset_bytes(resolved: DataFrame, cache: Blobs, fetched: Blobs) -> DataFrame:
+    """(book_id, filename, url, state, bytes) of the images that were obtained."""
+    columns = ["book_id", "filename", "url", "state"]
+    cached = cache.with_bytes(resolved.where(F.col("state") == "cached").select(*columns))
+    loaded = fetched.with_bytes(resolved.where(F.col("state") == "fetched").select(*columns))
+    return cached.select(*columns, "bytes").unionByName(loaded.select(*columns, "bytes"))
+
+
+def cache_resolved(resolved: DataFrame, cache: Blobs, fetched: Blobs, run_id: str) -> int:
+    """Add what a run has fetched to the cache, under its final names."""
+    new = fetched.with_bytes(resolved.where(F.col("state") == "fetched").select("book_id", "filename", "url"))
+    return cache.add(new.select("book_id", "filename", "bytes"), run_id)
+
+
+def _sources(distinct: bool) -> dict[str, Column]:
+    found = {t: image_urls(F.col(t)) for t in _TEXTS}
+    return {t: F.array_distinct(c) if distinct else c for t, c in found.items()}
+
+
+def rewrite_with_base_names(texts: DataFrame) -> DataFrame:
+    """Point every image source at the file name that its url gives it."""
+    every = F.array_distinct(F.flatten(F.array(*_sources(False).values())))
+    files = F.transform(every, lambda u: F.struct(u.alias("src"), asset_filename(u).alias("file")))
+    return rewrite_sources(texts, _TEXTS, _sources(False), files)
 
 
 def rewrite_with_names(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """Point image sources at the final names, prefixes included.
+    """Point image sources at the final names, prefixes included; sources without one stay.
 
     ``texts`` has book_id, identifier and the three texts.  What is gathered per
     row is the list of images of one text.
     """
-    sources = F.array_distinct(F.flatten(F.array(*[image_urls(F.col(t)) for t in _TEXTS])))
+    every = F.array_distinct(F.flatten(F.array(*_sources(False).values())))
     pairs = (
-        texts.select("book_id", "identifier", F.posexplode(sources).alias("_at", "url"))
-        .join(names, ["book_id", "url"])
+        texts.select("book_id", "identifier", F.explode(every).alias("url"))
+        .join(names.select("book_id", "url", "filename"), ["book_id", "url"])
         .groupBy("book_id", "identifier")
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct("_at", F.col("url").alias("src"), F.col("filename").alias("file"))
-                )
-            ).alias("_pairs")
-        )
+        .agg(F.collect_list(F.struct(F.col("url").alias("src"), F.col("filename").alias("file"))).alias("_pairs"))
     )
     joined = texts.join(pairs, ["book_id", "identifier"], "left")
-    known = F.coalesce("_pairs", F.array().cast(pairs.schema["_pairs"].dataType))
-    return joined.select(
-        *[c for c in texts.columns if c not in _TEXTS],
-        *[rewrite_image_refs(F.col(t), known).alias(t) for t in _TEXTS],
-    )
+    return rewrite_sources(joined, _TEXTS, _sources(True), F.col("_pairs")).select(*texts.columns)
 
 
-def cache_aside(wanted: DataFrame, cache: DataFrame, fetched: DataFrame) -> DataFrame:
-    """Bytes of each wanted asset: cached ones first, else fetched, else NULL."""
-    hits = cache.select(*ASSET_KEY, F.col("bytes").alias("_cached"))
-    loads = fetched.join(cache.select(*ASSET_KEY), ASSET_KEY, "left_anti").select(
-        *ASSET_KEY, F.col("bytes").alias("_loaded")
-    )
-    return (
-        wanted.join(hits, ASSET_KEY, "left")
-        .join(loads, ASSET_KEY, "left")
-        .select(*wanted.columns, F.coalesce("_cached", "_loaded").alias("bytes"))
-    )
+def cache_misses(wanted: DataFrame, cache: Blobs) -> DataFrame:
+    """Wanted assets that have to be fetched; no bytes move."""
+    return cache.missing(wanted)
 
 
-def cache_misses(wanted: DataFrame, cache: DataFrame) -> DataFrame:
-    """Wanted assets that have to be fetched; no bytes move."""
-    return wanted.join(cache.select(*ASSET_KEY), ASSET_KEY, "left_anti")
+def cache_aside(wanted: DataFrame, cache: Blobs, fetched: Blobs) -> DataFrame:
+    """Bytes of each wanted asset: cached ones first, else fetched, else NULL.
+
+    Both stores are keyed by (book_id, filename). Where a key is found is decided before any
+    bytes are read, and only bytes of wanted keys leave their scan.
+    """
+    misses = pin(cache.missing(wanted))
+    hits = wanted.join(cache.keys(), cache.key, "left_semi")
+    columns = [*wanted.columns, "bytes"]
+    nowhere = fetched.missing(misses).withColumn("bytes", F.lit(None).cast("binary"))
+    return (
+        cache.with_bytes(hits)
+        .select(*columns)
+        .unionByName(fetched.with_bytes(misses).select(*columns))
+        .unionByName(nowhere.select(*columns))
+    )
 
 
-def cache_delta(wanted: DataFrame, cache: DataFrame, fetched: DataFrame) -> DataFrame:
+def cache_delta(wanted: DataFrame, cache: Blobs, fetched: Blobs) -> DataFrame:
     """Fetched assets to add to the cache: wanted, and not in it yet."""
-    return fetched.join(cache_misses(wanted, cache).select(*ASSET_KEY), ASSET_KEY, "left_semi")
+    keys = cache.missing(wanted).select(*cache.key).distinct()
+    return fetched.with_bytes(keys).select(*cache.key, "bytes")

@@ -8,20 +8,20 @@ from datetime import datetime
 from functools import cached_property
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import schemas
-from ..fixed_values import NATIVE_SITE
-from ..functions.html import clean_html, rewrite_image_refs
+from ..functions.html import clean_html
 from ..functions.labels import stable_id
 from ..functions.urls import url_segment
 from ..operators import assets, diff, products
 from ..operators.library import stash_books
 from ..operators.routing import ALL_RULES, COMPAT, UNSUPPORTED, SourceRule, route_sources
 from ..operators.toollog import classify_tool_log
-from ..sources.chapter_pages import CHAPTER_NOTICES, CHAPTER_RULES, extract_chapter_pages
-from ..sources.elements import NoticeRule, Rule
-from ..sources.fiction import FICTION_RULES, parse_fiction_pages, split_parsed
+from ..sinks.blobs import Blobs
+from ..sources.elements import extract_by_source
+from ..sources.fiction import parse_index_pages, split_parsed
+from ..sources.profiles import CHAPTER, INDEX, NATIVE, Profiles, SourceProfile, profile_tables
 from .pin import pin
 
 
@@ -31,6 +31,14 @@ class Stored(NamedTuple):
     books: DataFrame  # schemas.BOOKS
     chapters: DataFrame  # schemas.CHAPTERS
     content: DataFrame  # schemas.CHAPTER_CONTENT
+    high_water: DataFrame | None = None  # schemas.HIGH_WATER; without it, all chapters are read
+
+
+class Images(NamedTuple):
+    """Where the images of a run come from."""
+
+    cache: Blobs  # by book_id, filename
+    fetched: Blobs  # by url
 
 
 class Crawled(NamedTuple):
@@ -40,20 +48,6 @@ class Crawled(NamedTuple):
     chapter_pages: DataFrame  # url, html[, fetched_at]
 
 
-class SourceProfile(NamedTuple):
-    """What the jobs must know of a site: its name in the source rules, where its
-    links lead, and how to pick the parts out of its pages."""
-
-    name: str
-    site: str
-    index_rules: Sequence[Rule]
-    chapter_rules: Sequence[Rule]
-    notices: NoticeRule | None
-
-
-NATIVE = SourceProfile("native", NATIVE_SITE, FICTION_RULES, CHAPTER_RULES, CHAPTER_NOTICES)
-
-
 class Run:
     """What one job has to report and to write.
 
@@ -69,8 +63,10 @@ class Run:
         to_fetch: DataFrame,
         chapter_pages: DataFrame,
         stored_content: DataFrame,
-        profile: SourceProfile,
+        sources: DataFrame,
+        profiles: Profiles,
         refresh: str = diff.COUNT_ONLY,
+        images: Images | None = None,
     ):
         self.outcomes = outcomes  # schemas.OUTCOMES
         self.books = books
@@ -79,16 +75,18 @@ class Run:
         self._to_fetch = to_fetch
         self._chapter_pages = chapter_pages
         self._stored_content = stored_content
-        self._profile = profile
+        self._sources = sources  # book_id, source
+        self._profiles = profiles
         self._refresh = refresh
+        self.images = images
 
     @cached_property
     def _parsed(self) -> DataFrame:
         """The crawled pages of the wanted chapters; others are never parsed."""
-        keys = self._to_fetch.select(*diff.KEY, "url").distinct()
-        wanted = _latest(self._chapter_pages).join(keys, "url").select(*diff.KEY, "html")
-        rules, notices = self._profile.chapter_rules, self._profile.notices
-        return pin(extract_chapter_pages(wanted, diff.KEY, rules, notices))
+        keys = self._to_fetch.select(*diff.KEY, "url").distinct().join(self._sources, "book_id")
+        keys = pin(keys.join(self._profiles.of_pages(CHAPTER).select("source", "rules"), "source"))
+        wanted = _latest(self._chapter_pages, keys).select(*diff.KEY, "html", "rules")
+        return pin(extract_by_source(wanted, diff.TEXTS, diff.KEY, notices=True))
 
     @property
     def new_content(self) -> DataFrame:
@@ -96,7 +94,7 @@ class Run:
 
     @property
     def notices(self) -> DataFrame:
-        """What was taken out of the fetched texts (profiles with a notice rule)."""
+        """What was taken out of the fetched texts (sources with a notice rule)."""
         return self._parsed.select(*diff.KEY, F.inline("notices"))
 
     @property
@@ -124,10 +122,44 @@ class Run:
         )
 
     @cached_property
-    def asset_names(self) -> DataFrame:
+    def content(self) -> DataFrame:
+        """The texts of the run's books, as they are stored."""
+        return pin(diff.drop_contentless(self._kept_content).unionByName(self.new_content))
+
+    @property
+    def high_water(self) -> DataFrame:
+        return diff.library_high_water(self.chapters)
+
+    @cached_property
+    def _wanted_images(self) -> DataFrame:
         texts = self._kept_content.unionByName(self.new_content)
-        images = pin(assets.drop_failed_assets(assets.book_assets(self.books, texts)))
-        return pin(assets.asset_names(images))
+        return pin(assets.drop_failed_assets(assets.book_assets(self.books, texts)))
+
+    @cached_property
+    def resolved_assets(self) -> DataFrame:
+        """What became of each image: cached, fetched or failed (runs with images)."""
+        return pin(assets.resolve_assets(self._wanted_images, *self.images))
+
+    @cached_property
+    def asset_names(self) -> DataFrame:
+        """The names of the books' images: those that were obtained, or without images in the
+        run those of all urls."""
+        if self.images is None:
+            return pin(assets.asset_names(self._wanted_images))
+        return assets.obtained(self.resolved_assets).select("book_id", "url", "filename")
+
+    @property
+    def asset_bytes(self) -> DataFrame:
+        return assets.asset_bytes(self.resolved_assets, *self.images)
+
+    def cache_images(self, run_id: str) -> int:
+        """Add the images that this run has fetched to the cache."""
+        return assets.cache_resolved(self.resolved_assets, *self.images, run_id)
+
+    @property
+    def rendered(self) -> DataFrame:
+        """Texts as they go into the books; images that were not obtained keep their url."""
+        return render_texts(self.content, self.asset_names if self.images else None)
 
     @property
     def toc(self) -> DataFrame:
@@ -142,51 +174,67 @@ class Run:
         return products.spine(self.books, self.chapters)
 
 
-def render_texts(content: DataFrame) -> DataFrame:
-    """Texts as they go into a book: cleaned, images pointing into the book."""
-    return content.select(
-        "book_id",
-        "identifier",
-        *[rewrite_image_refs(clean_html(F.col(t))).alias(t) for t in diff.TEXTS],
+def render_texts(content: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Texts as they go into a book: cleaned, images pointing into the book.
+
+    ``names`` (book_id, url, filename) says which images the book has, and under what name.
+    Without it every image has the name that its url gives it.
+    """
+    cleaned = content.select(
+        "book_id", "identifier", *[clean_html(F.col(t)).alias(t) for t in diff.TEXTS]
     )
+    if names is None:
+        return assets.rewrite_with_base_names(cleaned)
+    return assets.rewrite_with_names(cleaned, names)
 
 
-def _latest(pages: DataFrame) -> DataFrame:
-    """One page per url: the last one fetched, of several at that moment the one with the
-    greatest hash.  Only urls and times are compared; pages without ``fetched_at`` stay."""
-    if "fetched_at" not in pages.columns:
-        return pages
-    order = F.struct("fetched_at", F.xxhash64("html").alias("mark"))
-    last = pages.groupBy(F.struct("url").alias("at")).agg(F.max(order).alias("last"))
-    last = last.select("at.url", "last.fetched_at", "last.mark")
-    marked = pages.withColumn("mark", F.xxhash64("html"))
-    same = [marked[c].eqNullSafe(last[c]) for c in ("fetched_at", "mark")]
-    found = marked.join(last, [marked["url"] == last["url"], *same], "left_semi")
-    # the same page twice at the same moment
-    return found.drop("mark", "fetched_at").distinct()
+def _latest(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (with url) joined with the last page fetched of each url.
+
+    Which fetch that is, is decided on urls and times alone; only those pages are read and
+    moved. Of several at one moment, or without ``fetched_at``, the one with the greatest
+    hash is taken.
+    """
+    urls = wanted.select("url").distinct()
+    found = pages
+    if "fetched_at" in pages.columns:
+        last = pages.join(urls, "url", "left_semi").groupBy("url").agg(F.max("fetched_at").alias("_last"))
+        found = pages.join(last.withColumnRenamed("url", "_url"), (F.col("url") == F.col("_url")) & F.col("fetched_at").eqNullSafe(F.col("_last")))
+    else:
+        found = pages.join(urls, "url", "left_semi")
+    one = found.groupBy("url").agg(F.max_by("html", F.xxhash64("html")).alias("html"))
+    return wanted.join(one, "url")
 
 
 def _parse_index_pages(
-    crawled: DataFrame, books: DataFrame, profile: SourceProfile
+    crawled: DataFrame, books: DataFrame, profiles: Profiles
 ) -> tuple[DataFrame, DataFrame]:
     """(parsed index pages of the given books, the books whose page is missing).
 
     Only the pages of those books are parsed, and each only once.
     """
-    wanted = books.select("url", "book_id").distinct()
-    pages = _latest(crawled).join(wanted, "url")
-    parsed = pin(parse_fiction_pages(pages, profile.index_rules))
+    wanted = pin(books.select("url", "book_id", "source").distinct())
+    parsed = pin(parse_index_pages(_latest(crawled, wanted), profiles.of_pages(INDEX)))
     missing = books.join(parsed.select("book_id").distinct(), "book_id", "left_anti")
     return parsed, missing.select("book_id", F.lit("index page was not fetched").alias("error"))
 
 
-def _without_profile(books: DataFrame, profile: SourceProfile) -> DataFrame:
+def _without_profile(books: DataFrame, known: Sequence[str]) -> DataFrame:
     """Errors of books whose source has rules but no profile here."""
-    mine = F.col("source").isin(profile.name, UNSUPPORTED, COMPAT)
+    mine = F.col("source").isin(*known, UNSUPPORTED, COMPAT)
     error = F.concat(F.lit("no profile for the source "), F.col("source"))
     return books.where(~mine).select("book_id", error.alias("error"))
 
 
+def _unreadable(rejects: DataFrame | None, spark) -> DataFrame:
+    """Outcomes of files that are no books: unsupported, as those without a url are."""
+    none = spark.createDataFrame([], schemas.OUTCOMES)
+    if rejects is None:
+        return none
+    said = rejects.select(stable_id(F.col("path")).alias("book_id"), F.lit("Unsupported").alias("outcome")).distinct()
+    return none.unionByName(said, allowMissingColumns=True)
+
+
 def _tool_outcomes(books: DataFrame, tool_log: DataFrame | None) -> DataFrame:
     """One outcome for each book of the external updater; other runs in its log count for nothing."""
     silent = F.lit("no run of the external updater")
@@ -208,30 +256,39 @@ def update_books(
     run_ts: datetime,
     refresh: str = diff.COUNT_ONLY,
     rules: Sequence[SourceRule] = ALL_RULES,
-    profile: SourceProfile = NATIVE,
+    profiles: Sequence[SourceProfile] = (NATIVE,),
     tool_log: DataFrame | None = None,
+    images: Images | None = None,
+    unreadable: DataFrame | None = None,
 ) -> Run:
     """Bring every stored book up to date with what is published.
 
-    Pages are parsed only for books that the feed says have moved on, and
-    chapter pages only for chapters whose text is wanted.  ``crawled`` has one
-    page per url, or the time of each fetch.  Every stored book gets one outcome.  Those of the external
-    updater come from its log, where each run_id is a book_id; without a run in
-    the log such a book is an error, and so is one of a source that neither the
-    profile nor the updater takes care of, unless its feed says it is up to date.
+    Books of all sources go through one job, each by the profile of its source.  Pages are
+    parsed only for books that the feed says have moved on, and chapter pages only for
+    chapters whose text is wanted.  ``crawled`` may have several pages of a url, with the
+    time of each fetch.
+
+    Every stored book gets one outcome.  Those of the external updater come from its log,
+    where each run_id is a book_id; without a run in the log such a book is an error, and so
+    is one of a source that neither a profile nor the updater takes care of, unless its feed
+    says it is up to date.  A book without a url is unsupported, and so is each file of
+    ``unreadable`` (path, ...: the rejects of reading archives), under an id made of its path.
     """
+    spark = stored.books.sparkSession
+    tables, names = profile_tables(spark, profiles), [p.name for p in profiles]
     every = route_sources(stored.books, rules)
     routed = every.where(F.col("source") != COMPAT)
     gates = pin(
         diff.gate_up_to_date(
-            diff.library_high_water(stored.chapters), diff.feed_high_water(feed_items)
+            diff.library_high_water(stored.chapters) if stored.high_water is None else stored.high_water,
+            diff.feed_high_water(feed_items),
         )
     )
-    behind = routed.where(F.col("source") == profile.name).join(
+    behind = routed.where(F.col("source").isin(names)).join(
         gates.where(~F.col("up_to_date")).select("book_id"), "book_id", "left_semi"
     )
-    parsed, missing = _parse_index_pages(crawled.index_pages, behind, profile)
-    fiction = split_parsed(parsed, run_ts, profile.site)
+    parsed, missing = _parse_index_pages(crawled.index_pages, behind, tables)
+    fiction = split_parsed(parsed, run_ts)
     classified = pin(diff.classify_chapters(fiction.chapters, stored.chapters))
     outcomes = diff.update_outcome(
         routed,
@@ -239,12 +296,12 @@ def update_books(
         diff.change_count(classified),
         fiction.rejects.select("book_id", "error")
         .unionByName(missing)
-        .unionByName(_without_profile(routed, profile)),
+        .unionByName(_without_profile(routed, names)),
     )
     native = pin(outcomes)
     outcomes = native.unionByName(
         _tool_outcomes(every.where(F.col("source") == COMPAT).select("book_id"), tool_log)
-    )
+    ).unionByName(_unreadable(unreadable, spark))
     # the external updater writes its books itself
     updated = native.where(F.col("outcome") == "Updated").select("book_id")
 
@@ -269,8 +326,10 @@ def update_books(
         to_fetch,
         crawled.chapter_pages,
         of_updated(stored.content),
-        profile,
+        routed.select("book_id", "source"),
+        tables,
         refresh,
+        images,
     )
 
 
@@ -279,26 +338,40 @@ def create_books(
     crawled: Crawled,
     run_ts: datetime,
     rules: Sequence[SourceRule] = ALL_RULES,
-    profile: SourceProfile = NATIVE,
+    profiles: Sequence[SourceProfile] = (NATIVE,),
+    images: Images | None = None,
 ) -> Run:
     """Make books for urls that are not stored: every published chapter is new.
 
-    Urls that fail are error outcomes and do not stop the others; so are urls that
-    only the external updater can read.  ``urls`` may bring the book_id to keep.
+    Each distinct url gets one outcome, and those that fail do not stop the others; urls that
+    only the external updater can read are errors.  The id of a book of the native site is in
+    its url; other books have one made of theirs.  A second url of one book is skipped, under
+    an id of its own.  ``urls`` may bring the book_id to keep.
     """
+    spark = urls.sparkSession
+    tables, names = profile_tables(spark, profiles), [p.name for p in profiles]
     url = F.col("url")
-    named = F.col("book_id") if "book_id" in urls.columns else url_segment(url, 1, stable_id(url))
-    asked = (
-        route_sources(urls.select("url", named.alias("book_id")).distinct(), rules)
-        .groupBy("book_id")
-        .agg(F.min(F.struct("source", "url")).alias("_first"))
-        .select("book_id", "_first.source", "_first.url")
+    of_url = F.when(F.col("source") == NATIVE.name, url_segment(url, 1, stable_id(url))).otherwise(stable_id(url))
+    if "book_id" in urls.columns:
+        every = route_sources(urls.select("url", "book_id").distinct(), rules)
+    else:
+        every = route_sources(urls.select("url").distinct(), rules).withColumn("book_id", of_url)
+    every = pin(every)
+    # urls of one book are few, and number themselves apart from others
+    place = F.row_number().over(Window.partitionBy("book_id").orderBy("source", "url"))
+    placed = pin(every.withColumn("_place", place))
+    asked = placed.where("_place = 1").drop("_place")
+    twice = placed.where("_place > 1").select(
+        stable_id(F.concat_ws(" ", "book_id", "url")).alias("book_id"),
+        F.lit("Skipped").alias("outcome"),
+        F.lit(None).cast("int").alias("n"),
+        F.concat(F.lit("another url of the book "), "book_id", F.lit(": "), "url").alias("error"),
     )
     left_out = asked.where(F.col("source") == COMPAT).select("book_id")
     asked = asked.where(F.col("source") != COMPAT)
-    native = asked.where(F.col("source") == profile.name)
-    parsed, missing = _parse_index_pages(crawled.index_pages, native, profile)
-    fiction = split_parsed(parsed, run_ts, profile.site)
+    behind = asked.where(F.col("source").isin(names))
+    parsed, missing = _parse_index_pages(crawled.index_pages, behind, tables)
+    fiction = split_parsed(parsed, run_ts)
     everything_new = fiction.chapters.withColumn("change", F.lit("new"))
     outcomes = pin(
         diff.update_outcome(
@@ -307,12 +380,13 @@ def create_books(
             diff.change_count(everything_new),
             fiction.rejects.select("book_id", "error")
             .unionByName(missing)
-            .unionByName(_without_profile(asked, profile)),
-        ).unionByName(_tool_outcomes(left_out, None))
+            .unionByName(_without_profile(asked, names)),
+        )
+        .unionByName(_tool_outcomes(left_out, None))
+        .unionByName(twice)
     )
     good = outcomes.where(F.col("outcome").isin("Updated", "UpToDate")).select("book_id")
     new = fiction.chapters.join(good, "book_id", "left_semi")
-    spark = urls.sparkSession
     return Run(
         outcomes,
         fiction.books.join(good, "book_id", "left_semi"),
@@ -321,7 +395,9 @@ def create_books(
         new,
         crawled.chapter_pages,
         spark.createDataFrame([], schemas.CHAPTER_CONTENT),
-        profile,
+        asked.select("book_id", "source"),
+        tables,
+        images=images,
     )
 
 

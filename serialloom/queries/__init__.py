@@ -1,6 +1,6 @@
 """Every registered query with the SQL that checks it."""
 
-from . import chapters, ingest, library, pages, requests
+from . import chapters, editions, ingest, library, mixed, pages, requests
 
 REGISTRY = {
     **chapters.QUERIES,
@@ -8,4 +8,6 @@ REGISTRY = {
     **requests.QUERIES,
     **ingest.QUERIES,
     **library.QUERIES,
+    **editions.QUERIES,
+    **mixed.QUERIES,
 }

@@ -6,6 +6,7 @@ from ..fixed_values import NATIVE_BOOK_PREFIX
 from ..functions.labels import strip_ext
 from ..operators import assets, diff, library
 from ..plans.maintain import Crawled, Stored, create_books, stash_and_recreate, update_books
+from ..sinks.blobs import Blobs
 from ..sinks.tables import publish_library, read_table
 from ..streaming.feeds import watch_feeds
 from . import chapters, inputs
@@ -89,9 +90,11 @@ def _with_bytes(df, mark):
 
 
 def _cache_parts(spark, sf_dir):
+    folder = inputs.work_folder(spark)
     wanted = _assets(spark, sf_dir, "doc_id % 5 <> 0").select("book_id", "filename")
-    cache = _with_bytes(_assets(spark, sf_dir, "doc_id % 3 = 0"), "cached ")
-    fetched = _with_bytes(_assets(spark, sf_dir, "doc_id % 2 = 0"), "fetched ")
+    cache, fetched = (Blobs(spark, f"{folder}/{name}", buckets=16) for name in ("cache", "fetched"))
+    cache.add(_with_bytes(_assets(spark, sf_dir, "doc_id % 3 = 0"), "cached "), "load")
+    fetched.add(_with_bytes(_assets(spark, sf_dir, "doc_id % 2 = 0"), "fetched "), "load")
     return wanted, cache, fetched
 
 
@@ -107,6 +110,14 @@ def cache_additions(spark, sf_dir):
     return _as_text(assets.cache_delta(*_cache_parts(spark, sf_dir)))
 
 
+def cache_after_runs(spark, sf_dir):
+    """The cache after a run added what it had fetched, twice, as a repeated run would."""
+    wanted, cache, fetched = _cache_parts(spark, sf_dir)
+    for _ in range(2):
+        cache.add(assets.cache_delta(wanted, cache, fetched), "run-1")
+    return _as_text(cache.table())
+
+
 CACHE_SQL = """SELECT source AS book_id, CAST(doc_id AS VARCHAR) || '.png' AS filename, {} AS bytes
 FROM documents WHERE {}"""
 
@@ -166,7 +177,7 @@ def watch(spark, sf_dir):
 CHAPTER_URL = "'https://www.royalroad.com/fiction/' || o_orderkey || '/b/chapter/' || (o_orderkey * 10 + {n}) || '/part-{n}'"
 
 
-def _shelf(spark, sf_dir):
+def shelf(spark, sf_dir, more_images="''"):
     """Orders as books of three published chapters, two of them stored.
 
     A quarter of the second chapters is stored with an older date; a fifth of the
@@ -205,12 +216,12 @@ def _shelf(spark, sf_dir):
         "CAST(CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 4 <> 0 THEN o_orderdate + INTERVAL 2 DAY"
         " ELSE o_orderdate + INTERVAL 3 DAY END AS TIMESTAMP) AS published",
     )
-    page = "'<div class=\"chapter-inner chapter-content\"><p class=\"x\">Text {n} of ' || o_orderkey || '</p><img src=\"https://cdn/' || o_orderkey || '/{n}.png\"></div>'"
+    page = "'<div class=\"chapter-inner chapter-content\"><p class=\"x\">Text {n} of ' || o_orderkey || '</p><img src=\"https://cdn/' || o_orderkey || '/{n}.png\">' || {more} || '</div>'"
     crawled = orders.selectExpr(
         "o_orderkey",
         "inline(array("
         + ", ".join(
-            f"named_struct('n', {n}, 'url', {CHAPTER_URL.format(n=n)}, 'html', {page.format(n=n)})"
+            f"named_struct('n', {n}, 'url', {CHAPTER_URL.format(n=n)}, 'html', {page.format(n=n, more=more_images)})"
             for n in (1, 2, 3)
         )
         + "))",
@@ -220,7 +231,7 @@ def _shelf(spark, sf_dir):
 
 
 def _update(spark, sf_dir, refresh=diff.COUNT_ONLY):
-    stored, feed, crawled = _shelf(spark, sf_dir)
+    stored, feed, crawled = shelf(spark, sf_dir)
     return update_books(stored, feed, crawled, RUN_TS, refresh)
 
 
@@ -254,7 +265,7 @@ u AS (SELECT * FROM j WHERE NOT current AND error IS NULL)
 
 
 def created(spark, sf_dir):
-    _, _, crawled = _shelf(spark, sf_dir)
+    _, _, crawled = shelf(spark, sf_dir)
     urls = table(spark, sf_dir, "orders").selectExpr(f"'{NATIVE_BOOK_PREFIX}' || o_orderkey || '/book' AS url")
     return create_books(urls, crawled, RUN_TS)
 
@@ -268,7 +279,7 @@ def created_spine(spark, sf_dir):
 
 
 def recreated_outcomes(spark, sf_dir):
-    _, _, crawled = _shelf(spark, sf_dir)
+    _, _, crawled = shelf(spark, sf_dir)
     files = table(spark, sf_dir, "orders").selectExpr(
         "CAST(o_orderkey AS STRING) AS book_id",
         "'/lib/' || o_orderkey || '.epub' AS path",
@@ -324,6 +335,13 @@ QUERIES = {
         cache_additions,
         CACHE_SQL.format("md5('fetched ' || text)", "doc_id % 5 <> 0 AND doc_id % 3 <> 0 AND doc_id % 2 = 0"),
     ),
+    "cache_after_runs": (
+        cache_after_runs,
+        CACHE_SQL.format(
+            "CASE WHEN doc_id % 3 = 0 THEN md5('cached ' || text) ELSE md5('fetched ' || text) END",
+            "doc_id % 3 = 0 OR doc_id % 5 <> 0 AND doc_id % 2 = 0",
+        ),
+    ),
     "publish_library": (publish, PUBLISH_SQL),
     "watch_feeds": (
         watch,

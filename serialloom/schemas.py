@@ -40,6 +40,7 @@ CHAPTER_CONTENT = _struct(
     ("note_start", _s, True),
     ("note_end", _s, True),
 )
+HIGH_WATER = _struct(("book_id", _s, False), ("current_max", _ts, True))
 FETCHED_BOOKS = BOOKS
 FETCHED_CHAPTERS = _struct(
     ("book_id", _s, False),
@@ -63,12 +64,34 @@ ASSETS = _struct(
     ("mime", _s, True),
     ("bytes", _b, True),
 )
+ASSET_NAMES = _struct(("book_id", _s, False), ("url", _s, False), ("filename", _s, False))
 SOURCE_RULES = _struct(
     ("priority", _i, False),
     ("match_kind", _s, False),
     ("pattern", _s, False),
     ("source", _s, False),
 )
+_list = T.ArrayType(_s)
+SOURCES = _struct(
+    ("source", _s, False),
+    ("site", _s, False),
+    ("cover_script", _s, False),
+    ("chapters_script", _s, False),
+    ("notice_prefixes", _list, False),
+    ("notice_bytes", _i, False),
+)
+ELEMENT_RULES = _struct(
+    ("source", _s, False),
+    ("page", _s, False),
+    ("seq", _i, False),
+    ("field", _s, False),
+    ("tag", _s, True),
+    ("classes", _list, False),
+    ("inside_tag", _s, True),
+    ("parent_class", _s, True),
+    ("parent_after", _s, True),
+    ("many", T.BooleanType(), False),
+)
 IGNORE_RULES = _struct(("dir", _s, False), ("line_no", _l, False), ("pattern", _s, False))
 FETCH_LOG = _struct(
     ("request_id", _l, False),

@@ -68,11 +68,6 @@ def append_ignore_rules(additions: DataFrame, path: str, line_no: int) -> None:
     ).parquet(path)
 
 
-def append_assets(delta: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Add fetched assets to the asset cache."""
-    _write(with_bucket(delta, buckets), path, "append", "bucket")
-
-
 def write_stash(
     stashed: DataFrame, tables: Sequence[DataFrame], path: str, names: Sequence[str], stamp: str
 ) -> None:

@@ -5,9 +5,12 @@ pages go through Python: Arrow batches in, one output row per page.  A rule
 names what an element must look like; a new site means new rules, not new code.
 """
 
+import json
 import re
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from itertools import repeat
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -185,6 +188,40 @@ def pick(text: str, rules: Sequence[Rule], notice: NoticeRule | None) -> tuple[d
     return fields, notices
 
 
+def _fields_of(rules: Sequence[Rule]) -> dict[str, bool]:
+    """Each field, and whether it is a list."""
+    return {r.field: r.many for r in rules}
+
+
+def _extract(
+    pages: DataFrame, keep: Sequence[str], html: str, fields: dict[str, bool], notices: bool, rules_of
+) -> DataFrame:
+    """``rules_of(batch)`` gives the rules and the notice rule of each of its rows."""
+    keep = list(keep)
+    out = [pages.schema[c] for c in keep]
+    out += [
+        T.StructField(name, T.ArrayType(T.StringType()) if many else T.StringType())
+        for name, many in fields.items()
+    ]
+    if notices:
+        out.append(T.StructField("notices", NOTICE_TYPE))
+    names = [f.name for f in out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(html).to_pylist()
+            picked = [pick(text or "", *rules) for text, rules in zip(texts, rules_of(batch))]
+            columns = [batch.column(c) for c in keep]
+            for name, many in fields.items():
+                kind = pa.list_(pa.string()) if many else pa.string()
+                columns.append(pa.array([found.get(name) for found, _ in picked], kind))
+            if notices:
+                columns.append(pa.array([taken for _, taken in picked], _ARROW_NOTICES))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return pages.mapInArrow(run, T.StructType(out))
+
+
 def extract_elements(
     pages: DataFrame,
     rules: Sequence[Rule],
@@ -193,25 +230,35 @@ def extract_elements(
     notice: NoticeRule | None = None,
 ) -> DataFrame:
     """The ``keep`` columns, one column per rule and, with a notice rule, ``notices``."""
-    rules, keep = tuple(rules), list(keep)
-    fields = [pages.schema[c] for c in keep]
-    fields += [
-        T.StructField(r.field, T.ArrayType(T.StringType()) if r.many else T.StringType())
-        for r in rules
-    ]
-    if notice:
-        fields.append(T.StructField("notices", NOTICE_TYPE))
-    names = [f.name for f in fields]
+    same = (tuple(rules), notice)
+    return _extract(
+        pages.select(*keep, html), keep, html, _fields_of(rules), notice is not None, lambda _: repeat(same)
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            picked = [pick(text or "", rules, notice) for text in batch.column(html).to_pylist()]
-            columns = [batch.column(c) for c in keep]
-            for r in rules:
-                kind = pa.list_(pa.string()) if r.many else pa.string()
-                columns.append(pa.array([found[r.field] for found, _ in picked], kind))
-            if notice:
-                columns.append(pa.array([taken for _, taken in picked], _ARROW_NOTICES))
-            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return pages.select(*keep, html).mapInArrow(run, T.StructType(fields))
+@lru_cache(maxsize=1024)
+def _read_rules(packed: str) -> tuple[tuple[Rule, ...], NoticeRule | None]:
+    said = json.loads(packed)
+    rules = tuple(
+        Rule(**{f: tuple(r[f]) if f == "classes" else r.get(f) for f in Rule._fields}) for r in said["rules"]
+    )
+    notice = said.get("notice")
+    return rules, notice and NoticeRule(tuple(notice["notice_prefixes"]), notice["notice_bytes"])
+
+
+def extract_by_source(
+    pages: DataFrame,
+    fields: Sequence[str],
+    keep: Sequence[str],
+    html: str = "html",
+    notices: bool = False,
+) -> DataFrame:
+    """As :func:`extract_elements`, each page by the rules in its column ``rules``.
+
+    Pages get that column from their source (``Profiles.of_pages``). A field that a source
+    has no rule for is NULL there.
+    """
+    rules_of = lambda batch: map(_read_rules, batch.column("rules").to_pylist())
+    return _extract(
+        pages.select(*keep, html, "rules"), keep, html, dict.fromkeys(fields, False), notices, rules_of
+    )

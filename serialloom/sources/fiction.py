@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..fixed_values import NATIVE_SITE
 from ..functions.binding import bound
 from ..functions.dates import rfc3339, time_literal
-from ..functions.html import chapters_from_script, cover_from_script
+from ..functions.html import chapters_from_script, cover_from_script, script_value
 from ..functions.labels import stable_id
 from ..functions.urls import absolute_url, url_segment
-from .elements import Rule, extract_elements
+from .elements import Rule, extract_by_source, extract_elements
 
 # Where the parts of a book's index page are.
 FICTION_RULES = (
@@ -48,7 +48,27 @@ def parse_fiction_pages(pages: DataFrame, rules: Sequence[Rule] = FICTION_RULES)
             "_json": chapters_from_script(F.col("html")),
         }
     )
-    parsed = extract_elements(scripts, rules, ["book_id", "url", "cover_url", "_json"])
+    return _judged(extract_elements(scripts, rules, ["book_id", "url", "cover_url", "_json"]))
+
+
+def parse_index_pages(pages: DataFrame, profiles: DataFrame) -> DataFrame:
+    """As :func:`parse_fiction_pages`, with ``site``, for pages of several sources.
+
+    ``pages`` has book_id, url, html and source; ``profiles`` comes from ``Profiles.of_pages``.
+    Pages of a source without a profile give no row.
+    """
+    scripts = pages.join(profiles, "source").withColumns(
+        {
+            "cover_url": script_value(F.col("html"), F.col("cover_script")),
+            "_json": script_value(F.col("html"), F.col("chapters_script")),
+        }
+    )
+    keep = ["book_id", "url", "site", "cover_url", "_json"]
+    return _judged(extract_by_source(scripts, [r.field for r in FICTION_RULES], keep))
+
+
+def _judged(parsed: DataFrame) -> DataFrame:
+    """What parsing made of each page: header fields, the chapter list, and what is wrong."""
     listed = F.from_json("_json", LISTED)
 
     def unusable(c):
@@ -75,9 +95,7 @@ def parse_fiction_pages(pages: DataFrame, rules: Sequence[Rule] = FICTION_RULES)
     # The list is read once: a filter on a plain column made from it would be pushed
     # down and read it again.
     return parsed.select(
-        "book_id",
-        "url",
-        "title",
+        *[c for c in ("book_id", "url", "site", "title") if c in parsed.columns],
         F.coalesce("author", F.lit(UNKNOWN_AUTHOR)).alias("author"),
         F.coalesce("description", F.lit("")).alias("description"),
         "cover_url",
@@ -96,7 +114,11 @@ def ingest_fiction_pages(
 
 
 def split_parsed(parsed: DataFrame, run_ts: datetime, site: str = NATIVE_SITE) -> FictionPages:
-    """Books, published chapters and rejects from parsed index pages."""
+    """Books, published chapters and rejects from parsed index pages.
+
+    Links lead to the page's own ``site``, where it has that column.
+    """
+    own_site = F.col("site") if "site" in parsed.columns else F.lit(site)
     good = parsed.where(F.col("error").isNull())
     dates = F.transform("listed", lambda c: rfc3339(c["date"]))
     books = good.select(
@@ -108,14 +130,14 @@ def split_parsed(parsed: DataFrame, run_ts: datetime, site: str = NATIVE_SITE) -
         F.coalesce(F.array_min(dates), time_literal(run_ts, T.TimestampType())).alias("date_published"),
         "cover_url",
     )
-    chapters = good.select("book_id", F.posexplode("listed").alias("_at", "_c")).select(
+    chapters = good.select("book_id", own_site.alias("_site"), F.posexplode("listed").alias("_at", "_c")).select(
         "book_id",
         F.col("_c.id").cast("string").alias("identifier"),
         F.col("_c.order").alias("ord"),
         F.col("_at").cast("long").alias("arr_pos"),
         rfc3339(F.col("_c.date")).alias("date_published"),
         F.col("_c.title").alias("title"),
-        absolute_url(F.col("_c.url"), site).alias("url"),
+        absolute_url(F.col("_c.url"), F.col("_site")).alias("url"),
     )
     rejects = parsed.where(F.col("error").isNotNull()).select("book_id", "url", "error")
     return FictionPages(books, chapters, rejects)

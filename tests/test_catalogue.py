@@ -9,8 +9,11 @@ from serialloom import schemas
 from serialloom.fixed_values import COMPAT_HOSTS
 from serialloom.operators import assets, ignore, routing
 from serialloom.operators.toollog import classify_tool_log
-from serialloom.plans.maintain import Crawled, Stored, render_texts, stash_and_recreate, update_books
+from serialloom.plans.maintain import Crawled, Stored, create_books, render_texts, stash_and_recreate, update_books
 from serialloom.sinks import tables
+from serialloom.sinks.blobs import Blobs
+from serialloom.sources.elements import Rule, extract_by_source
+from serialloom.sources.profiles import NATIVE, SourceProfile, profile_tables
 from serialloom.streaming.feeds import watch_feeds
 
 
@@ -122,15 +125,15 @@ def test_book_assets_and_rewrite(spark):
 def test_asset_cache(spark, tmp_path):
     rows = lambda *r: spark.createDataFrame(list(r), "book_id string, filename string, bytes binary")
     wanted = spark.createDataFrame([("b", "1"), ("b", "2"), ("b", "3")], "book_id string, filename string")
-    cache, fetched = rows(("b", "1", b"old")), rows(("b", "1", b"new"), ("b", "2", b"two"), ("b", "9", b"x"))
+    cache, fetched = (Blobs(spark, str(tmp_path / name), buckets=4) for name in ("cache", "fetched"))
+    cache.add(rows(("b", "1", b"old")), "load")
+    fetched.add(rows(("b", "1", b"new"), ("b", "2", b"two"), ("b", "9", b"x")), "load")
     assert values(assets.cache_aside(wanted, cache, fetched), "filename", "bytes") == [
         ("1", bytearray(b"old")), ("2", bytearray(b"two")), ("3", None)]
     assert values(assets.cache_misses(wanted, cache), "filename") == [("2",), ("3",)]
-    path = str(tmp_path / "cache")
-    tables.append_assets(cache, path, 4)
-    stored = tables.read_table(spark, path, cache.schema)
-    tables.append_assets(assets.cache_delta(wanted, stored, fetched), path, 4)
-    assert values(tables.read_table(spark, path, cache.schema), "filename") == [("1",), ("2",)]
+    for _ in range(2):
+        cache.add(assets.cache_delta(wanted, cache, fetched), "run-1")
+    assert values(cache.keys(), "filename") == [("1",), ("2",)]
 
 
 TOOL = {
@@ -273,3 +276,39 @@ def test_update_job_end_to_end(spark):
     assert values(run.notices, "identifier", "html") == [("2", "notice")]
     assert values(run.asset_names, "filename") == [("1.png",), ("new.png",)]
     assert run.manifest.count() == 8 and run.spine.count() == 3 and run.toc.count() == 3
+
+
+def test_rules_of_several_sources_in_one_job(spark):
+    second = SourceProfile("second", "https://s.example", (Rule("title", tag="b"),), (Rule("content", tag="pre"),), cover_script="c=(.*);", chapters_script=r"l=(\[.*\])")
+    tables_ = profile_tables(spark, (NATIVE, second))
+    assert values(tables_.rules.where("source = 'second'"), "page", "field", "tag") == [("chapter", "content", "pre"), ("index", "title", "b")]
+    pages = spark.createDataFrame(
+        [("native", 1, '<div class="chapter-inner chapter-content">a<p class="cmX">n</p></div><pre>no</pre>'),
+         ("second", 2, '<div class="chapter-inner chapter-content">no</div><pre>b<p class="cmX">n</p></pre>'), ("else", 3, "<pre>x</pre>")],
+        "source string, i int, html string",
+    )
+    joined = pages.join(tables_.of_pages("chapter").select("source", "rules"), "source")
+    got = extract_by_source(joined, ["content", "note_start"], ["i"], notices=True)
+    assert [(r.i, r.content, r.note_start, len(r.notices)) for r in got.orderBy("i").collect()] == [(1, "a", None, 1), (2, 'b<p class="cmX">n</p>', None, 0)]
+
+
+def test_every_url_has_an_outcome(spark):
+    site = "https://www.royalroad.com/fiction"
+    urls = [f"{site}/12345/x", f"{site}/12345/y", f"https://{COMPAT_HOSTS[0]}/s/12345/1", "https://else/", "https://s.example/12345", f"{site}/12345/x"]
+    index = '<b>T</b>c=u.jpg;l=[{"id":7,"order":0,"date":"2024-01-01T00:00:00Z","title":"P","url":"/7"}]'
+    second = SourceProfile("second", "https://s.example", (Rule("title", tag="b"),), (Rule("content", tag="pre"),), cover_script="c=(.*?);", chapters_script=r"l=(\[.*\])")
+    crawled = Crawled(
+        spark.createDataFrame([("https://s.example/12345", index)], "url string, html string"),
+        spark.createDataFrame([("https://s.example/7", "<pre>text</pre>")], "url string, html string"),
+    )
+    run = create_books(
+        spark.createDataFrame([(u,) for u in urls], "url string"), crawled, datetime(2024, 1, 2),
+        rules=(*routing.ALL_RULES, routing.SourceRule(0, "prefix", "https://s.example/", "second")), profiles=(NATIVE, second),
+    )
+    got = values(run.outcomes, "outcome", "n", "error")
+    assert len(got) == len(set(urls)) and run.outcomes.select("book_id").distinct().count() == len(got)
+    assert got == [
+        ("Error", None, "index page was not fetched"), ("Error", None, "no run of the external updater"),
+        ("Skipped", None, f"another url of the book 12345: {site}/12345/y"), ("Unsupported", None, None), ("Updated", 1, None)]
+    assert values(run.chapters, "identifier", "url") == [("7", "https://s.example/7")]
+    assert values(run.new_content, "content") == [("text",)]
