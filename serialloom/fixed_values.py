@@ -189,3 +189,6 @@ COMPAT_HOSTS = (
     "www.wolverineandrogue.com",
     "www.wuxiaworld.xyz",
 )
+
+# Name of the ignore list of a folder.
+IGNORE_FILE = ".autignore"

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed_values import MAX_CHANGES
 from ..functions.dates import time_literal
+from ..plans.pin import pin
 from .running import numbered
 
 KEY = ["book_id", "identifier"]
@@ -87,7 +88,8 @@ def reading_order(
     both = stored.select(*shared, F.lit(0).alias("_side"), F.col("pos").alias("_at")).unionByName(
         new.select(*shared, F.lit(1).alias("_side"), F.col("arr_pos").alias("_at"))
     )
-    blocked = both.withColumn("_block", F.floor(F.col("_at") / F.lit(pos_block)))
+    # numbering reads its input twice, and what is new comes out of a join
+    blocked = pin(both.withColumn("_block", F.floor(F.col("_at") / F.lit(pos_block))))
     return numbered(
         blocked, ["book_id"], [["_side", "_block"]], ["_at", "identifier"], "pos"
     ).drop("_side", "_block", "_at")

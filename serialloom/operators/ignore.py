@@ -2,8 +2,9 @@
 
 A list may hold a handful of patterns or, where unsupported files are added to
 it, one name per file.  Plain names are therefore matched by an equi-join on
-(directory, name); only patterns with wildcards are tested one by one, and only
-against paths below their own directory.
+(directory, name).  The patterns with wildcards of a directory, which someone has
+written, are one ordered list: each path below the directory meets it once, and
+the last one that matches decides.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -122,13 +123,28 @@ def apply_ignore_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
     plain = by_name.join(
         tests.where("plain").drop("plain"), ["dir", "anchored", "text"], "inner"
     )
-    wild = tests.where("NOT plain").withColumn("_regex", _glob_regex(F.col("text")))
-    tested = F.when(F.col("anchored"), F.col("rel")).otherwise(F.col("_name"))
-    globs = below.join(wild, "dir", "inner").where(F.rlike(tested, F.col("_regex")))
+    wild = (
+        tests.where("NOT plain")
+        .withColumn("regex", _glob_regex(F.col("text")))
+        .groupBy("dir")
+        .agg(
+            F.sort_array(
+                F.collect_list(F.struct("line_no", "negated", "dir_only", "anchored", "regex")), asc=False
+            ).alias("_rules")
+        )
+    )
+
+    def matches(rule: Column) -> Column:
+        tested = F.when(rule["anchored"], F.col("rel")).otherwise(F.col("_name"))
+        return (F.col("is_dir") | ~rule["dir_only"]) & F.rlike(tested, rule["regex"])
+
+    last = F.get(F.filter("_rules", matches), F.lit(0))
+    globs = below.join(wild, "dir").withColumn("_last", last).where(F.col("_last").isNotNull())
+    globs = globs.select("step", "depth", "_last.line_no", "_last.negated")
     hidden = (
         plain.where(fits)
         .select(*hit)
-        .unionByName(globs.where(fits).select(*hit))
+        .unionByName(globs.select(*hit))
         .groupBy("step")
         .agg(F.max_by("negated", F.struct("depth", "line_no")).alias("_shown"))
         .where("NOT _shown")

@@ -1,9 +1,12 @@
 """Queries that take feed documents, web pages and archives apart."""
 
+from pathlib import Path
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..fixed_values import NATIVE_BOOK_PREFIX
-from ..sources import archives as archive_source
+from ..sources import archives as archive_source, listing
 from ..sources.chapter_pages import ingest_chapter_pages
 from ..sources.compat import ingest_compat_chapters
 from ..sources.feeds import ingest_feeds
@@ -80,7 +83,43 @@ def archive_rejects(spark, sf_dir):
     return _library(spark, sf_dir).rejects.select("path")
 
 
+def _write_tree(folder):
+    """Files of a library, one per order, and an ignore list in each folder that holds some."""
+
+    def written(batches):
+        for batch in batches:
+            for order, status in zip(batch.column("o_orderkey").to_pylist(), batch.column("o_orderstatus").to_pylist()):
+                at = Path(folder, status, f"shelf{order % 4}")
+                at.mkdir(parents=True, exist_ok=True)
+                mark = "." if order % 7 == 0 else "_" if order % 3 == 0 else ""
+                (at / f"{mark}{order}.{'txt' if order % 5 == 0 else 'epub'}").write_bytes(b"x" * (order % 10))
+                (at.parent / ".autignore").write_text("*3.epub\n!_*\n")
+                (at / ".autignore").write_text("_*9.epub\n")
+            yield pa.RecordBatch.from_arrays([batch.column("o_orderkey")], ["o_orderkey"])
+
+    return written
+
+
+def scanned_tree(spark, sf_dir):
+    """What is visible of a tree of files: hidden ones and those that ignore lists name are not."""
+    folder = f"{inputs.work_folder(spark)}/lib"
+    plain = folder.removeprefix("file:").replace("///", "/")
+    orders = inputs.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    orders.mapInArrow(_write_tree(plain), "o_orderkey bigint").write.format("noop").mode("overwrite").save()
+    found = listing.scan_library(spark, [folder])
+    return found.select(F.substring("path", len(plain) + 2, 2**31 - 1).alias("path"), "length")
+
+
 QUERIES = {
+    "scan_library": (
+        scanned_tree,
+        """WITH f AS (
+             SELECT o_orderstatus || '/shelf' || CAST(o_orderkey % 4 AS VARCHAR) || '/' AS dir, o_orderkey AS k,
+               CASE WHEN o_orderkey % 7 = 0 THEN '.' WHEN o_orderkey % 3 = 0 THEN '_' ELSE '' END AS mark FROM orders)
+           SELECT dir || mark || CAST(k AS VARCHAR) || '.epub' AS path, CAST(k % 10 AS BIGINT) AS length
+           FROM f WHERE k % 5 <> 0 AND mark <> '.'
+             AND CASE WHEN mark = '_' THEN k % 10 <> 9 ELSE k % 10 <> 3 END""",
+    ),
     "ingest_feeds": (
         feeds,
         """SELECT CAST(o_orderkey AS VARCHAR) AS book_id, o_orderpriority AS feed_title,
@@ -154,27 +193,27 @@ QUERIES = {
     ),
     "archive_chapters": (
         archive_chapters,
-        """SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS book_id, CAST(doc_id AS VARCHAR) || '01' AS identifier,
+        """SELECT '/lib/' || source || '/' || CAST(doc_id AS VARCHAR) || '.epub' AS path, 'doc-' || CAST(doc_id AS VARCHAR) AS book_id, CAST(doc_id AS VARCHAR) || '01' AS identifier,
            CAST(2 AS BIGINT) AS pos, epoch_us(TIMESTAMP '2024-01-01') AS date_published,
            'One ' || CAST(doc_id AS VARCHAR) AS title,
            'https://s.example/fiction/' || CAST(doc_id AS VARCHAR) || '/b/chapter/' || CAST(doc_id AS VARCHAR) || '01/x' AS url
            FROM documents WHERE doc_id % 10 <> 9
            UNION ALL
-           SELECT 'doc-' || CAST(doc_id AS VARCHAR), 'two', 3, epoch_us(TIMESTAMP '2024-06-01 12:30:00'),
+           SELECT '/lib/' || source || '/' || CAST(doc_id AS VARCHAR) || '.epub', 'doc-' || CAST(doc_id AS VARCHAR), 'two', 3, epoch_us(TIMESTAMP '2024-06-01 12:30:00'),
            'Two', '' FROM documents WHERE doc_id % 10 <> 9""",
     ),
     "archive_content": (
         archive_content,
-        f"""SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS book_id, CAST(doc_id AS VARCHAR) || '01' AS identifier,
+        f"""SELECT '/lib/' || source || '/' || CAST(doc_id AS VARCHAR) || '.epub' AS path, 'doc-' || CAST(doc_id AS VARCHAR) AS book_id, CAST(doc_id AS VARCHAR) || '01' AS identifier,
             '<p>' || {XML_ESCAPED} || '</p>' AS content, CAST(NULL AS VARCHAR) AS note_start, 'bye' AS note_end
             FROM documents WHERE doc_id % 10 <> 9
             UNION ALL
-            SELECT 'doc-' || CAST(doc_id AS VARCHAR), 'two', '<p>second ' || CAST(doc_id AS VARCHAR) || '</p>', NULL, NULL
+            SELECT '/lib/' || source || '/' || CAST(doc_id AS VARCHAR) || '.epub', 'doc-' || CAST(doc_id AS VARCHAR), 'two', '<p>second ' || CAST(doc_id AS VARCHAR) || '</p>', NULL, NULL
             FROM documents WHERE doc_id % 10 <> 9""",
     ),
     "archive_assets": (
         archive_assets,
-        """SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS book_id, 'pic.png' AS filename,
+        """SELECT '/lib/' || source || '/' || CAST(doc_id AS VARCHAR) || '.epub' AS path, 'doc-' || CAST(doc_id AS VARCHAR) AS book_id, 'pic.png' AS filename,
            'image/png' AS mime, '89504E470D0A1A0A' || hex(CAST(doc_id AS VARCHAR)) AS bytes
            FROM documents WHERE doc_id % 10 <> 9""",
     ),

@@ -8,7 +8,7 @@ from ..operators import assets, diff, library
 from ..plans.maintain import Crawled, Stored, create_books, stash_and_recreate, update_books
 from ..sinks.blobs import Blobs
 from ..sinks.tables import publish_library, read_table
-from ..streaming.feeds import watch_feeds
+from ..streaming.feeds import FeedWatch, watch_feeds
 from . import chapters, inputs
 from .inputs import BOOKS_SQL, CHAPTERS_SQL, RUN_TS, table
 
@@ -157,19 +157,25 @@ def watch(spark, sf_dir):
         .parquet(sf_dir)
         .selectExpr("CAST(l_orderkey AS STRING) AS book_id", "l_shipdate AS published")
     )
+    watch = FeedWatch(spark, f"{folder}/newest", 16)
+
+    def say(news, batch):
+        # as if the first attempt had failed after the batch was known
+        again = watch.news(items_of_batch(spark, sf_dir), batch)
+        news.unionByName(again).distinct().write.mode("overwrite").parquet(f"{folder}/said/batch={batch}")
+
     query = (
-        watch_feeds(items)
-        .writeStream.outputMode("update")
-        .foreachBatch(
-            lambda rows, batch: rows.write.mode("overwrite").parquet(f"{folder}/said/batch={batch}")
-        )
+        watch_feeds(items, watch, say)
         .option("checkpointLocation", f"{folder}/state")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    said = spark.read.schema("book_id string, newest_us bigint").parquet(f"{folder}/said/*")
-    return said.groupBy("book_id").agg(F.max("newest_us").alias("newest_us"))
+    return spark.read.schema("book_id string, newest_us bigint").parquet(f"{folder}/said/*")
+
+
+def items_of_batch(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").selectExpr("CAST(l_orderkey AS STRING) AS book_id", "l_shipdate AS published")
 
 
 # --- whole jobs -------------------------------------------------------------

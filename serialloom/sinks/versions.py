@@ -143,28 +143,39 @@ class Versions:
         if unknown := set(rows) - set(self.tables):
             raise ValueError(f"no such table: {', '.join(sorted(unknown))}")
         version = self.newest() + 1
+        for name, given in rows.items():
+            self._write(name, given.select(*self._schema(name).names), version)
+        return self._committed(version, run_id, set(rows), replaced)
+
+    def _committed(self, version: int, run_id: str, written: set[str], replaced: DataFrame | None) -> int:
         before = self.pieces(version - 1)
-        if replaced is not None:
+        for name in set(self.tables) - written:
+            self._write(name, self.spark.createDataFrame([], self.tables[name]), version)
+        if replaced is None:
+            touched = [self._written(name, version, ["bucket"]) for name in written]
+        else:
             self._write(REPLACED, replaced.select(*self.key).distinct(), version)
-        for name, schema in self.tables.items():
-            given = rows.get(name)
-            if given is None:
-                given = self.spark.createDataFrame([], schema)
-            self._write(name, given.select(*schema.names), version)
-        touched = []
-        if replaced is not None:
             keys = self._written(REPLACED, version, [*self.key, "bucket"])
-            for name in rows:
+            for name in written:
                 strange = self._written(name, version, self.key).join(keys, self.key, "left_anti")
                 if not strange.isEmpty():
                     raise ValueError(f"rows of {name} whose key is not replaced")
-            touched.append(keys.select("bucket"))
-        else:
-            touched += [self._written(name, version, ["bucket"]) for name in rows]
+            touched = [keys.select("bucket")]
         buckets = sorted({r.bucket for t in touched for r in t.distinct().collect()})
         new = [Piece(b, version, replaced is not None) for b in buckets]
         return self._commit(version, run_id, [*before, *new])
 
+    def publish_replacing(self, name: str, rows: DataFrame, run_id: str) -> int:
+        """Commit ``rows`` of one table, replacing whatever their own keys had."""
+        done = self.version_of(run_id)
+        if done is not None:
+            return done
+        # written first: the keys that are replaced are read from what was written
+        version = self.newest() + 1
+        self._write(name, rows.select(*self._schema(name).names), version)
+        keys = self._written(name, version, self.key).distinct()
+        return self._committed(version, run_id, {name}, keys)
+
     def compact(self, run_id: str, least: int = 2) -> int:
         """Write each bucket of at least ``least`` pieces as one; other buckets stay as they are."""
         done = self.version_of(run_id)
@@ -229,6 +240,10 @@ class Versions:
         """
         return self.rows_of(name, self.pieces(version))
 
+    def brought(self, name: str, version: int) -> DataFrame:
+        """The rows that one version wrote, whatever came after it."""
+        return self._written(name, version, self.tables[name].names)
+
     def unused(self, keep: int = 1) -> DataFrame:
         """(path) of the pieces that the newest ``keep`` versions don't need.
 

@@ -41,7 +41,11 @@ class Profiles(NamedTuple):
 
     def of_pages(self, page: str) -> DataFrame:
         """(source, site, cover_script, chapters_script, rules): a row per source, its rules for
-        one kind of page as one text, which pages carry through their job."""
+        one kind of page as one text, which pages carry through their job.
+
+        Someone has written each row by hand, so a join broadcasts them; pages of one source
+        then need not meet.
+        """
         listed = (
             self.rules.where(F.col("page") == page)
             .groupBy("source")
@@ -49,9 +53,10 @@ class Profiles(NamedTuple):
         )
         notice = F.when(F.size("notice_prefixes") > 0, F.struct("notice_prefixes", "notice_bytes"))
         packed = F.to_json(F.struct(F.col("_rules").alias("rules"), notice.alias("notice")))
-        return self.sources.join(listed, "source").select(
+        known = self.sources.join(listed, "source").select(
             "source", "site", "cover_script", "chapters_script", packed.alias("rules")
         )
+        return F.broadcast(known)
 
 
 def profile_tables(spark: SparkSession, profiles: Sequence[SourceProfile] = (NATIVE,)) -> Profiles:

@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from conftest import values
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from serialloom.sinks import tables
 from serialloom.sinks.blobs import Blobs
 from serialloom.sources.elements import Rule, extract_by_source
 from serialloom.sources.profiles import NATIVE, SourceProfile, profile_tables
-from serialloom.streaming.feeds import watch_feeds
+from serialloom.streaming.feeds import FeedWatch, watch_feeds
 
 
 def test_routing_takes_the_first_match(spark):
@@ -183,27 +184,36 @@ def test_ignore_list_grows_once(spark, tmp_path):
 
 def test_watch_feeds_says_only_news(spark, tmp_path):
     day = [datetime(2024, 1, 1) + timedelta(days=i) for i in range(6)]
-    said, source = [], tmp_path / "items"
+    source, watch, said, fails = tmp_path / "items", FeedWatch(spark, str(tmp_path / "newest"), 4), [], [0]
+
+    def say(news, batch):
+        said.append((batch, values(news, "book_id", "newest_us")))
+        if fails and fails.pop() == batch:
+            raise RuntimeError("lost after the batch was known")
 
     def run():
         items = spark.readStream.schema("book_id string, published timestamp").parquet(str(source))
-        query = (
-            watch_feeds(items).writeStream.outputMode("update")
-            .foreachBatch(lambda df, _: said.append(values(df, "book_id", "newest_us")))
-            .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-        )
-        query.awaitTermination()
-        return said[-1] if said else []
+        writer = watch_feeds(items, watch, say).option("checkpointLocation", str(tmp_path / "state"))
+        writer.trigger(availableNow=True).start().awaitTermination()
 
     def add(*rows):
         said.clear()
         spark.createDataFrame(list(rows), "book_id string, published timestamp").coalesce(1).write.mode("append").parquet(str(source))
-        return [b for b, _ in run()]
 
-    assert add(("a", day[1]), ("a", day[3]), ("b", day[2]), ("c", None)) == ["a", "b"]
-    assert add(("a", day[3]), ("b", day[1])) == []
-    assert add(("a", day[2]), ("b", day[4]), ("b", day[5])) == ["b"]
-    assert said[-1][0][1] == int((day[5] - datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+    add(("a", day[1]), ("a", day[3]), ("b", day[2]), ("c", None))
+    with pytest.raises(Exception, match="lost"):
+        run()
+    run()
+    # the batch that failed is run again, and says the same
+    assert len(said) == 2 and said[0] == said[1] and [b for b, _ in said[1][1]] == ["a", "b"]
+    assert watch.kept.newest() == 1
+    add(("a", day[3]), ("b", day[1]))
+    run()
+    assert [m for _, m in said] == [[]]
+    add(("a", day[2]), ("b", day[4]), ("b", day[5]))
+    run()
+    assert [m for _, m in said] == [[("b", int((day[5] - datetime(1970, 1, 1)).total_seconds()) * 1_000_000)]]
+    assert values(watch.newest(), "book_id") == [("a",), ("b",)]
 
 
 def test_create_and_stash(spark, tmp_path):

@@ -4,7 +4,7 @@ from datetime import datetime
 import pytest
 from conftest import values
 
-from serialloom.sources import archives, files
+from serialloom.sources import archives, files, listing
 from serialloom.sources.chapter_pages import (
     CHAPTER_NOTICES,
     CHAPTER_RULES,
@@ -221,3 +221,42 @@ def test_hidden_roots_are_read(spark, tmp_path):
     for given in (str(root), f"file://{root}/"):
         found = files.scan_library(spark, [given], none)
         assert [p for (p,) in values(found, "path")] == [f"{root}/a.epub", f"{root}/sub/b.epub"]
+
+
+def test_two_archives_with_one_identifier_stay_two_books(spark, tmp_path):
+    for name, text in (("b", "second"), ("a", "first"), ("c", "third")):
+        meta = "<dc:identifier>same</dc:identifier>" if name != "c" else "<dc:identifier>other</dc:identifier>"
+        _book(tmp_path / f"{name}.epub", meta, f"<html><body>{text}</body></html>")
+    lib = archives.ingest_archives(archives.open_archives(archives.read_archives(spark, [str(tmp_path)])), NOW)
+    ids = {r.path.rsplit("/", 1)[1]: r.book_id for r in lib.books.collect()}
+    assert (ids["a.epub"], ids["c.epub"]) == ("same", "other") and len(ids["b.epub"]) == 36
+    for rows in (lib.chapters, lib.content, lib.assets):
+        assert {(r.path.rsplit("/", 1)[1], r.book_id) for r in rows.select("path", "book_id").collect()} == set(ids.items())
+    assert {(r.book_id, r.content) for r in lib.content.where("identifier = 'c1'").collect()} == {
+        ("same", "first"), (ids["b.epub"], "second"), ("other", "third")}
+
+
+def test_an_archive_that_breaks_half_way_gives_no_rows(spark, tmp_path):
+    _book(tmp_path / "a.epub", "<dc:identifier>x</dc:identifier>", "<html><body>" + "text " * 500 + "</body></html>")
+    data = bytearray((tmp_path / "a.epub").read_bytes())
+    at = data.find(b"text text")
+    data[at : at + 4] = b"TEXT"
+    (tmp_path / "a.epub").write_bytes(bytes(data))
+    entries = archives.open_archives(archives.read_archives(spark, [str(tmp_path)]))
+    assert values(entries, "kind", "text") == [("error", "BadZipFile: bad entry O/c 1.xhtml")]
+
+
+def test_a_walk_sees_all_names(spark, tmp_path):
+    root = tmp_path / ".library"
+    names = ["a.epub", "_b.epub", ".c.epub", "d.txt", "x/_e.epub", "x/y/f.epub", "x/.z/g.epub", "_w/h.epub", "x/epub", "x/i.EPUB", "x/y/j.epub"]
+    for name in names:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"x")
+    (root / ".autignore").write_text("h.epub\r\n# no\n")
+    (root / "x" / ".autignore").write_text("y/*\n!f.epub\n")
+    files_, rules = listing.walk_library(spark, [str(root), f"file://{root}/x", str(tmp_path / "nothing")])
+    walk = {str(p) for p in root.rglob("*.epub") if p.name[0] != "." and ".z" not in p.parts}
+    assert {r.path for r in files_.collect()} == walk and files_.count() == len(walk)
+    assert values(rules, "line_no", "pattern") == [(0, "h.epub"), (0, "y/*"), (1, "!f.epub"), (1, "# no"), (2, ""), (2, "")]
+    shown = {r.path.removeprefix(f"{root}/") for r in listing.scan_library(spark, [str(root)]).collect()}
+    assert shown == {"a.epub", "_b.epub", "x/_e.epub", "x/y/f.epub"}
