@@ -1,5 +1,7 @@
 """What several of the operators share: reading tables, row ids, Arrow helpers, words."""
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,6 +29,34 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     return pin(df.withColumn(name, F.monotonically_increasing_id()))
 
 
+def numbered_rows(docs: DataFrame, text: str, row_id: str | None) -> DataFrame:
+    """row_id, doc_id and text: numbered here, and written, unless ``row_id`` names a column
+    of ``docs`` that numbers its rows. A column that merely has that name is like any other."""
+    body = F.col(text).cast("string").alias("text")
+    if row_id is None:
+        return with_row_id(docs.select("doc_id", body))
+    return docs.select(F.col(row_id).alias("row_id"), "doc_id", body)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with more underscores if the table has such a column."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Tasks get Arrow batches of at most so many rows in what runs inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def pick_rows(docs: DataFrame, ids: DataFrame, how: str, key: str = "row_id") -> DataFrame:
     """``docs`` with (left_semi) or without (left_anti) these rows; ``ids`` is a written table."""
     small = ids.count() <= BROADCAST_ROWS

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.pin import pin
-from .common import as_bytes, with_row_id
+from .common import as_bytes, numbered_rows
 
 WIDTH = 13
 #: Windows in one broadcast, about 300 bytes each in a worker.
@@ -155,22 +155,21 @@ def contamination(
     item_text: str = "text",
     width: int = WIDTH,
     most_windows: int = MOST_WINDOWS,
+    row_id: str | None = None,
 ) -> DataFrame:
     """One row per document: row_id, doc_id, n_words, spans, items.
 
     spans are the word ranges [start, end) covered by occurring windows, in order and
     disjoint; items the ids, as sorted strings, of the benchmark items with such windows.
     A window is ``width`` consecutive words of an item; an item of fewer words, but not
-    none, is one window. ``docs`` may bring row_id (see ``with_row_id``). Null and empty
-    texts have no words and no hits, on either side; a null item id counts as the empty
+    none, is one window. ``row_id`` may name a column of ``docs`` that numbers the rows (see
+    ``with_row_id``). Null and empty texts have no words and no hits, on either side; a null item id counts as the empty
     string, items with one id as one item. Repeated rows each get their row; further
     columns are ignored; with an empty benchmark nothing is hit.
     """
     spark = docs.sparkSession
-    if "row_id" not in docs.columns:
-        docs = with_row_id(docs.select("doc_id", F.col(text).cast("string").alias(text)))
+    texts = numbered_rows(docs, text, row_id)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("row_id", "doc_id", F.col(text).cast("string").alias("text"))
     windows = pin(
         benchmark.select(
             F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(item_text).cast("string").alias("text")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.pin import pin
-from .common import SPACES, with_row_id
+from .common import SPACES, numbered_rows
 
 BLOCK_BYTES = 2048
 #: Stands where the last name of a document has no neighbour; no name has this value.
@@ -102,18 +102,16 @@ def identities(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYT
     return facts.drop("hashes"), reduce(DataFrame.unionByName, done)
 
 
-def exact_duplicates(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+def exact_duplicates(docs: DataFrame, text: str = "text", row_id: str | None = None, **options) -> DataFrame:
     """One row per document: row_id, doc_id, keep_id, group_size, kept, text_sha256.
 
-    ``docs`` needs doc_id and ``text`` and may bring row_id (see ``with_row_id``). Texts are
-    equal when they are the same after all ASCII white space is deleted; a null text is an
+    ``docs`` needs doc_id and ``text``; ``row_id`` may name a column of its own that numbers
+    the rows (see ``with_row_id``). Texts are equal when they are the same after all ASCII white space is deleted; a null text is an
     empty one. The row with the most code points stays, then the smallest doc_id (null
     last), then the first row of the table, so of rows repeated whole exactly one stays.
     An empty table gives no rows; other columns are not looked at.
     """
-    if "row_id" not in docs.columns:
-        docs = with_row_id(docs.select("doc_id", F.col(text).cast("string").alias(text)))
-    facts, names = identities(docs, text, **options)
+    facts, names = identities(numbered_rows(docs, text, row_id), "text", **options)
     rows = pin(facts.join(names, "row_id"))
     order = F.struct(
         (-F.col("n_chars")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("keep_id"),

@@ -212,20 +212,22 @@ def _score(vocabulary, chain):
     return run
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, text: str = "text", row_id: str | None = None) -> DataFrame:
     """A row per document: row_id, doc_id, n_tokens, n_known, base_score, score (log10).
 
     Tokens are the words, A-Z lower-cased, and one end; n_known of them were met in
     learning. base_score adds log10((c + 1) / (N + V + 1)); score is the model's. A null or
-    empty text is its end alone. Repeated rows get a row each; further columns are ignored.
+    empty text is its end alone. Repeated rows get a row each; further columns are ignored,
+    but ``row_id`` may name one that numbers the rows.
     """
-    if "row_id" not in docs.columns:
-        docs = docs.withColumn("row_id", F.monotonically_increasing_id())  # read once, and written with the scores
+    # read once, and written with the scores
+    number = F.monotonically_increasing_id() if row_id is None else F.col(row_id)
+    docs = docs.select(number.alias("row_id"), "doc_id", F.col(text).cast("string").alias("text"))
     v, spark = model.vocabulary, docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     sent = spark.sparkContext.broadcast(model.chain)
     here = pin(
-        docs.select("row_id", "doc_id", F.col(text).cast("string").alias("text")).mapInArrow(
+        docs.mapInArrow(
             _score(model.sent, sent),
             f"row_id long, doc_id {kind}, n_tokens long, known_here long, logs_here double, score_here double, "
             "rare array<binary>",

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.pin import pin
-from .common import Known, as_bytes, by_size, pick_rows, sorted_groups, with_row_id, words
+from .common import Known, as_bytes, by_size, numbered_rows, pick_rows, sorted_groups, words
 from .components import components
 from .signature_tree import links
 
@@ -223,21 +223,25 @@ def _search(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, text: str = "text", percent: int = PERCENT, width: int = WORDS, chunk: int = CHUNK
+    docs: DataFrame,
+    text: str = "text",
+    percent: int = PERCENT,
+    width: int = WORDS,
+    chunk: int = CHUNK,
+    row_id: str | None = None,
 ) -> DataFrame:
     """One row per document: row_id, doc_id, n_shingles, component_id, kept.
 
-    ``docs`` needs doc_id and ``text`` and may bring row_id (see ``with_row_id``). Words are
-    what ASCII white space separates, A-Z lower-cased; a text of fewer words than ``width``
+    ``docs`` needs doc_id and ``text``; ``row_id`` may name a column of its own that numbers
+    the rows (see ``with_row_id``). Words are what ASCII white space separates, A-Z lower-cased; a text of fewer words than ``width``
     is one shingle. Two documents link when the intersection of their sets is at least
     ``percent`` of the union. component_id is the smallest doc_id that links reach, and the
     first row with it is the one kept of the component. A null
     or empty text, or one without words, has an empty set and its own doc_id, and is kept;
     rows with one doc_id are rows of their own; a null doc_id comes last. An empty table gives no rows; further columns are ignored.
     """
-    if "row_id" not in docs.columns:
-        docs = with_row_id(docs.select("doc_id", F.col(text).cast("string").alias(text)))
-    texts = docs.select("row_id", F.col(text).cast("string").alias("text"))
+    docs = numbered_rows(docs, text, row_id)
+    texts = docs.select("row_id", "text")
     both = pin(
         texts.mapInArrow(
             _facts(percent, width), "row_id long, n long, d1 long, d2 long, token long, times long"
@@ -279,6 +283,7 @@ def near_duplicates(
             _neighbours, "token long, row_id long"
         )
     )
+    frequent.destroy()
     least = 1 + F.floor(EXTRA * F.ceil(percent * F.col("n") / 100) / 100)
     shared = hits.groupBy("row_id").agg(F.count("*").alias("k"))
     live = shared.join(classes.select("row_id", "n"), "row_id").filter(F.col("k") >= least).select("row_id")

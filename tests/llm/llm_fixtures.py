@@ -39,7 +39,7 @@ def frame(spark):
     """Rows as a table with extra columns whose names clash with those used inside."""
     from pyspark.sql import functions as F
 
-    def make(rows, schema, extra=("n", "h", "token", "text_sha256", "score", "rank", "length", "component")):
+    def make(rows, schema, extra=("n", "h", "token", "text_sha256", "score", "rank", "length", "component", "row_id", "pipeline_row", "hash")):
         from serialloom.plans.pin import pin
 
         df = spark.createDataFrame(rows, schema)
