@@ -11,7 +11,11 @@ control strings inside texts are escaped with a backslash behind their first cha
 """
 
 import re
+from collections.abc import Sequence
 from hashlib import sha256
+from itertools import groupby
+from operator import itemgetter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,31 +42,54 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub("", text)
 
 
-def segment(enc, role: str, text: str) -> tuple[bytes, bytes, str]:
-    """(ids, mask, written) of one turn; the mask has a byte per id."""
+class Segment(NamedTuple):
+    """One turn: its ids, the range of them that is under the loss mask, its written form."""
+
+    ids: bytes
+    start: int
+    end: int
+    written: str
+
+
+def segment(enc, role: str, text: str) -> Segment:
     base = enc.size
     control = [np.array([base + i], "<u4").tobytes() for i in range(len(CONTROLS))]
     marker, inside = MARKERS.get(role), escape(text)
-    head = control[ROLE] + enc.encode(escape(role)) + control[TEXT] if marker is None else control[marker]
+    head = control[ROLE] + enc.encode_plain(escape(role)) + control[TEXT] if marker is None else control[marker]
     said = CONTROLS[ROLE] + escape(role) + CONTROLS[TEXT] if marker is None else CONTROLS[marker]
-    ids = enc.encode(inside)
-    mask = bytes(len(head) // 4) + bytes([marker == ASSISTANT]) * (len(ids) // 4) + bytes(1)
-    return head + ids + control[END], mask, said + inside + CONTROLS[END]
+    ids = enc.encode_plain(inside)
+    start = len(head) // 4
+    return Segment(
+        head + ids + control[END], start, start + (len(ids) // 4 if marker == ASSISTANT else 0), said + inside + CONTROLS[END]
+    )
+
+
+def spliced(enc, segments: Sequence[tuple[bytes, int, int]], first: bool) -> tuple[bytes, bytes]:
+    """(ids, mask) of segments (ids, start, end) that follow each other; ``first`` ones have BOS before them.
+
+    Where a segment begins is the running sum of the lengths before it. The mask is a byte
+    per id: the prefix sums of marks, 1 where a range begins and -1 where it ends.
+    """
+    before = np.array([enc.size + BOS], "<u4").tobytes() if first else b""
+    lengths = np.array([len(before), *(len(ids) for ids, _, _ in segments)]) // 4
+    at = np.cumsum(lengths)
+    marks = np.zeros(at[-1] + 1, np.int64)
+    np.add.at(marks, at[:-1] + [start for _, start, _ in segments], 1)
+    np.add.at(marks, at[:-1] + [end for _, _, end in segments], -1)
+    return b"".join([before, *(ids for ids, _, _ in segments)]), np.cumsum(marks[:-1]).astype(np.int8).tobytes()
 
 
 def assemble(enc, turns: list[tuple[str, str]]) -> tuple[bytes, bytes, str]:
     """(ids, mask, written) of a conversation's (role, text) turns."""
-    ids, mask, written = [np.array([enc.size + BOS], "<u4").tobytes()], [bytes(1)], [CONTROLS[BOS]]
-    for role, text in turns:
-        for whole, part in zip((ids, mask, written), segment(enc, role, text), strict=True):
-            whole.append(part)
-    return b"".join(ids), b"".join(mask), "".join(written)
+    segments = [segment(enc, role, text) for role, text in turns]
+    ids, mask = spliced(enc, [s[:3] for s in segments], True)
+    return ids, mask, CONTROLS[BOS] + "".join(s.written for s in segments)
 
 
 def read_back(enc, ids: bytes, mask: bytes) -> tuple[list[tuple[str, str]], str]:
     """The turns, and all text under the mask, from the ids and the mask alone.
 
-    ids may be a conversation's, or any of its segments, as every turn ends with an id of its own.
+    ids may be a conversation's, or some whole turns of it, as every turn ends with an id of its own.
     """
     values, base, table = np.frombuffer(ids, "<u4"), enc.size, enc.bytes_of
     on = np.frombuffer(mask, np.int8).astype(bool)
@@ -144,53 +171,32 @@ def _segments(path: str):
             made = [segment(enc, *x) for x in zip(*(batch.column(c).to_pylist() for c in ("role", "text")), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("conv_id"),
-                    batch.column("turn"),
-                    pa.array([m[0] for m in made], pa.binary()),
-                    pa.array([m[1] for m in made], pa.binary()),
-                    pa.array([m[2] for m in made], pa.string()),
+                    *(batch.column(c) for c in ("conv_id", "turn", "role", "text")),
+                    pa.array([m.ids for m in made], pa.binary()),
+                    pa.array([m.start for m in made], pa.int64()),
+                    pa.array([m.end for m in made], pa.int64()),
+                    pa.array([m.written for m in made], pa.string()),
                 ],
-                ["conv_id", "turn", "ids", "mask", "formatted"],
+                ["conv_id", "turn", "role", "text", "ids", "loss_start", "loss_end", "formatted"],
             )
 
     return run
 
 
 def format_turns(conversations: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """A row per turn: conv_id, turn, ids, mask, formatted.
+    """A row per turn: conv_id, turn, role, text, ids, loss_start, loss_end, formatted.
 
     The segments of a conversation, behind one BOS and in the order that ``format_chats``
-    names, are what it makes of the conversation. No rows meet for it.
+    names, are what it makes of the conversation; ``spliced`` gives the mask of any of them
+    that follow each other. No rows meet for it.
     """
     conv, turn = (conversations.schema[c].dataType.simpleString() for c in ("conv_id", "turn"))
     return _turns(conversations).mapInArrow(
         _segments(tokenizer or default_path()),
-        f"conv_id {conv}, turn {turn}, ids binary, mask binary, formatted string",
+        f"conv_id {conv}, turn {turn}, role string, text string, ids binary, loss_start long, loss_end long, formatted string",
     )
 
 
-def _read(path: str):
-    """(conv_id, turn, role, text, loss, chars) of segments, from their ids and masks."""
-
-    def run(batches):
-        enc = encoder(path)
-        for batch in by_size(batches, "ids"):
-            read = [read_back(enc, *x) for x in zip(*(batch.column(c).to_pylist() for c in ("ids", "mask")), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("conv_id"),
-                    batch.column("turn"),
-                    pa.array([turns[0][0] for turns, _ in read], pa.string()),
-                    pa.array([turns[0][1] for turns, _ in read], pa.string()),
-                    pa.array([loss for _, loss in read], pa.string()),
-                    batch.column("chars"),
-                ],
-                ["conv_id", "turn", "role", "text", "loss", "chars"],
-            )
-
-    return run
-
-
 class _Sums:
     """What is said of a conversation, turn by turn."""
 
@@ -198,9 +204,12 @@ class _Sums:
         self.conv_id, self.turns, self.loss_chars, self.chars = conv_id, 0, 0, len(CONTROLS[BOS])
         self.whole, self.loss = sha256(), sha256()
 
-    def add(self, role: str, text: str, loss: str, chars: int):
-        self.turns += 1
-        self.whole.update(f"{role}\n{text}\n".encode())
+    def add(self, enc, segments: list[tuple[bytes, int, int]], chars: int):
+        """Splice the next turns to what there is, and read them back from the ids and the mask."""
+        turns, loss = read_back(enc, *spliced(enc, segments, not self.turns))
+        self.turns += len(turns)
+        for role, text in turns:
+            self.whole.update(f"{role}\n{text}\n".encode())
         self.loss.update(loss.encode())
         self.loss_chars += len(loss)
         self.chars += chars
@@ -212,25 +221,30 @@ class _Sums:
         }
 
 
-def _digest(batches):
-    """A row per conversation from turns in order; only sums and one slice of turns are held."""
+def _digest(path: str):
+    """A row per conversation from its segments in order; a slice of them is held at a time."""
     schema = pa.schema([
         ("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()),
         ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()),
     ])
-    held = None
-    for batch in by_size(batches):
-        out = []
-        names = ("conv_id", "role", "text", "loss", "chars")
-        for conv_id, *turn in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-            if held is None or held.conv_id != conv_id:
-                if held is not None:
-                    out.append(held.row())
-                held = _Sums(conv_id)
-            held.add(*turn)
-        yield pa.RecordBatch.from_pylist(out, schema)
-    if held is not None:
-        yield pa.RecordBatch.from_pylist([held.row()], schema)
+
+    def run(batches):
+        enc, held = encoder(path), None
+        for batch in by_size(batches, "ids"):
+            out = []
+            rows = zip(*(batch.column(c).to_pylist() for c in ("conv_id", "ids", "loss_start", "loss_end", "chars")), strict=True)
+            for conv_id, turns in groupby(rows, key=itemgetter(0)):
+                if held is None or held.conv_id != conv_id:
+                    if held is not None:
+                        out.append(held.row())
+                    held = _Sums(conv_id)
+                turns = list(turns)
+                held.add(enc, [t[1:4] for t in turns], sum(t[4] for t in turns))
+            yield pa.RecordBatch.from_pylist(out, schema)
+        if held is not None:
+            yield pa.RecordBatch.from_pylist([held.row()], schema)
+
+    return run
 
 
 #: Added to the given conversations: its texts are control strings.
@@ -241,12 +255,10 @@ def op8_chat_format(spark, sf_dir: str) -> DataFrame:
     given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
     made = format_turns(given.unionByName(probe))
-    read = made.select("conv_id", "turn", "ids", "mask", F.char_length("formatted").cast("long").alias("chars")).mapInArrow(
-        _read(default_path()), "conv_id long, turn long, role string, text string, loss string, chars long"
-    )
-    dealt = read.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.mapInArrow(
-        _digest,
+    made = made.withColumn("chars", F.char_length("formatted").cast("long")).drop("formatted")
+    dealt = made.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return dealt.select("conv_id", "ids", "loss_start", "loss_end", "chars").mapInArrow(
+        _digest(default_path()),
         "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
     )
 
