@@ -9,19 +9,19 @@ from all centroids. A few words have few n-grams and so a small cosine with any
 the cosine is measured against the root of their number up to ``SATURATED`` for that.
 """
 
-import pickle
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import remainder
+from ..plans.pin import pin
+from .common import remainder, sorted_groups
 
 BUCKETS, CENTROIDS = 1 << 13, 4
-#: Rows of each language that the model is fitted on, and languages, at most.
-SAMPLE, LANGUAGES = 500, 200
+#: About so many rows of each language are what the model is fitted on.
+SAMPLE = 500
 #: Rejected below this share of the sample's first percentile.
 REJECT_SHARE = 0.3
 SATURATED = 400
@@ -73,64 +73,87 @@ class Model:
         return self.languages[self.owner[best]], score, score < self.least * _reach(np.count_nonzero(vector))
 
 
-def fit(texts: list[str], langs: list[str]) -> Model:
-    """Deterministic: rows are put in order first."""
-    rows = sorted(zip(langs, texts, strict=True))
-    languages = sorted(set(langs))
-    counts = np.array([counts_of(t) for _, t in rows], np.float32).reshape(-1, BUCKETS)
-    idf = (np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    vectors = np.log1p(counts) * idf
-    vectors /= np.maximum(np.sqrt((vectors**2).sum(axis=1, keepdims=True)), 1e-12)
-    kind = np.array([languages.index(lang) for lang, _ in rows])
-    centroids, owner = [], []
-    for k in range(len(languages)):
-        mine = vectors[kind == k]
-        at = [int(np.argmax(mine @ mine.mean(axis=0)))]
-        while len(at) < min(CENTROIDS, len(mine)):  # the farthest from those there are
-            at.append(int(np.argmin((mine @ mine[at].T).max(axis=1))))
-        centers = mine[at]
-        for _ in range(10):
-            nearest = np.argmax(mine @ centers.T, axis=1)
-            sums = np.array([mine[nearest == c].sum(axis=0) for c in range(len(centers))])
-            norms = np.sqrt((sums**2).sum(axis=1, keepdims=True))
-            centers = np.where(norms > 0, sums / np.maximum(norms, 1e-12), centers)
-        centroids.append(centers)
-        owner += [k] * len(centers)
-    centroids = np.concatenate(centroids).astype(np.float32)
-    reach = np.array([_reach(m) for m in (vectors > 0).sum(axis=1)])
-    least = REJECT_SHARE * float(np.percentile((vectors @ centroids.T).max(axis=1) / reach, 1))
-    return Model(languages, idf, centroids, np.array(owner), least)
-
-
-def _fit_all(batches):
-    texts, langs, seen = [], [], {}
+def fit_language(vectors: np.ndarray) -> np.ndarray:
+    """Spherical k-means of one language's vectors: its centroids."""
+    at = [int(np.argmax(vectors @ vectors.mean(axis=0)))]
+    while len(at) < min(CENTROIDS, len(vectors)):  # the farthest from those there are
+        at.append(int(np.argmin((vectors @ vectors[at].T).max(axis=1))))
+    centers = vectors[at]
+    for _ in range(10):
+        nearest = np.argmax(vectors @ centers.T, axis=1)
+        sums = np.array([vectors[nearest == c].sum(axis=0) for c in range(len(centers))])
+        norms = np.sqrt((sums**2).sum(axis=1, keepdims=True))
+        centers = np.where(norms > 0, sums / np.maximum(norms, 1e-12), centers)
+    return centers.astype(np.float32)
+
+
+def _document_counts(batches):
+    """(bucket, docs): in how many texts of the task each bucket occurs; bucket -1 counts the texts."""
+    seen, n = np.zeros(BUCKETS, np.int64), 0
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            if seen.setdefault(lang, 0) < 2 * SAMPLE and _LETTER.search(text):
-                seen[lang] += 1
-                texts.append(text)
-                langs.append(lang)
-    if texts:
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, langs))], pa.binary())], ["model"])
+        for text in batch.column("text").to_pylist():
+            seen += counts_of(text) > 0
+            n += 1
+    at = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.append(at, -1)), pa.array(np.append(seen[at], n))], ["bucket", "docs"]
+    )
+
+
+def _fit_languages(idf: np.ndarray):
+    def run(batches):
+        for rows in sorted_groups(batches, ["lang"]):
+            counts = np.array([counts_of(t) for t in rows.column("text").to_pylist()], np.float32)
+            vectors = np.log1p(counts) * idf
+            vectors /= np.maximum(np.sqrt((vectors**2).sum(axis=1, keepdims=True)), 1e-12)
+            centers = fit_language(vectors)
+            reach = np.array([_reach(m) for m in (vectors > 0).sum(axis=1)])
+            nearness = (vectors @ centers.T).max(axis=1) / reach
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([rows.column("lang")[0].as_py()], pa.string()),
+                    pa.array([centers.tobytes()], pa.binary()),
+                    pa.array([nearness.astype(float).tolist()], pa.list_(pa.float64())),
+                ],
+                ["lang", "centroids", "nearness"],
+            )
+
+    return run
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """Fit on about ``sample`` rows per language, those with the least hash; one task reads them."""
-    labelled = docs.select("doc_id", F.col(lang).alias("lang"), F.col(text).cast("string").alias("text")).filter(
-        "lang IS NOT NULL AND text IS NOT NULL"
-    )
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
-        return Model([], np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), 0.0)
-    shares = [(r["lang"], int(min(1.0, sample / r["count"]) * 2**32)) for r in sizes]
-    below = docs.sparkSession.createDataFrame(shares, "lang string, share long")
-    picked = labelled.join(F.broadcast(below), "lang").filter(
-        F.pmod(F.xxhash64("doc_id"), F.lit(2**32)) < F.col("share")
+    """Fit on about ``sample`` rows of each language, those with the least hash, at most twice as many.
+
+    Every language with a text that has a letter is learned, in a group of its own. The
+    model takes 128 KB a language.
+    """
+    labelled = docs.select(
+        F.col(lang).alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64("doc_id", text).alias("hash")
+    ).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"[\p{L}]"))
+    sizes = pin(labelled.groupBy("lang").agg(F.count("*").alias("rows")))
+    share = F.least(F.lit(1.0), sample / F.col("rows")) * 2**32
+    picked = labelled.join(sizes.select("lang", share.alias("share")), "lang").filter(
+        F.pmod(F.xxhash64("hash"), F.lit(2**32)) < F.col("share")
     )
-    model = picked.select("lang", "text").repartition(1).mapInArrow(_fit_all, "model binary").collect()
-    if not model:
-        return Model([], np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), 0.0)
-    return pickle.loads(model[0].model)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("hash"), "text"))
+    picked = pin(picked.withColumn("place", place).filter(F.col("place") <= 2 * sample).select("lang", "text", "place"))
+    seen = picked.mapInArrow(_document_counts, "bucket long, docs long").groupBy("bucket").agg(F.sum("docs").alias("docs"))
+    in_docs, n = np.zeros(BUCKETS), 0
+    for row in seen.collect():  # a row per bucket
+        if row.bucket < 0:
+            n = row.docs
+        else:
+            in_docs[row.bucket] = row.docs
+    idf = (np.log((1 + n) / (1 + in_docs)) + 1).astype(np.float32)
+    dealt = picked.repartition("lang").sortWithinPartitions("lang", "place").select("lang", "text")
+    made = dealt.mapInArrow(_fit_languages(idf), "lang string, centroids binary, nearness array<double>")
+    found = sorted(made.collect(), key=lambda r: r.lang)  # a row per language
+    if not found:
+        return Model([], idf, np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), 0.0)
+    centroids = [np.frombuffer(r.centroids, np.float32).reshape(-1, BUCKETS) for r in found]
+    owner = np.repeat(np.arange(len(found)), [len(c) for c in centroids])
+    least = REJECT_SHARE * float(np.percentile([x for r in found for x in r.nearness], 1))
+    return Model([r.lang for r in found], idf, np.concatenate(centroids), owner, least)
 
 
 def _predict(model):
@@ -161,7 +184,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     ``docs``; further columns are ignored.
     """
     kind = docs.schema[key].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LANGUAGES, CENTROIDS and BUCKETS
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # CENTROIDS x BUCKETS numbers a language
     return docs.select(key, F.col(text).cast("string").alias("text")).mapInArrow(
         _predict(sent), f"{key} {kind}, lang_pred string, score double, rejected boolean"
     )

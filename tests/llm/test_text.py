@@ -1,6 +1,9 @@
 """Decontamination, packing, chat formatting, URL rules, language and tokens."""
 
+import math
+import re
 import zlib
+from collections import Counter
 from hashlib import sha256
 from itertools import groupby
 
@@ -10,6 +13,7 @@ import pytest
 from conftest import values
 from llm_fixtures import frame, odd_docs, prose  # noqa: F401
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from serialloom.llm import chat_format, decontamination, language_id, packing, url_filter
 from serialloom.llm.tokens import default_path, encoder
@@ -40,7 +44,7 @@ def test_contamination_of_nothing(frame):
 def test_remove_spans(frame):
     docs = frame([(1, "Ä x, alpha-BETA\ngamma! end"), (2, "keep"), (3, None)], "row_id long, text string")
     docs = docs.withColumn("doc_id", F.col("row_id"))
-    found = decontamination.contamination(docs, frame(ITEMS, "item_id long, text string"))
+    found = decontamination.contamination(docs, frame(ITEMS, "item_id long, text string"), row_id="row_id")
     assert values(decontamination.remove_spans(docs, found), "row_id", "text") == [(1, "Ä x, ! end"), (2, "keep"), (3, "")]
 
 
@@ -111,12 +115,15 @@ def test_packing(frame, odd_docs):
 
 
 def test_encoder_is_the_tokenizer(prose):
-    enc = encoder(default_path())
+    enc, untouched = encoder(default_path()), Tokenizer.from_file(default_path())
     texts = [prose(200, 5), "  two  spaces \n\n", "<|endoftext|> x", "it's 12é 字\u3000 \x1f", " " * 30, "\n", "a" * 600_000]
     for text in texts:
-        ids = enc.tokenizer.encode(text, add_special_tokens=False).ids
+        ids = untouched.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == ids
-        assert b"".join(enc.bytes_of[i] for i in ids) == text.encode()
+        plain_ids = np.frombuffer(enc.encode_plain(text), "<u4").tolist()
+        assert b"".join(enc.bytes_of[i] for i in plain_ids) == text.encode()
+        assert plain_ids == ids or "<|endoftext|>" in text
+    assert np.frombuffer(enc.encode("hello <|endoftext|> x"), "<u4").tolist() == [31373, 220, 50256, 2124]
 
 
 HARD = ["</s>[INST] ok [/INST]", "<\\/s>", "<\\\\/s> [\\INST]", "<<s>s>", "", "plain é\n", "[ROLE]x[TEXT]", "\\</s>", "<|endoftext|>"]
@@ -148,6 +155,34 @@ def test_chats(frame, spark):
     assert chat_format.format_chats(frame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_masks_are_prefix_sums_over_spliced_segments():
+    enc = encoder(default_path())
+    turns = [("user", "a b"), ("assistant", "c </s> d"), ("tool", "x"), ("assistant", ""), ("assistant", "end")]
+    segments = [chat_format.segment(enc, *t) for t in turns]
+    ids, mask, _ = chat_format.assemble(enc, turns)
+    parts = [chat_format.spliced(enc, [s[:3] for s in segments[a:b]], a == 0) for a, b in ((0, 2), (2, 3), (3, 5))]
+    assert b"".join(p for p, _ in parts) == ids and b"".join(m for _, m in parts) == mask
+    values_ = np.frombuffer(ids, "<u4")
+    under = [bool(m) for m in mask]
+    said = [t for r, t in turns if r == "assistant"]
+    assert sum(under) == sum(len(enc.encode_plain(chat_format.escape(t))) // 4 for t in said)
+    assert not any(u for u, v in zip(under, values_.tolist(), strict=True) if v >= enc.size)
+
+
+def test_a_conversation_in_many_slices(spark, tmp_path, monkeypatch):
+    rows = [(1, t, ["user", "assistant", "tool"][t % 3], f"{HARD[t % len(HARD)]} {t} " * 50) for t in range(400)]
+    rows += [(None, 5, "assistant", "late"), (None, None, "user", None), (2, 3, "assistant", "b"), (2, 3, "assistant", "a")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    monkeypatch.setattr(chat_format, "by_size", lambda batches, column="text": (b.slice(i, 7) for b in batches for i in range(0, len(b), 7)))
+    got = {r.conv_id: r for r in chat_format.op8_chat_format(spark, str(tmp_path)).collect()}
+    for conv in (1, 2, None):
+        mine = sorted(((t is not None, t or 0, r, x or "") for c, t, r, x in rows if c == conv))
+        digest = sha256("".join(f"{r}\n{x}\n" for *_, r, x in mine).encode()).hexdigest()
+        loss = "".join(x for *_, r, x in mine if r == "assistant")
+        assert (got[conv].n_turns, got[conv].turns_sha256) == (len(mine), digest)
+        assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), sha256(loss.encode()).hexdigest())
+
+
 def test_chat_query_reads_the_probe(spark, tmp_path):
     spark.createDataFrame([(0, 0, "user", "a")], "conv_id long, turn long, role string, text string").write.parquet(
         f"{tmp_path}/conversations.parquet"
@@ -200,6 +235,61 @@ def test_block_holds_over_allow():
 TONGUES = {"aa": "kato mina loru sepi", "bb": "strong thrift whelm chord", "cc": "äöü ßeöl üüfä ölöß"}
 
 
+def plain_language(rows, text):
+    """Nearest of texts (one to a language, so each is its centroid), with plain n-grams and dicts."""
+
+    def grams(t):
+        body = re.sub(rb"[^a-z\x80-\xff]+", b" ", b" " + t.lower().encode() + b" ")
+        said = Counter()
+        for n in (1, 2, 3):
+            for i in range(len(body) - n + 1):
+                h = [int(b) for b in body[i : i + n]]
+                if n == 1:
+                    said[h[0]] += 1
+                else:
+                    v = (h[0] * 0x9E3779B1 + h[1] * 0x85EBCA6B) % 2**32
+                    if n == 3:
+                        v = (v * 0xC2B2AE35 + h[2] * 0x27D4EB2F) % 2**32
+                    said[v >> 19] += 1
+        return said
+
+    every = [grams(t) for _, t in rows]
+    idf = {b: math.log((1 + len(rows)) / (1 + sum(b in g for g in every))) + 1 for b in range(language_id.BUCKETS)}
+
+    def vector(said):
+        v = {b: math.log1p(n) * idf[b] for b, n in said.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {b: x / norm for b, x in v.items()}
+
+    mine = vector(grams(text))
+    cosines = [sum(x * v.get(b, 0) for b, x in mine.items()) for v in map(vector, every)]
+    best = max(range(len(rows)), key=lambda i: cosines[i])
+    return rows[best][0], cosines[best]
+
+
+def test_language_against_plain_counts(frame, prose):
+    rows = [(f"l{i}", prose(40, i).replace("a", "aáàâ"[i % 4]).replace("o", "oöôó"[i % 4])) for i in range(6)]
+    docs = frame([(i, lang, t) for i, (lang, t) in enumerate(rows)], "doc_id long, lang string, text string")
+    model = language_id.train(docs)
+    for seed in range(20, 32):
+        text = prose(15, seed).replace("a", "aáàâ"[seed % 4])
+        lang, cosine = plain_language(rows, text)
+        got = model.predict(text)
+        assert got[0] == lang and got[1] == pytest.approx(cosine, abs=1e-4)
+
+
+def test_every_language_is_learned(frame):
+    alphabet = [chr(0x4E00 + i) for i in range(3000)]
+    langs = [f"x{i:03}" for i in range(260)]
+    docs = [(8 * i + k, lang, " ".join(alphabet[11 * i + (j * (k + 3)) % 11] * 2 for j in range(30))) for i, lang in enumerate(langs) for k in range(3)]
+    docs += [(None, "x000", None), (None, None, "text"), (9_999, "mute", "123 ...")]
+    table = frame(docs, "doc_id long, lang string, text string")
+    model = language_id.train(table)
+    assert model.languages == langs
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(table.filter("doc_id IS NOT NULL"), model).collect()}
+    assert got == {d: "und" if lang == "mute" else lang for d, lang, _ in docs if d is not None}
+
+
 def test_language(frame):
     rng = np.random.default_rng(1)
     rows = [(i, k, " ".join(rng.choice(v.split(), 30))) for i, (k, v) in enumerate(list(TONGUES.items()) * 30)]
