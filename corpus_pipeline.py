@@ -7,7 +7,7 @@ documents with all their columns; the last returns the packed pieces.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serialloom.llm.common import pick_rows, with_row_id
+from serialloom.llm.common import batch_rows, free_name, pick_rows, with_row_id
 from serialloom.llm.decontamination import contamination, judged
 from serialloom.llm.exact_dedup import exact_duplicates
 from serialloom.llm.language_id import accepted, learning_rows, train
@@ -15,16 +15,20 @@ from serialloom.llm.ngram_join import near_duplicates
 from serialloom.llm.packing import packed_digest
 from serialloom.plans.pin import pin
 
-ROW = "pipeline_row"
+#: Rows of an Arrow batch; a worker holds few texts at a time, whatever stage it ran before.
+BATCH_ROWS = 1_000
 
 
-def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
-    ids = pin(dropped.select(F.col("row_id").alias(ROW)))
-    return pick_rows(rows, ids, "left_anti", ROW).drop(ROW)
+def _without(docs: DataFrame, dropped) -> DataFrame:
+    """The documents but those that ``dropped`` gives the row numbers of.
 
-
-def _narrow(rows: DataFrame) -> DataFrame:
-    return rows.select(F.col(ROW).alias("row_id"), "doc_id", "text")
+    ``dropped`` takes a table of row, doc_id and text, and the name of the row column.
+    """
+    row = free_name(docs, "pipeline_row")
+    rows = with_row_id(docs, row)
+    with batch_rows(docs.sparkSession, BATCH_ROWS):
+        ids = pin(dropped(rows.select(row, "doc_id", "text"), row).select(F.col("row_id").alias(row)))
+        return pick_rows(rows, ids, "left_anti", row).drop(row)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,26 +38,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    rows = with_row_id(docs, ROW)
-    return _without(rows, exact_duplicates(_narrow(rows)).filter("NOT kept"))
+    return _without(docs, lambda rows, row: exact_duplicates(rows, row_id=row).filter("NOT kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that near-duplicate links connect."""
-    rows = with_row_id(docs, ROW)
-    return _without(rows, near_duplicates(_narrow(rows)).filter("NOT kept"))
+    return _without(docs, lambda rows, row: near_duplicates(rows, row_id=row).filter("NOT kept"))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which less than a twentieth of the words repeats benchmark passages."""
-    rows = with_row_id(docs, ROW)
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    return _without(rows, judged(contamination(_narrow(rows), bench)).filter("contaminated"))
+    return _without(docs, lambda rows, row: judged(contamination(rows, bench, row_id=row)).filter("contaminated"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token pieces with their places in sequences."""
-    return packed_digest(docs.select("doc_id", "text"))
+    with batch_rows(spark, BATCH_ROWS):
+        return packed_digest(docs.select("doc_id", "text"))
 
 
 STAGES = [
