@@ -2,10 +2,14 @@
 
 The distinct word windows of all benchmark items go to the executors as a hash set; one
 pass over the documents looks every window of theirs up by a rolling hash, and verifies a
-hit word by word. At most ``MOST_WINDOWS`` windows are broadcast at once: a larger
-benchmark is cut into slices, each of which scans the documents, and the hits are merged.
+hit word by word. At most about ``MOST_WINDOWS`` windows are broadcast at once: a
+larger benchmark is cut into slices, each of which scans the documents, and the hits are
+merged. What goes out is a window and its number; which items have it, however many, is
+joined to the numbers that were hit.
 """
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +28,7 @@ _WORD_BYTES = bytes(
 )
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
-HITS = "row_id long, doc_id {id}, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+HITS = "row_id long, doc_id {id}, n_words long, spans array<struct<start:long,end:long>>, numbers array<long>"
 
 
 def item_words(text: bytes) -> list[bytes]:
@@ -38,16 +42,16 @@ class _Zero(dict):
 
 
 class Windows:
-    """The windows of one slice: per length their hashes, and what items each belongs to."""
+    """The windows of one slice: per length their hashes, and the number of each."""
 
-    def __init__(self, rows: list[tuple[list[bytes], list[str]]]):
+    def __init__(self, rows: list[tuple[bytes, int]]):
         self.ids = _Zero()
-        self.items: dict[tuple[int, ...], list[str]] = {}
-        for window, items in rows:
-            key = tuple(self.ids.setdefault(w, len(self.ids) + 1) for w in window)
-            self.items[key] = items
+        self.numbers: dict[tuple[int, ...], int] = {}
+        for window, number in rows:
+            key = tuple(self.ids.setdefault(w, len(self.ids) + 1) for w in window.split(b" "))
+            self.numbers[key] = number
         by_length: dict[int, list[tuple[int, ...]]] = {}
-        for key in self.items:
+        for key in self.numbers:
             by_length.setdefault(len(key), []).append(key)
         self.hashes = {
             n: np.unique(self._rolled(np.array(keys, np.uint64).T)) for n, keys in sorted(by_length.items())
@@ -60,13 +64,13 @@ class Windows:
             total = column.copy() if total is None else total * _BASE + column
         return total
 
-    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list[str]]:
-        """Merged spans [start, end) of hit words, and the items, sorted as strings."""
+    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list[int]]:
+        """Merged spans [start, end) of hit words, and the numbers of the windows, sorted."""
         n = len(words)
         ids = np.fromiter(map(self.ids.__getitem__, words), np.uint64, n)
         unknown = np.concatenate([[0], np.cumsum(ids == 0)])
         marks = np.zeros(n + 1, np.int64)
-        items: set[str] = set()
+        numbers: set[int] = set()
         for width, hashes in self.hashes.items():
             if n < width:
                 break
@@ -77,16 +81,26 @@ class Windows:
             near = np.searchsorted(hashes, rolled)
             near[near == len(hashes)] = 0
             for start in at[hashes[near] == rolled].tolist():
-                found = self.items.get(tuple(ids[start : start + width].tolist()))
+                found = self.numbers.get(tuple(ids[start : start + width].tolist()))
                 if found is not None:
-                    items.update(found)
+                    numbers.add(found)
                     marks[start] += 1
                     marks[start + width] -= 1
-        if not items:
+        if not numbers:
             return [], []
         hit = np.concatenate([[False], np.cumsum(marks)[:n] > 0, [False]])
         edges = np.flatnonzero(hit[1:] != hit[:-1]).reshape(-1, 2)
-        return [(int(a), int(b)) for a, b in edges], sorted(items)
+        return [(int(a), int(b)) for a, b in edges], sorted(numbers)
+
+
+#: The last slice that this worker has prepared, and what it was made of.
+_prepared: list = [None, None]
+
+
+def _known(rows) -> Windows:
+    if _prepared[0] is not rows:
+        _prepared[:] = rows, Windows(rows)
+    return _prepared[1]
 
 
 def _windows_of(width: int):
@@ -109,31 +123,31 @@ def _windows_of(width: int):
 
 def _scan(windows, id_type):
     def run(batches):
-        known = Windows(windows.value)
+        known = _known(windows.value)
         for batch in batches:
-            counts, spans, items = [], [], []
+            counts, spans, numbers = [], [], []
             for text in as_bytes(batch.column("text")):
                 got = item_words(text)
                 s, i = known.hits(got)
                 counts.append(len(got))
                 spans.append([{"start": a, "end": b} for a, b in s])
-                items.append(i)
+                numbers.append(i)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("row_id"),
                     batch.column("doc_id"),
                     pa.array(counts, pa.int64()),
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    pa.array(items, pa.list_(pa.string())),
+                    pa.array(numbers, pa.list_(pa.int64())),
                 ],
-                ["row_id", "doc_id", "n_words", "spans", "items"],
+                ["row_id", "doc_id", "n_words", "spans", "numbers"],
             )
 
     return run
 
 
 def _merge(batches):
-    """Spans of several slices into disjoint ones, items into a sorted set."""
+    """Spans of several slices into disjoint ones."""
     for batch in batches:
         rows = batch.to_pylist()
         for row in rows:
@@ -143,7 +157,7 @@ def _merge(batches):
                     merged[-1]["end"] = max(merged[-1]["end"], span["end"])
                 else:
                     merged.append(dict(span))
-            row["spans"], row["items"] = merged, sorted(set(row["items"]))
+            row["spans"] = merged
         yield pa.RecordBatch.from_pylist(rows, batch.schema)
 
 
@@ -177,29 +191,25 @@ def contamination(
         .mapInArrow(_windows_of(width), "item string, window binary")
         .distinct()
     )
-    slices = max(1, -(-windows.count() // most_windows))
+    numbered = pin(windows.select("window").distinct().withColumn("number", F.monotonically_increasing_id()))
+    slices = max(1, -(-numbered.count() // most_windows))
     parts = []
     for k in range(slices):
-        mine = windows.filter(F.pmod(F.xxhash64("window"), F.lit(slices)) == k)
-        held: dict[bytes, list[str]] = {}
-        for row in mine.toLocalIterator():
-            held.setdefault(bytes(row.window), []).append(row.item)
-        sent = spark.sparkContext.broadcast([(w.split(b" "), sorted(i)) for w, i in sorted(held.items())])
-        parts.append(texts.mapInArrow(_scan(sent, id_type), HITS.format(id=id_type)))
-    if slices == 1:
-        return parts[0]
+        mine = numbered.filter(F.pmod(F.xxhash64("window"), F.lit(slices)) == k)
+        held = [(bytes(row.window), row.number) for row in mine.toLocalIterator()]
+        sent = spark.sparkContext.broadcast(held)
+        parts.append(pin(texts.mapInArrow(_scan(sent, id_type), HITS.format(id=id_type))))
+        sent.destroy()
     found = parts[0].select("row_id", "doc_id", "n_words")
-    hits = parts[0].select("row_id", "spans", "items")
-    for part in parts[1:]:
-        hits = hits.unionByName(part.select("row_id", "spans", "items"))
-    hits = (
-        hits.filter(F.size("items") > 0)
-        .groupBy("row_id")
-        .agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-        .mapInArrow(_merge, "row_id long, spans array<struct<start:long,end:long>>, items array<string>")
-    )
+    hits = reduce(DataFrame.unionByName, (p.filter(F.size("numbers") > 0) for p in parts))
+    spans = hits.select("row_id", "spans")
+    if slices > 1:
+        together = spans.groupBy("row_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        spans = together.mapInArrow(_merge, "row_id long, spans array<struct<start:long,end:long>>")
+    said = hits.select("row_id", F.explode("numbers").alias("number")).join(numbered, "number").join(windows, "window")
+    items = said.groupBy("row_id").agg(F.array_sort(F.collect_set("item")).alias("items"))
     none = F.array().cast("array<struct<start:long,end:long>>")
-    return found.join(hits, "row_id", "left").select(
+    return found.join(spans.join(items, "row_id"), "row_id", "left").select(
         "row_id",
         "doc_id",
         "n_words",
