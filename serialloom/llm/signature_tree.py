@@ -21,10 +21,15 @@ LEAF, FAN = 16, 8
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     """A row of uint64 words per set; as many bits as the largest set needs to stay sparse."""
     bits = 1 << max(8, int(np.ceil(np.log2(max(1, 3 * max(map(len, sets)))))))
-    out = np.zeros((len(sets), bits), bool)
-    for row, tokens in zip(out, sets, strict=True):
-        row[tokens.view(np.uint64) & np.uint64(bits - 1)] = True
-    return np.packbits(out, axis=1).view(np.uint64)
+    out = np.empty((len(sets), bits // 8), np.uint8)
+    # a byte per bit for one set at a time
+    row = np.zeros(bits, bool)
+    for k, tokens in enumerate(sets):
+        at = tokens.view(np.uint64) & np.uint64(bits - 1)
+        row[at] = True
+        out[k] = np.packbits(row)
+        row[at] = False
+    return out.view(np.uint64)
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
