@@ -1,6 +1,7 @@
 """What several of the operators share: reading tables, row ids, Arrow helpers, words."""
 
-from contextlib import contextmanager
+import ctypes
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,24 @@ def batch_rows(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
+def trimmed(run):
+    """A function over batches that, when it is done, gives back what it has freed.
+
+    A worker outlives its tasks and takes those of later stages; what it keeps of a task's
+    memory is added to what these need.
+    """
+
+    def runs(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return runs
+
+
 def pick_rows(docs: DataFrame, ids: DataFrame, how: str, key: str = "row_id") -> DataFrame:
     """``docs`` with (left_semi) or without (left_anti) these rows; ``ids`` is a written table."""
     small = ids.count() <= BROADCAST_ROWS

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.pin import pin
-from .common import remainder, sorted_groups
+from .common import remainder, sorted_groups, trimmed
 
 BUCKETS, CENTROIDS = 1 << 13, 4
 #: About so many rows of each language are what the model is fitted on.
@@ -186,7 +186,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     kind = docs.schema[key].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(model)  # CENTROIDS x BUCKETS numbers a language
     return docs.select(key, F.col(text).cast("string").alias("text")).mapInArrow(
-        _predict(sent), f"{key} {kind}, lang_pred string, score double, rejected boolean"
+        trimmed(_predict(sent)), f"{key} {kind}, lang_pred string, score double, rejected boolean"
     )
 
 
@@ -203,7 +203,7 @@ def _accepted(model, text: str):
 def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The documents that ``identify`` does not reject, with all their columns."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_accepted(sent, text), docs.schema)
+    return docs.mapInArrow(trimmed(_accepted(sent, text)), docs.schema)
 
 
 def learning_rows(docs: DataFrame) -> DataFrame:

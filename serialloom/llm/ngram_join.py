@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.pin import pin
-from .common import Known, as_bytes, by_size, numbered_rows, pick_rows, sorted_groups, words
+from .common import Known, as_bytes, by_size, numbered_rows, pick_rows, sorted_groups, trimmed, words
 from .components import components
 from .signature_tree import links
 
@@ -219,7 +219,7 @@ def _search(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     full = rows.join(sets, "row_id")
     dealt = full.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two", "row_id")
     wanted = dealt.select("token", "one", "two", "other", "row_id", "component", "tokens")
-    return wanted.mapInArrow(_tree_links(percent), "a long, b long")
+    return wanted.mapInArrow(trimmed(_tree_links(percent)), "a long, b long")
 
 
 def near_duplicates(
@@ -244,7 +244,7 @@ def near_duplicates(
     texts = docs.select("row_id", "text")
     both = pin(
         texts.mapInArrow(
-            _facts(percent, width), "row_id long, n long, d1 long, d2 long, token long, times long"
+            trimmed(_facts(percent, width)), "row_id long, n long, d1 long, d2 long, token long, times long"
         )
     )
     facts = both.filter("row_id IS NOT NULL").select("row_id", "n", "d1", "d2")
@@ -276,11 +276,11 @@ def near_duplicates(
     classes = pin(classes)
     one_each = pin(classes.filter("n > 0").select("row_id"))
     prefixes = pick_rows(texts, one_each, "left_semi").mapInArrow(
-        _prefixes(percent, width, frequent), "token long, spread long, row_id long"
+        trimmed(_prefixes(percent, width, frequent)), "token long, spread long, row_id long"
     )
     hits = pin(
         prefixes.repartition("token", "spread").sortWithinPartitions("token").mapInArrow(
-            _neighbours, "token long, row_id long"
+            trimmed(_neighbours), "token long, row_id long"
         )
     )
     frequent.destroy()
@@ -291,7 +291,7 @@ def near_duplicates(
     grouped = pin(hits.join(_met(hits), "token"))
     sets = pin(
         pick_rows(texts, pin(grouped.select("row_id").distinct()), "left_semi").mapInArrow(
-            _sets(width), "row_id long, tokens binary"
+            trimmed(_sets(width)), "row_id long, tokens binary"
         )
     )
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.pin import pin
-from .common import by_size
+from .common import by_size, trimmed
 from .tokens import default_path, encoder
 
 CAPACITY, END_ID = 1024, 2
@@ -68,7 +68,7 @@ def token_pieces(
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col(text).cast("string").alias("text")).mapInArrow(
-        _cut(tokenizer or default_path(), end_id, capacity),
+        trimmed(_cut(tokenizer or default_path(), end_id, capacity)),
         f"doc_id {kind}, piece int, start long, length long, task int, local long, ids binary",
     )
 
