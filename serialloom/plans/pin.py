@@ -1,10 +1,15 @@
 """Materialise an intermediate table that several outputs share."""
 
 import tempfile
+from contextlib import contextmanager
+from contextvars import ContextVar
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where tables are pinned while a scratch folder is open.
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``, a folder that all executors share.
@@ -22,12 +27,31 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def pin(df: DataFrame) -> DataFrame:
+def pin(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Write the rows as a Parquet table in the shared folder and read that instead.
 
     This cuts the lineage, and unlike a checkpoint of rows it keeps column
     pruning and real sizes for what is built on it.
     """
-    path = f"{shared_folder(df.sparkSession)}/pinned-{uuid4().hex}"
+    folder = folder or _scratch.get() or shared_folder(df.sparkSession)
+    path = f"{folder}/pinned-{uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables pinned inside are removed at the end.
+
+    What is to outlast them must be written before that, to a folder that is named: the
+    value here is the one that was used outside.
+    """
+    outside = _scratch.get() or shared_folder(spark)
+    folder = f"{outside}/scratch-{uuid4().hex}"
+    opened = _scratch.set(folder)
+    try:
+        yield outside
+    finally:
+        _scratch.reset(opened)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -114,3 +114,24 @@ def test_numbered_is_a_permutation_in_order(spark, items):
     for key in "abc":
         mine = sorted((r.at, r.n) for r in got.where(F.col("k") == key).collect())
         assert [n for _, n in mine] == list(range(1, len(mine) + 1))
+
+
+def test_a_scratch_folder_leaves_nothing_behind(spark):
+    from pathlib import Path
+
+    from serialloom.plans.pin import pin, scratch, shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    with scratch(spark) as outside:
+        inner = pin(spark.range(5).toDF("n"))
+        with scratch(spark):
+            kept_inside = pin(inner.where("n > 1"), None)
+            assert kept_inside.count() == 3
+        kept = pin(inner.where("n > 2"), outside)
+    assert kept.count() == 2
+    assert len(set(folder.iterdir()) - before) == 1
+    with pytest.raises(RuntimeError), scratch(spark):
+        pin(spark.range(5))
+        raise RuntimeError
+    assert len(set(folder.iterdir()) - before) == 1
