@@ -13,22 +13,24 @@ from serialloom.llm.exact_dedup import exact_duplicates
 from serialloom.llm.language_id import accepted, learning_rows, train
 from serialloom.llm.ngram_join import near_duplicates
 from serialloom.llm.packing import packed_digest
-from serialloom.plans.pin import pin
+from serialloom.plans.pin import pin, scratch
 
 #: Rows of an Arrow batch; a worker holds few texts at a time, whatever stage it ran before.
 BATCH_ROWS = 1_000
 
 
 def _without(docs: DataFrame, dropped) -> DataFrame:
-    """The documents but those that ``dropped`` gives the row numbers of.
+    """The documents but those that ``dropped`` gives the row numbers of. Only these and the
+    numbered documents outlast it; what it pinned on the way is removed.
 
     ``dropped`` takes a table of row, doc_id and text, and the name of the row column.
     """
-    row = free_name(docs, "pipeline_row")
+    spark, row = docs.sparkSession, free_name(docs, "pipeline_row")
     rows = with_row_id(docs, row)
-    with batch_rows(docs.sparkSession, BATCH_ROWS):
-        ids = pin(dropped(rows.select(row, "doc_id", "text"), row).select(F.col("row_id").alias(row)))
-        return pick_rows(rows, ids, "left_anti", row).drop(row)
+    with batch_rows(spark, BATCH_ROWS), scratch(spark) as outside:
+        found = dropped(rows.select(row, "doc_id", "text"), row)
+        ids = pin(found.select(F.col("row_id").alias(row)), outside)
+    return pick_rows(rows, ids, "left_anti", row).drop(row)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
