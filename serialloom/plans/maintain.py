@@ -193,17 +193,17 @@ def _latest(pages: DataFrame, wanted: DataFrame) -> DataFrame:
 
     Which fetch that is, is decided on urls and times alone; only those pages are read and
     moved. Of several at one moment, or without ``fetched_at``, the one with the greatest
-    hash is taken.
+    hash is taken. Pages are never broadcast, however small a guess at their size may be: they
+    are the left side of joins with narrow tables, and only a right side is.
     """
-    urls = wanted.select("url").distinct()
-    found = pages
+    found = pages.join(wanted.select("url").distinct(), "url", "left_semi")
     if "fetched_at" in pages.columns:
-        last = pages.join(urls, "url", "left_semi").groupBy("url").agg(F.max("fetched_at").alias("_last"))
-        found = pages.join(last.withColumnRenamed("url", "_url"), (F.col("url") == F.col("_url")) & F.col("fetched_at").eqNullSafe(F.col("_last")))
-    else:
-        found = pages.join(urls, "url", "left_semi")
+        last = pin(found.groupBy("url").agg(F.max("fetched_at").alias("_last"))).withColumnRenamed("url", "_url")
+        same = (F.col("url") == F.col("_url")) & F.col("fetched_at").eqNullSafe(F.col("_last"))
+        found = pages.join(last, same, "left_semi")
     one = found.groupBy("url").agg(F.max_by("html", F.xxhash64("html")).alias("html"))
-    return wanted.join(one, "url")
+    # as good as an inner join, since every page left is wanted
+    return one.join(wanted, "url", "left").select(*wanted.columns, "html")
 
 
 def _parse_index_pages(

@@ -1,5 +1,6 @@
 """Routing, ignore lists, assets, tool logs, sinks, the stream and whole jobs."""
 
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -10,6 +11,7 @@ from serialloom import schemas
 from serialloom.fixed_values import COMPAT_HOSTS
 from serialloom.operators import assets, ignore, routing
 from serialloom.operators.toollog import classify_tool_log
+from serialloom.plans import maintain
 from serialloom.plans.maintain import Crawled, Stored, create_books, render_texts, stash_and_recreate, update_books
 from serialloom.sinks import tables
 from serialloom.sinks.blobs import Blobs
@@ -322,3 +324,19 @@ def test_every_url_has_an_outcome(spark):
         ("Skipped", None, f"another url of the book 12345: {site}/12345/y"), ("Unsupported", None, None), ("Updated", 1, None)]
     assert values(run.chapters, "identifier", "url") == [("7", "https://s.example/7")]
     assert values(run.new_content, "content") == [("text",)]
+
+
+def test_pages_are_never_broadcast(spark, capsys):
+    # Spark knows how small these are
+    pages = spark.sql(
+        "SELECT * FROM VALUES ('u1', '<p>a</p>', TIMESTAMP '2024-01-01'), ('u1', '<p>b</p>', TIMESTAMP '2024-01-02'),"
+        " ('u2', '<p>c</p>', NULL) t(url, html, fetched_at)"
+    )
+    wanted = spark.sql("SELECT * FROM VALUES ('u1', 'b1'), ('u1', 'b2'), ('u2', 'b3'), ('u3', 'b4') t(url, book_id)")
+    for given in (pages, pages.where("url = 'u2'").drop("fetched_at")):
+        found = maintain._latest(given, wanted)
+        found.explain("formatted")
+        broadcasts = re.findall(r"\) BroadcastExchange\nInput \[\d+\]: \[(.*)\]", capsys.readouterr().out)
+        assert not [b for b in broadcasts if "html" in b]
+        right = {("b1", "<p>b</p>"), ("b2", "<p>b</p>"), ("b3", "<p>c</p>")} if "fetched_at" in given.columns else {("b3", "<p>c</p>")}
+        assert {(r.book_id, r.html) for r in found.collect()} == right
