@@ -1,9 +1,12 @@
 import zipfile
 from datetime import datetime
+from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from conftest import values
 
+from serialloom.queries.ingest import _write_tree
 from serialloom.sources import archives, files, listing
 from serialloom.sources.chapter_pages import (
     CHAPTER_NOTICES,
@@ -260,3 +263,14 @@ def test_a_walk_sees_all_names(spark, tmp_path):
     assert values(rules, "line_no", "pattern") == [(0, "h.epub"), (0, "y/*"), (1, "!f.epub"), (1, "# no"), (2, ""), (2, "")]
     shown = {r.path.removeprefix(f"{root}/") for r in listing.scan_library(spark, [str(root)]).collect()}
     assert shown == {"a.epub", "_b.epub", "x/_e.epub", "x/y/f.epub"}
+
+
+def test_ignore_lists_of_a_tree_are_written_once_per_task(tmp_path, monkeypatch):
+    written = []
+    write = Path.write_text
+    monkeypatch.setattr(Path, "write_text", lambda self, text: (written.append(self), write(self, text)))
+    batch = pa.RecordBatch.from_pydict({"o_orderkey": [8, 16, 11, 22], "o_orderstatus": ["F", "F", "F", "O"]})
+    assert [b.num_rows for b in _write_tree(str(tmp_path))(iter([batch, batch]))] == [4, 4]
+    assert len(written) == 6  # three shelves, each with the list of the folder above
+    names = {str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file() and p.name != ".autignore"}
+    assert names == {"F/shelf0/8.epub", "F/shelf0/16.epub", "F/shelf3/11.epub", "O/shelf2/22.epub"}
