@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..fixed_values import NATIVE_BOOK_PREFIX
 from ..plans.pin import shared_folder
+from ..sources.elements import slices
 
 RUN_TS = datetime(2024, 6, 1, 12, 30)
 
@@ -241,7 +242,7 @@ def compat_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _zip_books(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, "text")):
         paths, contents = [], []
         for doc, text, source in zip(*batch.to_pydict().values()):
             body = escape(text)

@@ -49,7 +49,7 @@ _ARROW_ENTRIES = pa.schema(
         for f in ENTRIES.fields
     ]
 )
-_BATCH_ROWS, _BATCH_BYTES = 2_000, 16_000_000
+_BATCH_ROWS, _BATCH_BYTES = 2_000, 4_000_000
 
 
 def _local(element) -> str:

@@ -15,7 +15,7 @@ from serialloom.sources.chapter_pages import (
     split_notices,
 )
 from serialloom.sources.compat import ingest_compat_chapters
-from serialloom.sources.elements import Rule, pick
+from serialloom.sources.elements import Rule, pick, slices
 from serialloom.sources.feeds import ingest_feeds
 from serialloom.sources.fiction import ingest_fiction_pages
 
@@ -274,3 +274,11 @@ def test_ignore_lists_of_a_tree_are_written_once_per_task(tmp_path, monkeypatch)
     assert len(written) == 6  # three shelves, each with the list of the folder above
     names = {str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file() and p.name != ".autignore"}
     assert names == {"F/shelf0/8.epub", "F/shelf0/16.epub", "F/shelf3/11.epub", "O/shelf2/22.epub"}
+
+
+def test_batches_are_taken_apart_by_bytes():
+    batch = pa.RecordBatch.from_pydict({"html": ["a" * 6, None, "b" * 3, "c" * 30, "", "é"]})
+    parts = list(slices(batch, "html", 10))
+    assert [p.num_rows for p in parts] == [3, 1, 2]
+    assert [r for p in parts for r in p.column("html").to_pylist()] == batch.column("html").to_pylist()
+    assert [p.num_rows for p in slices(batch.slice(0, 0), "html")] == [0]
