@@ -1,17 +1,21 @@
 """Hidden Markov chains over symbols, in numpy: exact forward, Baum-Welch counts.
 
 Sequences are run side by side, sorted by length, so that a step in time is one small
-matrix product for all that are still running. The forward recursion is scaled: each step
-is normalised, and the logarithms of the norms add up to the sequence's likelihood. For
-Baum-Welch only the forward rows of one stretch of time are held; those before are made
-again from the row where the stretch starts, so memory doesn't grow with a sequence.
+matrix product for all that are still running. What doesn't depend on the step before is
+done for a whole stretch of time at once: looking up emissions, and adding up what is
+expected. The forward recursion is scaled every few steps, and where a sequence ends; the
+logarithms of the norms add up to its likelihood. For Baum-Welch only the forward rows of
+one stretch are held; those before are made again from the row where the stretch starts,
+so memory doesn't grow with a sequence.
 """
 
 import numpy as np
 
-STRETCH = 2048
-#: Sequences run side by side; fewer when they are long.
-BESIDE, CELLS = 512, 600_000
+#: Steps of a stretch; rows are scaled at its end, and every SCALED steps.
+STRETCH, SCALED = 128, 4
+#: Sequences run side by side; fewer when they are long, for the rows of a stretch and the
+#: symbols of the whole.
+BESIDE, CELLS, LAID_OUT = 2048, 200_000, 12_000_000
 
 
 class Chain:
@@ -35,45 +39,105 @@ def _beside(sequences: list[np.ndarray]):
     order = sorted((i for i, s in enumerate(sequences) if len(s)), key=lambda i: -len(sequences[i]))
     at = 0
     while at < len(order):
-        n = max(1, min(BESIDE, CELLS // len(sequences[order[at]])))
+        longest = len(sequences[order[at]])
+        n = max(1, min(BESIDE, CELLS // min(longest, STRETCH), LAID_OUT // longest))
         yield order[at : at + n]
         at += n
 
 
-def _steps(chain: Chain, alpha, symbols, live, first: bool, keep: bool):
-    """Forward over symbols (time x sequences); live[t] sequences run at t. Returns alpha, logs, rows."""
-    logs, rows, norms = np.zeros(symbols.shape[1]), [], []
-    for t in range(len(symbols)):
-        n = live[t]
-        a = chain.start if first and t == 0 else alpha[:n] @ chain.move
-        a = a * chain.emit[symbols[t, :n]]
-        norm = a.sum(axis=1)
-        a /= norm[:, None]
-        logs[:n] += np.log(norm)
-        alpha = a if n == len(alpha) else np.concatenate([a, alpha[n:]])
-        if keep:
-            rows.append(a)
-            norms.append(norm)
-    return alpha, logs, rows, norms
-
-
 def _laid_out(sequences: list[np.ndarray]):
-    """(symbols, live): time by sequence, longest first, and how many run at each time."""
+    """(symbols, live): time by sequence, longest first, and how many run at each time; none
+    after the last."""
     lengths = np.array([len(s) for s in sequences])
-    symbols = np.zeros((lengths[0], len(sequences)), np.int32)
+    symbols = np.zeros((lengths[0], len(sequences)), sequences[0].dtype)
     for i, s in enumerate(sequences):
         symbols[: len(s), i] = s
-    live = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
+    live = np.searchsorted(-lengths, -np.arange(lengths[0] + 1), side="left")
     return symbols, live
 
 
+class _Stretch:
+    """The forward rows of one stretch of time, one after the other; ``live`` has one entry
+    more than ``symbols``, for the step behind the stretch."""
+
+    def __init__(self, chain: Chain, symbols: np.ndarray, live: np.ndarray, head: np.ndarray | None, logs: np.ndarray):
+        self.chain, self.live, self.head = chain, live.tolist(), head
+        runs = np.arange(symbols.shape[1])
+        self.running = runs < live[:-1, None]
+        self.symbols = symbols[self.running].astype(np.intp)
+        self.ends = np.cumsum(live[:-1]).tolist()
+        self.emitted = chain.emit.take(self.symbols, axis=0)
+        self.alpha = np.empty_like(self.emitted)
+        self.norms: dict[int, np.ndarray] = {}
+        #: by step, the sums of the rows of sequences that end there
+        self.last: dict[int, np.ndarray] = {}
+        ones, before = np.ones(len(chain.start)), head
+        for t in range(len(symbols)):
+            n, after = self.live[t], self.live[t + 1]
+            a = self.alpha[self.ends[t] - n : self.ends[t]]
+            if before is None:
+                a[:] = chain.start
+            else:
+                np.matmul(before[:n], chain.move, out=a)
+            a *= self.emitted[self.ends[t] - n : self.ends[t]]
+            if (t + 1) % SCALED == 0 or t + 1 == len(symbols):
+                self.norms[t] = norm = a @ ones
+                a /= norm[:, None]
+                logs[:n] += np.log(norm)
+            if after < n:
+                self.last[t] = rest = a[after:] @ ones
+                logs[after:n] += np.log(rest)
+            before = a
+        self.tail = before.copy()
+
+    def add_to(self, counts: "Counts", beta: np.ndarray | None) -> np.ndarray:
+        """Add what is expected in this stretch; ``beta`` is of its last step, for sequences
+        that go on behind it. Returns that of the step before the stretch."""
+        chain, ahead, live = self.chain, self.emitted, self.live
+        betas = np.empty_like(self.alpha)
+        back, moved = beta, np.ascontiguousarray(chain.move.T)
+        for t in range(len(self.ends) - 1, -1, -1):
+            n, after = live[t], live[t + 1]
+            rows = slice(self.ends[t] - n, self.ends[t])
+            b = betas[rows]
+            if after and back is not None:
+                b[:after] = back
+            if after < n:
+                b[after:] = 1 / self.last[t][:, None]
+            # what the state before must move to, and emit here
+            ahead[rows] *= b
+            if t in self.norms:
+                ahead[rows] /= self.norms[t][:, None]
+            if t:
+                back = np.matmul(ahead[rows], moved, out=betas[self.ends[t - 1] - live[t - 1] :][:n])
+        first = live[0]
+        goes_on = (np.arange(self.running.shape[1]) < np.array(live[1:])[:, None])[self.running]
+        goes_on[self.ends[-1] - live[-2] :] = False
+        before = self.alpha.take(np.flatnonzero(goes_on), axis=0)
+        counts.move += chain.move * (before.T @ ahead[first:])
+        if self.head is not None:
+            counts.move += chain.move * (self.head[:first].T @ ahead[:first])
+        gamma = np.multiply(self.alpha, betas, out=betas)
+        if self.head is None:
+            counts.start += gamma[:first].sum(axis=0)
+        for k, of_state in enumerate(np.ascontiguousarray(gamma.T)):
+            counts.emit[:, k] += np.bincount(self.symbols, of_state, len(counts.emit))
+        return ahead[:first] @ moved
+
+
+def _cuts(symbols: np.ndarray) -> range:
+    return range(0, len(symbols), STRETCH)
+
+
 def log_likelihoods(chain: Chain, sequences: list[np.ndarray]) -> np.ndarray:
     """Natural logarithm of each sequence's probability; 0 for empty ones."""
     out = np.zeros(len(sequences))
     for group in _beside(sequences):
         symbols, live = _laid_out([sequences[i] for i in group])
-        alpha = np.zeros((len(group), len(chain.start)))
-        out[group] = _steps(chain, alpha, symbols, live, True, False)[1]
+        logs, head = np.zeros(len(group)), None
+        for at in _cuts(symbols):
+            head = _Stretch(chain, symbols[at : at + STRETCH], live[at : at + STRETCH + 1], head, logs).tail
+        out[group] = logs
     return out
 
 
@@ -90,37 +154,22 @@ class Counts:
 
     def _add(self, chain: Chain, sequences: list[np.ndarray]):
         symbols, live = _laid_out(sequences)
-        states, beside = len(chain.start), len(sequences)
-        alpha, heads = np.zeros((beside, states)), []
-        cuts = range(0, len(symbols), STRETCH)
-        for at in cuts:
-            heads.append(alpha)
-            alpha, logs, *_ = last = _steps(
-                chain, alpha, symbols[at : at + STRETCH], live[at : at + STRETCH], at == 0, at == cuts[-1]
-            )
-            self.log += logs.sum()
-        beta = np.ones((beside, states))
-        for at, head in zip(reversed(cuts), reversed(heads), strict=True):
-            part, alive = symbols[at : at + STRETCH], live[at : at + STRETCH]
-            _, _, rows, norms = last if at == cuts[-1] else _steps(chain, head, part, alive, at == 0, True)
-            seen = []
-            for t in range(len(part) - 1, -1, -1):
-                n = alive[t]
-                gamma = rows[t] * beta[:n]
-                seen.append(gamma)
-                # what the state before must move to, and emit here
-                ahead = chain.emit[part[t, :n]] * beta[:n] / norms[t][:, None]
-                if t or at:
-                    before = rows[t - 1][:n] if t else head[:n]
-                    self.move += chain.move * (before.T @ ahead)
-                    back = ahead @ chain.move.T
-                    beta = back if n == len(beta) else np.concatenate([back, beta[n:]])
-                else:
-                    self.start += gamma.sum(axis=0)
-            flat = np.concatenate([part[t, : alive[t]] for t in range(len(part) - 1, -1, -1)])
-            gammas = np.concatenate(seen)
-            for k in range(states):
-                self.emit[:, k] += np.bincount(flat, gammas[:, k], len(self.emit))
+
+        def stretch(at: int, head: np.ndarray | None, logs: np.ndarray) -> _Stretch:
+            return _Stretch(chain, symbols[at : at + STRETCH], live[at : at + STRETCH + 1], head, logs)
+
+        logs, heads, head, last = np.zeros(len(sequences)), [], None, None
+        for at in _cuts(symbols):
+            heads.append(head)
+            last = None  # only one stretch is held
+            last = stretch(at, head, logs)
+            head = last.tail
+        self.log += logs.sum()
+        beta, unused = None, np.zeros(len(sequences))
+        for at, head in zip(reversed(_cuts(symbols)), reversed(heads), strict=True):
+            part = stretch(at, head, unused) if last is None else last
+            last = None
+            beta = part.add_to(self, beta)
 
     def chain(self, frequency: np.ndarray, pull: float = 200.0) -> Chain:
         """The re-estimated chain; emissions are pulled towards the frequencies, so none is 0."""

@@ -14,11 +14,12 @@ from math import log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.pin import pin
-from .common import as_bytes, remainder, words
+from .common import as_bytes, by_size, remainder
 from .hidden_markov import Chain, Counts, log_likelihoods
 
 STATES, CLASSES = 6, 256
@@ -38,26 +39,36 @@ def class_of(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % CLASSES
 
 
-def _tokens(text: bytes) -> list[bytes]:
-    return [*words(text), END]
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts, A-Z lower-cased, and how many there are up to each text's end."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    parts = found.flatten()
+    # white space at either end of a text leaves an empty part there
+    real = pc.binary_length(parts).to_numpy() > 0
+    ends = np.concatenate([[0], np.cumsum(real)])[found.offsets.to_numpy()[1:]]
+    return parts.filter(pa.array(real)).cast(pa.binary()), ends
 
 
 def _count(batches):
-    seen: dict[bytes, int] = {}
-
-    def rows():
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "c"]
-        )
-
-    for batch in batches:
-        for text in as_bytes(batch.column("text")):
-            for word in _tokens(text):
-                seen[word] = seen.get(word, 0) + 1
-            if len(seen) > COUNTED:
-                yield rows()
-                seen.clear()
-    yield rows()
+    held, n = [], 0
+
+    def summed():
+        return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"])
+
+    for part in by_size(batches):
+        found, ends = _split(part.column("text"))
+        counts = found.value_counts()
+        held.append(pa.table({"word": counts.field("values"), "c": counts.field("counts")}))
+        held.append(pa.table({"word": pa.array([END], pa.binary()), "c": pa.array([len(ends)], pa.int64())}))
+        n += len(counts)
+        if n > COUNTED:
+            held = [summed()]
+            n = held[0].num_rows
+            if n > COUNTED:
+                yield from held.pop().to_batches()
+                n = 0
+    if held:
+        yield from summed().to_batches()
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -65,21 +76,15 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-class _Places(dict):
-    """Words with their place; others have -1 less their class."""
-
-    def __missing__(self, word):
-        return -1 - class_of(word)
-
-
 class Vocabulary:
     """Frequent words with their place, symbol and count, and what the others share."""
 
     def __init__(self, held: list[tuple[bytes, int]], shares: dict[int, int], total: int, distinct: int):
         self.total, self.distinct = total, distinct
         self.n_own = min(SYMBOLS, len(held))
-        self.places = _Places((word, i) for i, (word, _) in enumerate(held))
-        self.counts = np.array([c for _, c in held], np.int64)
+        self.words = pa.array([word for word, _ in held], pa.binary())
+        #: by place, log10 of a word's count and 1
+        self.logs = np.log10(np.array([c for _, c in held], np.int64) + 1.0)
         classes = [self.n_own + class_of(word) for word, _ in held[self.n_own :]]
         # behind the held words, the classes of the others, last first, as -1 stands for class 0
         behind = self.n_own + np.arange(CLASSES)[::-1]
@@ -89,37 +94,70 @@ class Vocabulary:
             mass[k] += v
         #: log10 of what a class's words are shares of
         self.log_mass = np.log10(mass)
-        own = np.concatenate([self.counts[: self.n_own], mass])
+        own = np.concatenate([np.array([c for _, c in held[: self.n_own]], np.int64), mass])
         self.frequency = own / own.sum()
         #: the smallest kind of numbers that holds every symbol
         self.packed = np.min_scalar_type(len(own))
 
+    def _places(self, tokens: pa.Array) -> np.ndarray:
+        """Of held words their place, of others -1 less their class."""
+        places = pc.fill_null(pc.index_in(tokens, value_set=self.words), -1).to_numpy().astype(np.int64)
+        others = np.flatnonzero(places < 0)
+        if len(others):
+            endings = pc.binary_slice(tokens.take(pa.array(others)), -2).dictionary_encode()
+            classes = np.array([class_of(x) for x in endings.dictionary.to_pylist()], np.int64)
+            places[others] = -1 - classes[endings.indices.to_numpy()]
+        return places
+
     def encode(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(symbols, places); a place below 0 is a word whose count is not held."""
-        places = np.fromiter(map(self.places.__getitem__, tokens), np.int64, len(tokens))
+        places = self._places(pa.array(tokens, pa.binary()))
         return self.symbols[places], places
 
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """(symbols, places, bounds, rare) of all texts one after the other, each with its end.
+
+        Text i is from bounds[i] to bounds[i + 1]; rare are the words that are not held, by text.
+        """
+        found, ends = _split(texts)
+        tokens = pa.concat_arrays([found, pa.array([END], pa.binary())])
+        each = self._places(tokens)
+        last = ends + np.arange(len(ends))
+        source = np.full(len(found) + len(ends), len(found))  # the end, unless a word is there
+        inside = np.ones(len(source), bool)
+        inside[last] = False
+        source[inside] = np.arange(len(found))
+        places, bounds = each[source], np.concatenate([[0], last + 1])
+        unknown = np.flatnonzero(places < 0)
+        rare = pa.ListArray.from_arrays(
+            pa.array(np.searchsorted(unknown, bounds), pa.int32()), tokens.take(pa.array(source[unknown]))
+        )
+        return self.symbols[places], places, bounds, rare
+
 
 def _encode(vocabulary):
     """The symbols of each text, as ``Vocabulary.packed`` numbers."""
 
     def run(batches):
         v = vocabulary.value
-        for batch in batches:
-            packed = [v.encode(_tokens(t))[0].astype(v.packed).tobytes() for t in as_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], ["symbols"])
+        for part in by_size(batches):
+            symbols, _, bounds, _ = v.encode_texts(part.column("text"))
+            packed = symbols.astype(v.packed)
+            at = (bounds * packed.itemsize).astype(np.int32)
+            sequences = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(at), pa.py_buffer(packed)])
+            yield pa.RecordBatch.from_arrays([sequences], ["symbols"])
 
     return run
 
 
-def _expect(vocabulary, chain, states: int):
+def _expect(packed: np.dtype, chain, states: int):
     """Expected counts of a partition: rows of (symbol, s0..); -1 is the start, -2 - i the moves from i."""
 
     def run(batches):
-        v, c = vocabulary.value, chain.value
-        counts = Counts(states, len(v.frequency))
+        c = chain.value
+        counts = Counts(states, len(c.emit))
         for batch in batches:
-            counts.add(c, [np.frombuffer(s, v.packed) for s in as_bytes(batch.column("symbols"))])
+            counts.add(c, [np.frombuffer(s, packed) for s in as_bytes(batch.column("symbols"))])
         met = np.flatnonzero(counts.emit.any(axis=1))
         keys = np.concatenate([met, [-1], -2 - np.arange(states)])
         values = np.concatenate([counts.emit[met], counts.start[None], counts.move])
@@ -131,13 +169,13 @@ def _expect(vocabulary, chain, states: int):
     return run
 
 
-def _baum_welch(encoded: DataFrame, vocabulary, chain: Chain, states: int, n_symbols: int, frequency) -> Chain:
+def _baum_welch(encoded: DataFrame, packed: np.dtype, chain: Chain, states: int, frequency: np.ndarray) -> Chain:
     names = [f"s{k}" for k in range(states)]
     sent = encoded.sparkSession.sparkContext.broadcast(chain)
-    rows = encoded.mapInArrow(_expect(vocabulary, sent, states), "symbol long, " + ", ".join(f"{n} double" for n in names))
+    rows = encoded.mapInArrow(_expect(packed, sent, states), "symbol long, " + ", ".join(f"{n} double" for n in names))
     sums = rows.groupBy("symbol").agg(*(F.sum(n).alias(n) for n in names)).toPandas()  # a row per symbol
     keys, values = sums["symbol"].to_numpy(), sums[names].to_numpy()
-    counts = Counts(states, n_symbols)
+    counts = Counts(states, len(frequency))
     counts.emit[keys[keys >= 0]] = values[keys >= 0]
     for key, value in zip(keys, values, strict=True):
         if key == -1:
@@ -175,36 +213,33 @@ def train(docs: DataFrame, text: str = "text", states: int = STATES, passes: int
     encoded = pin(texts.mapInArrow(_encode(sent), "symbols binary"))
     chain = Chain.random(states, vocabulary.frequency)
     for _ in range(passes):
-        chain = _baum_welch(encoded, sent, chain, states, len(vocabulary.frequency), vocabulary.frequency)
+        chain = _baum_welch(encoded, vocabulary.packed, chain, states, vocabulary.frequency)
     return Model(counts, vocabulary, sent, chain)
 
 
 def _score(vocabulary, chain):
     def run(batches):
         v, c = vocabulary.value, chain.value
-        for batch in batches:
-            sequences, rows = [], []
-            for text in as_bytes(batch.column("text")):
-                tokens = _tokens(text)
-                symbols, places = v.encode(tokens)
-                sequences.append(symbols)
-                held = places >= 0
-                rare = [tokens[i] for i in np.flatnonzero(~held)]
-                logs = np.log10(v.counts[places[held]] + 1.0)
-                shared = symbols[held] >= v.n_own
-                # the rare words' own counts are added later
-                inside = logs[shared].sum() - v.log_mass[symbols[symbols >= v.n_own] - v.n_own].sum()
-                rows.append((len(symbols), int(held.sum()), float(logs.sum()), float(inside), rare))
-            likelihoods = log_likelihoods(c, sequences) / _LN10
+        for part in by_size(batches):
+            symbols, places, bounds, rare = v.encode_texts(part.column("text"))
+            held, shared = places >= 0, symbols >= v.n_own
+            logs = np.zeros(len(places))
+            logs[held] = v.logs[places[held]]
+            # the rare words' own counts are added later
+            inside = np.where(shared, logs, 0.0)
+            inside[shared] -= v.log_mass[symbols[shared] - v.n_own]
+            # every text has its end, so none is empty
+            logs, known, inside = (np.add.reduceat(x, bounds[:-1]) for x in (logs, held.astype(np.int64), inside))
+            sequences = [symbols[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("row_id"),
-                    batch.column("doc_id"),
-                    pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array([r[1] for r in rows], pa.int64()),
-                    pa.array([r[2] for r in rows], pa.float64()),
-                    pa.array([r[3] for r in rows] + likelihoods, pa.float64()) if rows else pa.array([], pa.float64()),
-                    pa.array([r[4] for r in rows], pa.list_(pa.binary())),
+                    part.column("row_id"),
+                    part.column("doc_id"),
+                    pa.array(np.diff(bounds), pa.int64()),
+                    pa.array(known, pa.int64()),
+                    pa.array(logs, pa.float64()),
+                    pa.array(inside + log_likelihoods(c, sequences) / _LN10, pa.float64()),
+                    rare,
                 ],
                 ["row_id", "doc_id", "n_tokens", "known_here", "logs_here", "score_here", "rare"],
             )

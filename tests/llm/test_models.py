@@ -6,6 +6,7 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import plain
 import pytest
 from llm_fixtures import frame, odd_docs, prose  # noqa: F401
@@ -55,6 +56,48 @@ def test_forward_and_counts_are_those_of_all_paths(monkeypatch, stretch):
         assert np.allclose(part, sum(w[k] for w in want))
 
 
+def test_long_sequences_of_many_lengths():
+    chain, rng = small_chain(), np.random.default_rng(4)
+    sequences = [rng.integers(0, 4, n).astype(np.uint16) for n in (3000, 1, 129, 128, 127, 700, 0, 2999)]
+
+    def log_of(sequence):
+        row, log = chain.start, 0.0
+        for t, s in enumerate(sequence):
+            row = (row @ chain.move if t else row) * chain.emit[s]
+            log += np.log(row.sum())
+            row = row / row.sum()
+        return log
+
+    assert np.allclose(log_likelihoods(chain, sequences), [log_of(s) for s in sequences], rtol=1e-12)
+    counts, apart = Counts(3, 4), Counts(3, 4)
+    counts.add(chain, sequences)
+    for s in sequences:
+        apart.add(chain, [s])
+    assert np.isclose(counts.emit.sum(), sum(map(len, sequences)))
+    for name in ("start", "move", "emit", "log"):
+        assert np.allclose(getattr(counts, name), getattr(apart, name), rtol=1e-10)
+
+
+class Watched(np.ndarray):
+    looked_up = 0
+
+    def __getitem__(self, at):
+        Watched.looked_up += 1
+        return np.asarray(self)[at]
+
+    def take(self, at, axis=None):
+        Watched.looked_up += 1
+        return np.asarray(self).take(at, axis)
+
+
+def test_emissions_are_looked_up_by_stretch_not_by_step():
+    chain = small_chain()
+    chain.emit = chain.emit.view(Watched)
+    Watched.looked_up = 0
+    Counts(3, 4).add(chain, [np.zeros(1000, np.int32)] * 3)
+    assert 0 < Watched.looked_up <= 40
+
+
 def test_probabilities_of_all_sequences_sum_to_one():
     every = [np.array(s, np.int32) for s in itertools.product(range(4), repeat=5)]
     assert np.isclose(np.exp(log_likelihoods(small_chain(), every)).sum(), 1)
@@ -113,6 +156,30 @@ def test_lm_scores(frame, odd_docs, prose, monkeypatch, sizes):  # noqa: F811
         assert np.isclose(r.score, want)
 
 
+def test_lm_words_of_many_texts_at_once(monkeypatch):
+    texts = [" a\x0bB\x0c\x1cc ", None, "", "  ", "\u00c4b b\u00a0b\u2003c x" * 3, "a", "\n"] * 3
+    want = [[*plain.words(t), ""] for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    counts = Counter(w.encode() for t in want for w in t)
+    for most in (400_000, 3):
+        monkeypatch.setattr(lm_scoring, "COUNTED", most)
+        got = Counter()
+        for part in lm_scoring._count(batch.slice(i, 1) for i in range(len(texts))):
+            for word, c in zip(*part.to_pydict().values(), strict=True):
+                got[word] += c
+        assert got == counts
+    for n in (len(counts), 2, 0):
+        held = counts.most_common(n)
+        voc = lm_scoring.Vocabulary(held, {}, counts.total(), len(counts))
+        symbols, places, bounds, rare = voc.encode_texts(batch.column("text"))
+        known = {w for w, _ in held}
+        for i, tokens in enumerate(want):
+            mine = slice(bounds[i], bounds[i + 1])
+            alone = voc.encode([w.encode() for w in tokens])
+            assert symbols[mine].tolist() == alone[0].tolist() and places[mine].tolist() == alone[1].tolist()
+            assert rare[i].as_py() == [w.encode() for w in tokens if w.encode() not in known]
+
+
 def test_lm_beats_the_base_where_texts_differ_in_kind(frame):  # noqa: F811
     rng, rows = random.Random(2), []
     for i in range(300):
