@@ -92,6 +92,10 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+#: Slices for work that gives back as much as it gets, and is done text by text.
+SMALL = 1 << 20
+
+
 def by_size(batches, column: str = "text", most: int = 8 << 20):
     """The batches in slices of at most so many bytes of text, or of one row."""
     for batch in batches:

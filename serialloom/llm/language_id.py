@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.pin import pin
-from .common import remainder, sorted_groups, trimmed
+from .common import SMALL, by_size, remainder, sorted_groups, trimmed
 
 BUCKETS, CENTROIDS = 1 << 13, 4
 #: About so many rows of each language are what the model is fitted on.
@@ -193,7 +193,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 def _accepted(model, text: str):
     def run(batches):
         m = model.value
-        for batch in batches:
+        for batch in by_size(batches, text, SMALL):
             kept = [not m.predict(t)[2] for t in batch.column(text).to_pylist()]
             yield batch.filter(pa.array(kept, pa.bool_()))
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.pin import pin
+from ..plans.pin import pin, scratch
 from .common import Known, as_bytes, by_size, numbered_rows, pick_rows, sorted_groups, trimmed, words
 from .components import components
 from .signature_tree import links
@@ -274,21 +274,23 @@ def near_duplicates(
         .select("d.d1", "d.d2", "row_id", "best", "n")
     )
     classes = pin(classes)
-    one_each = pin(classes.filter("n > 0").select("row_id"))
-    prefixes = pick_rows(texts, one_each, "left_semi").mapInArrow(
-        trimmed(_prefixes(percent, width, frequent)), "token long, spread long, row_id long"
-    )
-    hits = pin(
-        prefixes.repartition("token", "spread").sortWithinPartitions("token").mapInArrow(
-            trimmed(_neighbours), "token long, row_id long"
+    # of what leads to a result only that stays, since these tables are large
+    with scratch(docs.sparkSession) as outside:
+        one_each = pin(classes.filter("n > 0").select("row_id"))
+        prefixes = pick_rows(texts, one_each, "left_semi").mapInArrow(
+            trimmed(_prefixes(percent, width, frequent)), "token long, spread long, row_id long"
         )
-    )
-    frequent.destroy()
-    least = 1 + F.floor(EXTRA * F.ceil(percent * F.col("n") / 100) / 100)
-    shared = hits.groupBy("row_id").agg(F.count("*").alias("k"))
-    live = shared.join(classes.select("row_id", "n"), "row_id").filter(F.col("k") >= least).select("row_id")
-    hits = pin(hits.join(live, "row_id").select("row_id", "token"))
-    grouped = pin(hits.join(_met(hits), "token"))
+        hits = pin(
+            prefixes.repartition("token", "spread").sortWithinPartitions("token").mapInArrow(
+                trimmed(_neighbours), "token long, row_id long"
+            )
+        )
+        frequent.destroy()
+        least = 1 + F.floor(EXTRA * F.ceil(percent * F.col("n") / 100) / 100)
+        shared = hits.groupBy("row_id").agg(F.count("*").alias("k"))
+        live = shared.join(classes.select("row_id", "n"), "row_id").filter(F.col("k") >= least).select("row_id")
+        hits = pin(hits.join(live, "row_id").select("row_id", "token"))
+        grouped = pin(hits.join(_met(hits), "token"), outside)
     sets = pin(
         pick_rows(texts, pin(grouped.select("row_id").distinct()), "left_semi").mapInArrow(
             trimmed(_sets(width)), "row_id long, tokens binary"
@@ -311,30 +313,31 @@ def near_duplicates(
     found = pin(_search(first, sets, percent))
     known = components(found).withColumnRenamed("node", "row_id")
 
-    labelled = pin(
-        grouped.join(known, "row_id", "left").select(
-            "token", "row_id", F.coalesce("component", "row_id").alias("component")
+    with scratch(docs.sparkSession) as outside:
+        labelled = pin(
+            grouped.join(known, "row_id", "left").select(
+                "token", "row_id", F.coalesce("component", "row_id").alias("component")
+            )
         )
-    )
-    # sizes of a linked pair differ by a factor of 100 / percent at most: one zone, or the next
-    step = F.floor(F.log("n") / F.log(F.lit(101.0 / percent))).cast("int")
-    zones = pin(
-        labelled.select("row_id").distinct().join(classes, "row_id").select("row_id", least.alias("least"), step.alias("step"))
-    )
-    still = labelled.join(_open(labelled, ["token"]), "token").join(zones, "row_id")
-    still = still.select(
-        "token", F.explode(F.array("step", F.col("step") - 1)).alias("zone"), "row_id", "component", "least"
-    )
-    for _ in range(2):  # each time, groups that are open no more take classes with them, and the reverse
-        still = pin(still.join(_open(still, ["token", "zone"]), ["token", "zone"]))
-        enough = still.groupBy("row_id", "zone", "least").agg(F.count("*").alias("k")).filter(F.col("k") >= F.col("least"))
-        still = still.join(enough.select("row_id", "zone"), ["row_id", "zone"])
-    node = F.xxhash64("row_id", "zone")
-    still = pin(still.withColumn("node", node))
-    groups = still.groupBy(F.struct("token", "zone").alias("g")).agg(F.count("*").alias("m"), F.min("node").alias("head"))
-    still = pin(still.join(groups.select("g.token", "g.zone", "m", "head"), ["token", "zone"]))
-    bundles = components(still.select(F.col("node").alias("a"), F.col("head").alias("b")))
-    still = pin(still.join(bundles.select("node", F.col("component").alias("bundle")), "node"))
+        # sizes of a linked pair differ by a factor of 100 / percent at most: one zone, or the next
+        step = F.floor(F.log("n") / F.log(F.lit(101.0 / percent))).cast("int")
+        zones = pin(
+            labelled.select("row_id").distinct().join(classes, "row_id").select("row_id", least.alias("least"), step.alias("step"))
+        )
+        still = labelled.join(_open(labelled, ["token"]), "token").join(zones, "row_id")
+        still = still.select(
+            "token", F.explode(F.array("step", F.col("step") - 1)).alias("zone"), "row_id", "component", "least"
+        )
+        for _ in range(2):  # each time, groups that are open no more take classes with them, and the reverse
+            still = pin(still.join(_open(still, ["token", "zone"]), ["token", "zone"]))
+            enough = still.groupBy("row_id", "zone", "least").agg(F.count("*").alias("k")).filter(F.col("k") >= F.col("least"))
+            still = still.join(enough.select("row_id", "zone"), ["row_id", "zone"])
+        node = F.xxhash64("row_id", "zone")
+        still = pin(still.withColumn("node", node))
+        groups = still.groupBy(F.struct("token", "zone").alias("g")).agg(F.count("*").alias("m"), F.min("node").alias("head"))
+        still = pin(still.join(groups.select("g.token", "g.zone", "m", "head"), ["token", "zone"]))
+        bundles = components(still.select(F.col("node").alias("a"), F.col("head").alias("b")))
+        still = pin(still.join(bundles.select("node", F.col("component").alias("bundle")), "node"), outside)
     by_group = still.select("bundle", "token", "zone", "m").distinct().groupBy("bundle")
     by_group = by_group.agg(F.sum(F.col("m") * F.ceil(F.col("m") / chunk)).alias("by_group"))
     members = still.select("bundle", "row_id", "component").distinct()

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.pin import pin
-from .common import by_size, trimmed
+from .common import SMALL, by_size, trimmed
 from .tokens import default_path, encoder
 
 CAPACITY, END_ID = 1024, 2
@@ -26,7 +26,7 @@ def _cut(path: str, end_id: int, capacity: int):
     def run(batches):
         enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in by_size(batches):
+        for batch in by_size(batches, most=SMALL):
             row, piece, start, length, local, ids = [], [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 whole = enc.encode(text or "") + end
@@ -156,8 +156,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = np.zeros(capacity + 1, np.int64)
     for row in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect():  # one row per length
         counts[row.length] = row.n
-    schema = "length long, first long, last long, sequence long, each long, at long"
-    places = spark.createDataFrame(plan(counts), schema)
+    names = ["length", "first", "last", "sequence", "each", "at"]
+    made = np.array(plan(counts), np.int64).reshape(-1, len(names))
+    # from Arrow, since a list of rows would start Python workers of its own on the executors
+    places = spark.createDataFrame(pa.table({name: pa.array(made[:, i]) for i, name in enumerate(names)}))
     ranked = pieces.join(before, ["task", "length"]).withColumn("rank", F.col("before") + F.col("local"))
     ranked = ranked.drop("task", "local", "before")
     step = F.col("rank") - F.col("first")

@@ -12,6 +12,7 @@ from serialloom.llm.common import Known, pick_rows, with_row_id
 from serialloom.llm.components import components
 from serialloom.llm.exact_dedup import exact_duplicates
 from serialloom.llm.ngram_join import near_duplicates
+from serialloom.plans import pin as pin_module
 
 EXACT = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -152,3 +153,17 @@ def test_near_when_scans_are_split_otherwise(spark, split_table, monkeypatch):
     made = near_duplicates(docs)
     spark.conf.set(PARTS, "1")
     assert values(made, "doc_id", "n_shingles", "component_id") == sorted(plain.near(rows), key=repr)
+
+
+def test_near_keeps_its_grouped_rows_once(frame, prose, spark, tmp_path):  # noqa: F811
+    rows = [(i, prose(60, i % 40) + f" and {i % 5}") for i in range(120)]
+    opened = pin_module._scratch.set(str(tmp_path / "held"))
+    try:
+        got = near_duplicates(frame(rows, "doc_id long, text string"))
+    finally:
+        pin_module._scratch.reset(opened)
+    tables = [spark.read.parquet(str(p)) for p in (tmp_path / "held").glob("pinned-*")]
+    assert sum(t.columns == ["token", "row_id"] for t in tables) == 1
+    assert not any({"token", "zone", "least"} <= set(t.columns) and "bundle" not in t.columns for t in tables)
+    assert not list((tmp_path / "held").glob("scratch-*"))
+    assert got.count() == len(rows)

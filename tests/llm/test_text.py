@@ -6,9 +6,11 @@ import zlib
 from collections import Counter
 from hashlib import sha256
 from itertools import groupby
+from types import SimpleNamespace
 
 import numpy as np
 import plain
+import pyarrow as pa
 import pytest
 from conftest import values
 from llm_fixtures import frame, odd_docs, prose  # noqa: F401
@@ -86,6 +88,16 @@ def test_two_replace_the_smallest():
     assert first == [(6, 1), (2, 2)]
 
 
+def test_texts_leave_a_task_in_small_batches(monkeypatch):
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    text = "some plain words " * 20_000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array([text] * 12)], ["doc_id", "text"])
+    parts = list(packing._cut(packing.default_path(), packing.END_ID, packing.CAPACITY)([batch]))
+    assert [len(set(p.column("doc_id").to_pylist())) for p in parts] == [3, 3, 3, 3]
+    never = SimpleNamespace(value=language_id.Model([], None, None, None, 0.0))
+    assert len(list(language_id._accepted(never, "text")([batch]))) == 4
+
+
 def test_packing(frame, odd_docs):
     docs = [*odd_docs, (None, "again"), (None, "again"), (40, "word " * 1022 + "word"), (41, "word " * 5000)]
     pieces = packing.token_pieces(frame(docs, "doc_id long, text string"))
