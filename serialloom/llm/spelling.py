@@ -110,8 +110,12 @@ def _grams(word: Column, size: Column) -> Column:
 
 
 def _verified(chunks: DataFrame, grams: DataFrame, key: list[str], shifts: list[str]) -> DataFrame:
-    """(one, other): pairs that agree in ``key``, within one place, and are one edit apart."""
-    one, other = chunks.alias("one"), grams.alias("other")
+    """(one, other): pairs that agree in ``key``, within one place, and are one edit apart.
+
+    Neither side is broadcast: both are many rows of each word, which Spark's guess at their
+    size, made from the table of words, leaves out.
+    """
+    one, other = chunks.alias("one").hint("merge"), grams.alias("other").hint("merge")
     met = [F.col(f"one.{c}") == F.col(f"other.{c}") for c in key]
     met += [F.abs(F.col(f"one.{c}") - F.col(f"other.{c}")) <= 1 for c in shifts]
     # of two words of one length, the smaller gives the chunks

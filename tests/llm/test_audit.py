@@ -101,6 +101,15 @@ def test_variants_of_nothing(frame):
     assert values(alone, *alone.columns) == [("lonesome", None, "lonesome", 3, 0, None)]
 
 
+def test_rows_made_of_words_are_not_broadcast(frame, typed):
+    """A small table of words is many chunks and grams, whatever its size on disk."""
+    pairs = spelling.near_words(spelling.pin(frame([(w,) for w in typed], "word string")))
+    assert pairs.count()
+    plan = pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    verified = [line for line in plan.splitlines() if "levenshtein" in line]
+    assert len(verified) == 2 and all("SortMergeJoin" in line for line in verified), plan
+
+
 # --- source divergence -------------------------------------------------------
 
 
