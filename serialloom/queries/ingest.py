@@ -1,5 +1,6 @@
 """Queries that take feed documents, web pages and archives apart."""
 
+import os
 from pathlib import Path
 
 import pyarrow as pa
@@ -88,10 +89,21 @@ TREE_TASKS = 48
 
 
 def _write_tree(folder):
-    """Files of a library, one per order, and an ignore list in each folder that holds some."""
+    """Files of a library, one per order, and an ignore list in each folder that holds some.
+
+    A file of some bytes takes a whole block of a disk, so a task links files of one content to
+    the first of them; where that can't be done, a file has its own block again.
+    """
+
+    def fill(path, size, first):
+        try:
+            os.link(first[size], path)
+        except (KeyError, OSError):  # none yet, no more links, or the path is there
+            path.write_bytes(b"x" * size)
+            first[size] = path
 
     def written(batches):
-        made = set()
+        made, first = set(), {}
         for batch in batches:
             for order, status in zip(batch.column("o_orderkey").to_pylist(), batch.column("o_orderstatus").to_pylist()):
                 at = Path(folder, status, f"shelf{order % 4}")
@@ -101,7 +113,7 @@ def _write_tree(folder):
                     (at / ".autignore").write_text("_*9.epub\n")
                     made.add(at)
                 mark = "." if order % 7 == 0 else "_" if order % 3 == 0 else ""
-                (at / f"{mark}{order}.{'txt' if order % 5 == 0 else 'epub'}").write_bytes(b"x" * (order % 10))
+                fill(at / f"{mark}{order}.{'txt' if order % 5 == 0 else 'epub'}", order % 10, first)
             yield pa.RecordBatch.from_arrays([batch.column("o_orderkey")], ["o_orderkey"])
 
     return written

@@ -1,3 +1,5 @@
+import os
+import re
 import zipfile
 from datetime import datetime
 from pathlib import Path
@@ -276,6 +278,23 @@ def test_ignore_lists_of_a_tree_are_written_once_per_task(tmp_path, monkeypatch)
     assert names == {"F/shelf0/8.epub", "F/shelf0/16.epub", "F/shelf3/11.epub", "O/shelf2/22.epub"}
 
 
+def test_files_of_one_content_share_their_bytes_on_disk(tmp_path, monkeypatch):
+    orders = list(range(1, 61))
+    batch = pa.RecordBatch.from_pydict({"o_orderkey": orders, "o_orderstatus": ["F", "O"] * 30})
+
+    def made(folder):
+        for _ in range(2):  # a task that is run again
+            list(_write_tree(str(folder))(iter([batch])))
+        files_ = [p for p in folder.rglob("*") if p.is_file() and p.name != ".autignore"]
+        return {str(p.relative_to(folder)): p.read_bytes() for p in files_}, len({p.stat().st_ino for p in files_})
+
+    names, blocks = made(tmp_path / "a")
+    assert {int(re.sub(r"\D", "", n.rsplit("/", 1)[1])): len(b) for n, b in names.items()} == {k: k % 10 for k in orders}
+    assert blocks <= 20
+    monkeypatch.setattr(os, "link", lambda *_: (_ for _ in ()).throw(OSError("no more links")))
+    assert made(tmp_path / "b") == (names, 60)
+
+
 def test_batches_are_taken_apart_by_bytes():
     batch = pa.RecordBatch.from_pydict({"html": ["a" * 6, None, "b" * 3, "c" * 30, "", "é"]})
     parts = list(slices(batch, "html", 10))
