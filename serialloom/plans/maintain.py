@@ -194,7 +194,8 @@ def _latest(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     Which fetch that is, is decided on urls and times alone; only those pages are read and
     moved. Of several at one moment, or without ``fetched_at``, the one with the greatest
     hash is taken. Pages are never broadcast, however small a guess at their size may be: they
-    are the left side of joins with narrow tables, and only a right side is.
+    are the left side of joins with narrow tables, and only a right side is; the last join, which
+    may become an inner one, is told so.
     """
     found = pages.join(wanted.select("url").distinct(), "url", "left_semi")
     if "fetched_at" in pages.columns:
@@ -203,7 +204,7 @@ def _latest(pages: DataFrame, wanted: DataFrame) -> DataFrame:
         found = pages.join(last, same, "left_semi")
     one = found.groupBy("url").agg(F.max_by("html", F.xxhash64("html")).alias("html"))
     # as good as an inner join, since every page left is wanted
-    return one.join(wanted, "url", "left").select(*wanted.columns, "html")
+    return one.hint("merge").join(wanted, "url", "left").select(*wanted.columns, "html")
 
 
 def _parse_index_pages(

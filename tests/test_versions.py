@@ -146,6 +146,18 @@ def test_a_bucket_may_take_several_parts(spark, blobs):
     assert blobs.with_bytes(wanted, 1_000).distinct().count() == 300
 
 
+def test_many_keys_are_not_all_broadcast(spark, blobs):
+    wanted = blobs.keys().withColumn("n", F.lit(1))
+    wanted = wanted.unionByName(wanted.where("book_id = '3'")).unionByName(wanted.limit(1).withColumn("filename", F.lit("none")))
+    few, many = (blobs.with_bytes(wanted, 1_000, most) for most in (100, 8))
+    assert plan_of(few).count(") BroadcastExchange") > 8 and ") BroadcastExchange" not in plan_of(many)
+    assert few.columns == many.columns and few.count() == 300 + 43
+    assert few.exceptAll(many).isEmpty() and many.exceptAll(few).isEmpty()
+    for most in (100, 8):
+        sizes = blobs.with_bytes(wanted, 1_000, most, F.octet_length("bytes"))
+        assert sizes.groupBy("bytes").count().collect() == [(8, 343)]
+
+
 def plan_of(df):
     return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
