@@ -13,7 +13,7 @@ from serialloom import schemas
 from serialloom.functions.rewrite import fold, rewrite
 from serialloom.operators import assets, diff
 from serialloom.plans import publish
-from serialloom.plans.maintain import Crawled, Images, Stored, render_texts, update_books
+from serialloom.plans.maintain import Crawled, Images, Run, Stored, render_texts, update_books
 from serialloom.sinks.blobs import Blobs
 from serialloom.sinks.versions import Versions
 
@@ -117,6 +117,31 @@ def test_rows_of_other_books_are_refused(spark, kept):
         kept.read("books", 4)
 
 
+def test_a_refusal_names_the_table(spark, kept, monkeypatch):
+    read = []
+    written = Versions._written
+    monkeypatch.setattr(Versions, "_written", lambda self, name, *a: (read.append((name, a[1])), written(self, name, *a))[1])
+    for at, strange in enumerate((("z", "1"), (None, "1"))):
+        with pytest.raises(ValueError, match="rows of parts whose"):
+            kept.publish({"books": rows(spark, ("a", "1"), ("a", "2")), "parts": rows(spark, strange)}, f"run-{at}", ids(spark, "a", None))
+    assert kept.publish({"books": rows(spark, ("a", "1"), ("a", "2"))}, "run-3", ids(spark, "a", "b", None)) == 1
+    # the replaced keys are read once for all tables
+    assert read.count(("replaced", ["book_id"])) == 3
+
+
+def test_rows_that_nothing_replaces_meet_no_keys(spark, kept, monkeypatch):
+    for n in (1, 2, 3):
+        kept.publish({t: rows(spark, ("a", str(n)), (f"b{n}", "x")) for t in TABLES}, f"run-{n}", ids(spark, "a", f"b{n}"))
+    scanned = []
+    scan = Versions._scan
+    monkeypatch.setattr(Versions, "_scan", lambda self, name, pieces: (scanned.append((name, list(pieces))), scan(self, name, pieces))[1])
+    assert state(kept)["books"] == [("a", "3"), ("b1", "x"), ("b2", "x"), ("b3", "x")]
+    bucket = {p.bucket for p in kept.pieces(1)} & {p.bucket for p in kept.pieces() if p.version == 3}
+    plain, older = [pieces for name, pieces in scanned if name == "books"]
+    assert bucket and all(p.version == 3 for p in plain if p.bucket in bucket)
+    assert older and all(p.version < 3 for p in older)
+
+
 # --- bytes by key ------------------------------------------------------------
 
 
@@ -146,6 +171,16 @@ def test_a_bucket_may_take_several_parts(spark, blobs):
     assert blobs.with_bytes(wanted, 1_000).distinct().count() == 300
 
 
+def test_chapters_take_the_texts_that_are_there(spark):
+    """What a run has worked out of its texts is not worked out again for its chapters."""
+    run = Run(*[None] * 9)
+    run.content = spark.createDataFrame([("a", "1", "t"), ("a", "1", "t"), ("a", "3", "t")], "book_id string, identifier string, content string")
+    chapters = "book_id string, identifier string, {} long, title string"
+    run._stored_chapters = spark.createDataFrame([("a", "1", 1, "x"), ("a", "2", 2, "x")], chapters.format("pos"))
+    run._new_chapters = spark.createDataFrame([("a", "3", 0, "y"), ("b", "1", 0, "y")], chapters.format("arr_pos"))
+    assert values(run.chapters, "book_id", "identifier", "pos") == [("a", "1", 1), ("a", "3", 2)]
+
+
 def test_many_keys_are_not_all_broadcast(spark, blobs):
     wanted = blobs.keys().withColumn("n", F.lit(1))
     wanted = wanted.unionByName(wanted.where("book_id = '3'")).unionByName(wanted.limit(1).withColumn("filename", F.lit("none")))
